@@ -34,6 +34,12 @@ def mint_message_id(event_id: Column) -> Column:
     return uuid_from(event_id)
 
 
+def ntz_to_instant(ts: Column) -> Column:
+    """A wall-clock ``timestamp_ntz`` read as UTC, independent of the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
+
+
 def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC) -> DataFrame:
     """Kafka-shaped inbound rows from the ``events`` table (one message per event).
 
@@ -45,7 +51,7 @@ def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC) -> DataFram
         F.lit(topic).alias("topic"),
         F.lit(0).alias("partition"),
         F.col("event_id").cast("bigint").alias("offset"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        ntz_to_instant(F.col("ts")).alias("timestamp"),
         F.lit(TS_CREATE).alias("timestampType"),
         F.col("event_id").cast("string").alias("row_id"),
         F.col("event_id").cast("bigint").alias("event_id"),
