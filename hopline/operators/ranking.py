@@ -35,25 +35,34 @@ def arrival_rank(
     target_rows: int = 1 << 20,
     max_slices: int = 4096,
     broadcast_bytes: int = 8 << 20,
+    stats: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """Add ``rn`` (1-based rank in group by ``order_cols``) and ``group_rows``.
 
     ``order_cols`` must be a total order within a group; ``slice_col`` (default
     the first order column) must be a non-decreasing bigint along that order.
+    ``stats`` = (low, high, rows) of the slice column, if known from a cheaper
+    source; they only steer slice sizes (values outside clamp to the end
+    slices), so estimates are fine. Without them one small aggregate runs first.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     slice_col = slice_col or order_cols[0]
-    st = df.agg(
-        F.min(slice_col).alias("lo"), F.max(slice_col).alias("hi"), F.count(F.lit(1)).alias("n")
-    ).first()
-    if st is None or not st["n"]:
+    if stats is None:
+        st = df.agg(
+            F.min(slice_col).alias("lo"), F.max(slice_col).alias("hi"), F.count(F.lit(1)).alias("n")
+        ).first()
+        stats = (st["lo"], st["hi"], st["n"]) if st is not None and st["n"] else None
+    if not stats or stats[0] is None:
         return df.withColumn("rn", F.lit(None).cast("bigint")).withColumn("group_rows", F.lit(0).cast("bigint"))
-    lo, hi, n = int(st["lo"]), int(st["hi"]), int(st["n"])
+    lo, hi, n = int(stats[0]), int(stats[1]), max(1, int(stats[2]))
     n_slices = min(max_slices, max(1, -(-n // target_rows)))
     width = max(1, -(-(hi - lo + 1) // n_slices))
     n_slices = -(-(hi - lo + 1) // width)
 
-    sliced = df.withColumn("_slice", F.expr(f"(`{slice_col}` - ({lo})) div {width}"))
+    # clamped, so the offsets table has at most max_groups * n_slices rows
+    sliced = df.withColumn(
+        "_slice", F.expr(f"least(greatest((`{slice_col}` - ({lo})) div {width}, 0), {n_slices - 1})")
+    )
     counts = sliced.groupBy(*group_cols, "_slice").agg(F.count(F.lit(1)).alias("_cnt"))
     by_group = Window.partitionBy(*group_cols)
     before = by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -41,42 +41,44 @@ def timestamp_type_reason(df: DataFrame) -> DataFrame:
 def validate_payload(df: DataFrame) -> DataFrame:
     """F1 + F2: add ``reject_reason`` and the typed payload fields with endpoints.
 
-    Decoding runs on every row but the outcome of F1 takes precedence.
+    The payload is decoded once. The outcome leaves through a one-row ``inline``
+    so that a later filter on ``reject_reason`` stays above the decode instead
+    of being pushed down with the decode (and everything before it) inlined.
     """
-    df = timestamp_type_reason(df)
-    p = parse_payload(F.col("value"))
-    first = F.split(F.try_element_at(p["path"], F.lit(1)), ":", -1)
-    last = F.split(F.try_element_at(p["path"], F.lit(-1)), ":", -1)
-    d = df.select(
-        "*",
-        p["messageID"].alias("messageID"),
-        p["originTimestamp"].alias("originTimestamp"),
-        p["stormMilliLatencyMs"].alias("stormMilliLatencyMs"),
-        p["path"].alias("path"),
-        first.alias("_first"),
-        last.alias("_last"),
+    df = timestamp_type_reason(df).withColumnRenamed("reject_reason", "_f1")
+    d = df.withColumn("_p", parse_payload(F.col("value"))).withColumn(
+        "_obj", F.coalesce(is_json_object(F.col("value")), F.lit(False))
+    )
+    d = d.withColumn("_first", F.split(F.try_element_at(F.col("_p.path"), F.lit(1)), ":", -1)).withColumn(
+        "_last", F.split(F.try_element_at(F.col("_p.path"), F.lit(-1)), ":", -1)
     )
     spout_task = F.try_element_at(F.col("_first"), F.lit(2)).try_cast("bigint")
     sink_task = F.try_element_at(F.col("_last"), F.lit(2)).try_cast("bigint")
+    path = F.col("_p.path")
     reason = (
-        F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
+        F.when(F.col("_f1").isNotNull(), F.col("_f1"))
         .when(F.col("value").isNull(), F.lit(NULL_VALUE))
-        .when(~F.coalesce(is_json_object(F.col("value")), F.lit(False)), F.lit(BAD_JSON))
-        .when(F.col("originTimestamp").isNull(), F.lit(MISSING_ORIGIN))
-        .when(F.col("stormMilliLatencyMs").isNull(), F.lit(MISSING_LATENCY))
-        .when(F.col("path").isNull(), F.lit(MISSING_PATH))
-        .when(F.size("path") == 0, F.lit(EMPTY_PATH))
+        .when(~F.col("_obj"), F.lit(BAD_JSON))
+        .when(F.col("_p.originTimestamp").isNull(), F.lit(MISSING_ORIGIN))
+        .when(F.col("_p.stormMilliLatencyMs").isNull(), F.lit(MISSING_LATENCY))
+        .when(path.isNull(), F.lit(MISSING_PATH))
+        .when(F.size(path) == 0, F.lit(EMPTY_PATH))
         .when((F.size("_first") != 2) | (F.size("_last") != 2), F.lit(BAD_ENDPOINT))
         .when(spout_task.isNull() | sink_task.isNull(), F.lit(NON_INTEGER_TASK))
     )
-    return d.select(
-        *[c for c in d.columns if c not in ("reject_reason", "_first", "_last")],
+    outcome = F.struct(
+        F.col("_p.messageID").alias("messageID"),
+        F.col("_p.originTimestamp").alias("originTimestamp"),
+        F.col("_p.stormMilliLatencyMs").alias("stormMilliLatencyMs"),
+        path.alias("path"),
         F.try_element_at(F.col("_first"), F.lit(1)).alias("spout_component"),
         spout_task.alias("spout_task"),
         F.try_element_at(F.col("_last"), F.lit(1)).alias("sink_component"),
         sink_task.alias("sink_task"),
         reason.alias("reject_reason"),
     )
+    keep = [c for c in df.columns if c != "_f1"]
+    return d.select(*keep, F.inline(F.array(outcome)))
 
 
 def accepted(validated: DataFrame) -> DataFrame:

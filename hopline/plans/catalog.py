@@ -401,7 +401,9 @@ def s_lane_load(s):
 
 def q_count_window(spark, sf):
     _, (sp, wc) = _topo_of("TimerSpout", "WindowedPathBolt")
-    return windows.count_window(spout(inbound_from(spark, sf), sp), wc, 10).select("row_id", "lane", "win", "pos")
+    inb = inbound_from(spark, sf)
+    return windows.count_window(spout(inb, sp), wc, 10, **P.with_source_stats(inb, {})).select(
+        "row_id", "lane", "win", "pos")
 
 
 def s_count_window(s):
@@ -412,7 +414,8 @@ def s_count_window(s):
 
 def _pathbolt_then(spark, sf, name):
     _, (sp, pb, wc) = _topo_of("TimerSpout", "PathBolt", name)
-    return messages.path_bolt(spout(inbound_from(spark, sf), sp), pb), wc
+    inb = inbound_from(spark, sf)
+    return messages.path_bolt(spout(inb, sp), pb), wc, P.with_source_stats(inb, {})
 
 
 def _pathbolt_then_sql(s, name):
@@ -421,8 +424,8 @@ def _pathbolt_then_sql(s, name):
 
 
 def q_window_emit_all(spark, sf):
-    d, wc = _pathbolt_then(spark, sf, "WindowedPathBolt")
-    return msg_out(windows.emit_all(d, wc, 10), "win")
+    d, wc, kw = _pathbolt_then(spark, sf, "WindowedPathBolt")
+    return msg_out(windows.emit_all(d, wc, 10, **kw), "win")
 
 
 def s_window_emit_all(s):
@@ -431,8 +434,8 @@ def s_window_emit_all(s):
 
 
 def q_window_emit_by_spout(spark, sf):
-    d, wc = _pathbolt_then(spark, sf, "WindowedPathBolt")
-    return msg_out(windows.emit_by_spout(d, wc, 10), "win", "spout_task")
+    d, wc, kw = _pathbolt_then(spark, sf, "WindowedPathBolt")
+    return msg_out(windows.emit_by_spout(d, wc, 10, **kw), "win", "spout_task")
 
 
 def s_window_emit_by_spout(s):
@@ -442,7 +445,9 @@ def s_window_emit_by_spout(s):
 
 def _window_stage(spark, sf, group_by):
     _, (sp, wc) = _topo_of("TimerSpout", "WindowedPathBolt")
-    return windows.emit_one(spout(inbound_from(spark, sf), sp), wc, 10, create_path_msg=True, group_by=group_by)
+    inb = inbound_from(spark, sf)
+    return windows.emit_one(spout(inb, sp), wc, 10, create_path_msg=True, group_by=group_by,
+                            **P.with_source_stats(inb, {}))
 
 
 def q_window_emit_one(spark, sf):
@@ -465,13 +470,15 @@ def _fish_front(spark, sf):
     t = Topology()
     sp = t.component("TimerSpout")
     pb, pm = t.component("PathBolt"), t.component("PathMultiplier")
-    s = spout(inbound_from(spark, sf), sp, num_streams=2)
-    return P.fork_path_and_multiplier(s, Routed({"kafkaMessages0": pb, "kafkaMessages1": pm}), pm), t
+    inb = inbound_from(spark, sf)
+    s = spout(inb, sp, num_streams=2)
+    front = P.fork_path_and_multiplier(s, Routed({"kafkaMessages0": pb, "kafkaMessages1": pm}), pm)
+    return front, t, P.with_source_stats(inb, {}, 11.5)
 
 
 def q_join_split(spark, sf):
-    front, t = _fish_front(spark, sf)
-    return msg_out(windows.join_split(front, t.component("JoinSplitBolt"), 20), "win", "source_stream")
+    front, t, kw = _fish_front(spark, sf)
+    return msg_out(windows.join_split(front, t.component("JoinSplitBolt"), 20, **kw), "win", "source_stream")
 
 
 def s_join_split(s):
@@ -479,7 +486,7 @@ def s_join_split(s):
 
 
 def q_join_split_time(spark, sf):
-    front, t = _fish_front(spark, sf)
+    front, t, _ = _fish_front(spark, sf)
     return msg_out(windows.join_split_time(front, t.component("JoinSplitBolt"), 2000), "win", "source_stream")
 
 

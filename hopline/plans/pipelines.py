@@ -16,7 +16,16 @@ from hopline.functions.draws import unit, normal_multiplier
 from hopline.operators import fanout, messages, metrics, validate, windows
 from hopline.operators.messages import BOOK_COLS, draw_key, receive, with_created_message
 from hopline.plans.topology import Routed, Topology
-from hopline.sources.kafka import results_rows, spout
+from hopline.sources.kafka import message_time_stats, results_rows, spout
+
+
+def with_source_stats(inbound: DataFrame, rank_kw: dict, amplification: float = 1.0) -> dict:
+    """Size the count-window ranking from the source (one cheap scan), not the fanned-out rows."""
+    if "stats" not in rank_kw and not inbound.isStreaming:
+        st = message_time_stats(inbound)
+        if st:
+            rank_kw = {**rank_kw, "stats": (st[0], st[1], int(st[2] * amplification))}
+    return rank_kw
 
 
 def basic(inbound: DataFrame, topo: Topology | None = None) -> DataFrame:
@@ -48,6 +57,7 @@ def window(inbound: DataFrame, topo: Topology | None = None, n: int = 10, group_
     """T4: spout -> WindowedPathBolt (count window, one random, builds the message) -> SenderBolt."""
     topo = topo or Topology()
     s = spout(inbound, topo.component("TimerSpout"))
+    rank_kw = with_source_stats(inbound, rank_kw)
     w = windows.emit_one(s, topo.component("WindowedPathBolt"), n, create_path_msg=True, group_by=group_by, **rank_kw)
     return messages.send_stage(w, topo.component("SenderBolt"))
 
@@ -86,7 +96,7 @@ def fish(inbound: DataFrame, topo: Topology | None = None, n: int = 20, vmin: in
     if time_window_ms:
         j = windows.join_split_time(front, js, time_window_ms)
     else:
-        j = windows.join_split(front, js, n, **rank_kw)
+        j = windows.join_split(front, js, n, **with_source_stats(inbound, rank_kw, 1 + mean + 0.5))
     senders = Routed({"Stream3": topo.component("SenderBoltA"), "Stream4": topo.component("SenderBoltB")})
     return messages.send_stage(j, senders)
 
@@ -96,6 +106,7 @@ def all_in_one(inbound: DataFrame, topo: Topology | None = None, copies: int = 2
     topo = topo or Topology()
     s = spout(inbound, topo.component("TimerSpout"))
     m = fanout.fanout_fixed(s, topo.component("MultiPathBolt"), copies, out_stream="Stream2")
+    rank_kw = with_source_stats(inbound, rank_kw, copies)
     w = windows.emit_one(m, topo.component("WindowedPathBolt"), n, out_stream="Stream3", **rank_kw)
     return messages.send_stage(w, topo.component("SenderBolt"))
 

@@ -40,11 +40,28 @@ def ntz_to_instant(ts: Column) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
 
 
-def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC) -> DataFrame:
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread a batch source that has fewer partitions than the cluster has cores.
+
+    Later stages fan rows out 10-20x, all inside the scan's tasks; a source made
+    of a few large row groups would leave most cores idle. A scan of many files
+    already has enough splits and is left alone (no shuffle).
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
+def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC, min_partitions: int | None = None) -> DataFrame:
     """Kafka-shaped inbound rows from the ``events`` table (one message per event).
 
     ``row_id`` and ``event_id`` ride along as the stable identity of each message.
     """
+    events = spread(events.select("event_id", "ts"), "event_id", min_partitions)
     return events.select(
         F.lit(None).cast("binary").alias("key"),
         mint_message_id(F.col("event_id")).cast("binary").alias("value"),
@@ -58,6 +75,19 @@ def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC) -> DataFram
     )
 
 
+def message_time_stats(inbound: DataFrame) -> tuple[int, int, int] | None:
+    """(first, last, count) of record times in ms: one cheap pass over the source.
+
+    Used to size the slices of the count-window ranking without running the
+    (fanned-out) pipeline an extra time.
+    """
+    st = inbound.agg(
+        F.min(F.unix_millis("timestamp")).alias("lo"), F.max(F.unix_millis("timestamp")).alias("hi"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    return None if st is None or not st["n"] else (int(st["lo"]), int(st["hi"]), int(st["n"]))
+
+
 def spout(inbound: DataFrame, comp: Component, out_stream: str = SPOUT_STREAM_PREFIX, num_streams: int = 1) -> DataFrame:
     """S1 (+ S3): Kafka rows -> spout tuples, emitted on ``out_stream0..n-1``.
 
