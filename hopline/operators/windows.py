@@ -64,8 +64,11 @@ def _emit(p: str, comp: Component, now: Column, out_stream: str, *, entry: Colum
     ]
 
 
-def _windowed(df: DataFrame, comp: Component, n: int, create_path_msg: bool, **rank_kw) -> DataFrame:
-    w = count_window(df, comp, n, **rank_kw)
+def _windowed(df: DataFrame, comp: Component, n: int, create_path_msg: bool, windowed: bool = False,
+              **rank_kw) -> DataFrame:
+    """Rows of full windows; ``windowed=True`` means ``df`` already carries lane, win and pos
+    (e.g. from the stateful streaming count window)."""
+    w = df if windowed else count_window(df, comp, n, **rank_kw)
     return with_created_message(w, comp) if create_path_msg else w
 
 
@@ -158,13 +161,13 @@ def _join_split_core(w: DataFrame, comp: Component, out1: str, out2: str, now_of
 
 
 def join_split(df: DataFrame, comp: Component, n: int, out1: str = "Stream3", out2: str = "Stream4",
-               **rank_kw) -> DataFrame:
+               windowed: bool = False, **rank_kw) -> DataFrame:
     """One count window over the union of input streams; per source stream a
     uniformly random distinct path, its origin times averaged, a random message of
     it emitted with origin and entry := average, then the same tuple on two streams.
     No key is compared: it is a windowed union, not a relational join.
     """
-    w = count_window(df, comp, n, **rank_kw)
+    w = df if windowed else count_window(df, comp, n, **rank_kw)
     return _join_split_core(
         w, comp, out1, out2, lambda g: comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
     )
