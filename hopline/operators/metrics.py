@@ -101,18 +101,26 @@ def throughput_by_count(acc: DataFrame, n: int = 500, group_col: str = "partitio
     if materialize:  # the ranking reads its input three times; run the upstream once
         base = cut_lineage(base)
     r = arrival_rank(base, [group_col], order_cols, order_cols[0], max_groups=max_groups, **rank_kw)
-    marks = r.where((F.col("rn") == 1) | (F.col("rn") % (n + 1) == 0)).select(
-        group_col, "rn", F.col(order_cols[0]).alias("t")
+    every = n + 1
+    r = r.select(group_col, "rn", F.col(order_cols[0]).alias("t"))
+    ends = r.where(F.col("rn") % every == 0).select(
+        group_col, F.expr(f"rn div {every}").alias("report_no"), F.col("t").alias("end_ms")
     )
-    w = Window.partitionBy(group_col).orderBy("rn")
-    rep = marks.withColumn("start_ms", F.lag("t").over(w)).where(F.col("rn") % (n + 1) == 0)
-    elapsed = F.col("t") - F.col("start_ms")
+    # report j starts at the previous report (rn = (j-1)(N+1)), the first at the first message (rn = 1);
+    # an equi-join on (partition, report_no) instead of a lag over one task per partition
+    starts = r.where((F.col("rn") == 1) | (F.col("rn") % every == 0)).select(
+        group_col,
+        F.when(F.col("rn") == 1, F.lit(1)).otherwise(F.expr(f"rn div {every} + 1")).cast("bigint").alias("report_no"),
+        F.col("t").alias("start_ms"),
+    )
+    rep = ends.join(starts, [group_col, "report_no"], "left")
+    elapsed = F.col("end_ms") - F.col("start_ms")
     return rep.select(
         F.col(group_col),
-        (F.col("rn") / F.lit(n + 1)).cast("bigint").alias("report_no"),
+        F.col("report_no").cast("bigint").alias("report_no"),
         F.lit(n).cast("bigint").alias("messages"),
         F.col("start_ms").cast("bigint").alias("start_ms"),
-        F.col("t").cast("bigint").alias("end_ms"),
+        F.col("end_ms").cast("bigint").alias("end_ms"),
         elapsed.cast("bigint").alias("elapsed_ms"),
         F.when(elapsed > 0, F.lit(float(n)) * F.lit(1000.0) / elapsed.cast("double")).alias("rate_mps"),
     )
