@@ -39,6 +39,9 @@ def _cumulative(weights: Sequence[float]) -> list[float]:
 
 
 KEY_CUMULATIVE = _cumulative(KEY_WEIGHTS)
+# the weights are multiples of 1/32, so "first cumulative weight >= u" is a lookup in
+# 32 equal slots: key i owns as many slots as its weight in 32nds (slot = ceil(32u) - 1)
+KEY_SLOTS = [k for k, w in zip(KEYS, KEY_WEIGHTS_32) for _ in range(w)]
 
 
 def _as_str(x) -> Column:
@@ -71,8 +74,14 @@ def first_at_least(u: Column, cumulative: Sequence[float], values: Sequence, fal
 
 
 def weighted_key(u: Column) -> Column:
-    """K1: the weighted key for a uniform draw ``u``."""
-    return first_at_least(u, KEY_CUMULATIVE, KEYS, FALLBACK_KEY)
+    """K1: the weighted key for a uniform draw ``u`` in [0, 1).
+
+    Same result as comparing ``u`` with each cumulative weight in turn, but ``u``
+    is referenced once: a CASE chain would re-evaluate the hashed draw in every
+    condition it tests (conditions are not common-subexpression eliminated).
+    """
+    slot = F.greatest(F.ceil(u * F.lit(32.0)) - F.lit(1), F.lit(0)).cast("int")
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(k) for k in KEY_SLOTS]), slot + F.lit(1)), F.lit(FALLBACK_KEY))
 
 
 def normal_cdf(x: float, mean: float, std: float) -> float:
@@ -96,6 +105,7 @@ MULTIPLIER_FALLBACK = 0
 def normal_multiplier(u: Column, vmin: int, vmax: int, mean: float, std: float) -> Column:
     """K3: smallest v in [vmin, vmax] with Phi((v - mean) / std) >= u, else 0."""
     values, cdf = multiplier_table(vmin, vmax, mean, std)
+    # a CASE chain tests u once per condition: pass u as a column, not as a hash expression
     return first_at_least(u, cdf, values, MULTIPLIER_FALLBACK).cast("bigint")
 
 

@@ -15,8 +15,11 @@ from hopline.plans.topology import Component
 
 
 def _emit_copies(df: DataFrame, comp: Component, count: Column, out_stream: str) -> DataFrame:
-    df = df.withColumn("_m", count).where(F.col("_m") > 0)
-    df = df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)))
+    # m = 0 explodes an empty array (no row); no Filter, so the draw is not re-inlined into a predicate
+    df = df.withColumn("_m", count)
+    copies = F.when(F.col("_m") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)).otherwise(
+        F.array().cast("array<bigint>"))
+    df = df.withColumn("copy", F.explode(copies))
     df = df.withColumn("row_id", F.concat(F.col("row_id"), F.lit(":"), F.col("copy").cast("string")))
     return df.select(
         *BOOK_COLS[:3], F.lit(out_stream).alias("stream"), "copy", "lane",
@@ -42,7 +45,8 @@ def fanout_normal(spout_rows: DataFrame, comp: Component, vmin: int = 1, vmax: i
                   std: float = 1.0, out_stream: str = "pathMessages", grouping: str = "shuffle") -> DataFrame:
     """K5: a K3-drawn number of copies; a draw of 0 emits nothing (``sequence(0, -1)`` is guarded)."""
     df = with_created_message(receive(spout_rows, comp, grouping), comp)
-    return _emit_copies(df, comp, multiplier_draw(comp, vmin, vmax, mean, std), out_stream)
+    df = df.withColumn("_u", unit(comp.seed, comp.name, "mult", F.col("row_id")))  # hashed once per row
+    return _emit_copies(df, comp, normal_multiplier(F.col("_u"), vmin, vmax, mean, std), out_stream).drop("_u")
 
 
 def split_streams(df: DataFrame, *streams: str) -> DataFrame:

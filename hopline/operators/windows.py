@@ -138,24 +138,27 @@ def emit_one(df: DataFrame, comp: Component, n: int, create_path_msg: bool = Fal
 
 
 def _join_split_core(w: DataFrame, comp: Component, out1: str, out2: str, now_of) -> DataFrame:
-    per_path = w.groupBy("lane", "win", "stream", path_string(F.col("path"), " ").alias("_ps")).agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        F.sum("originTimestamp").alias("_sum"),
-        F.max("timestamp").alias("_pmx"),
-        F.min_by(_carried(), _pick_key(comp)).alias("p"),
-    )
-    choice = F.struct(
-        hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps")).alias("h"),
-        F.col("_ps").alias("s"),
+    """Per (lane, win, source stream): a random distinct path, origin averaged over it, a
+    random message of it. One exchange on (lane, win); every later step is a window
+    function over that same partitioning (paths and streams nest inside a window)."""
+    by_win = Window.partitionBy("lane", "win")
+    by_stream = Window.partitionBy("lane", "win", "stream")
+    by_path = Window.partitionBy("lane", "win", "stream", "_ps")
+    choice = F.struct(F.col("_hp").alias("h"), F.col("_ps").alias("s"))
+    d = (
+        w.withColumn("_ps", path_string(F.col("path"), " "))
+        .withColumn("_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps")))
+        .withColumn("_pick", _pick_key(comp))
+        .withColumn("_mx", F.max("timestamp").over(by_win))
+        .withColumn("_cnt", F.count(F.lit(1)).over(by_path))
+        .withColumn("_sum", F.sum("originTimestamp").over(by_path))
+        .withColumn("_first", F.min("_pick").over(by_path))
+        .withColumn("_chosen", F.min(choice).over(by_stream))
     )
-    g = per_path.groupBy("lane", "win", "stream").agg(
-        F.max("_pmx").alias("_smx"),
-        F.min_by(F.struct("_cnt", "_sum", "p"), choice).alias("c"),
-    )
-    g = g.withColumn("_mx", F.max("_smx").over(Window.partitionBy("lane", "win")))
-    avg = F.expr("c._sum div c._cnt")
-    out = g.withColumn("_now", now_of(g)).select(
-        *_emit("c.p", comp, F.col("_now"), out1, entry=avg, origin=avg), F.col("stream").alias("source_stream")
+    d = d.where((F.col("_pick") == F.col("_first")) & (choice == F.col("_chosen")))
+    avg = F.expr("_sum div _cnt")
+    out = d.withColumn("_now", now_of(d)).withColumn("p", _carried()).select(
+        *_emit("p", comp, F.col("_now"), out1, entry=avg, origin=avg), F.col("stream").alias("source_stream")
     )
     return split_streams(out, out1, out2)
 

@@ -68,9 +68,12 @@ def fork_path_and_multiplier(s: DataFrame, routed: Routed, mult_comp, vmin=1, vm
     normal fan-out. Both branches are one projection plus one ``explode``."""
     d = with_created_message(receive(s, routed), routed)
     is_path = F.col("stream") == streams[0]
-    m = normal_multiplier(unit(mult_comp.seed, mult_comp.name, "mult", F.col("row_id")), vmin, vmax, mean, std)
-    d = d.withColumn("_m", F.when(is_path, F.lit(1).cast("bigint")).otherwise(m)).where(F.col("_m") > 0)
-    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)))
+    d = d.withColumn("_u", unit(mult_comp.seed, mult_comp.name, "mult", F.col("row_id")))  # hashed once per row
+    m = normal_multiplier(F.col("_u"), vmin, vmax, mean, std)
+    d = d.withColumn("_m", F.when(is_path, F.lit(1).cast("bigint")).otherwise(m))
+    copies = F.when(F.col("_m") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)).otherwise(
+        F.array().cast("array<bigint>"))
+    d = d.withColumn("copy", F.explode(copies))
     d = d.withColumn(
         "row_id", F.when(is_path, F.col("row_id")).otherwise(F.concat(F.col("row_id"), F.lit(":"), F.col("copy").cast("string")))
     )

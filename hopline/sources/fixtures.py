@@ -41,7 +41,10 @@ def corrupt_payload(sent: DataFrame, cases: int = 25, tstype_cases: int = 20) ->
     otherwise unchanged. Type ``H(row_id, 'tstype') % 20``: 0 none, 1 create time,
     else log-append.
     """
-    c = hash32(F.col("row_id"), "bad") % cases
+    # case numbers as columns: a CASE chain would re-hash in every condition it tests
+    sent = sent.withColumn("_case", hash32(F.col("row_id"), "bad") % cases).withColumn(
+        "_tstype", hash32(F.col("row_id"), "tstype") % tstype_cases)
+    c = F.col("_case")
     mid, org, lat, path = F.col("messageID"), F.col("originTimestamp"), F.col("stormMilliLatencyMs"), F.col("path")
     f = lambda **kw: to_json_fields(**kw)
     value = (
@@ -64,6 +67,6 @@ def corrupt_payload(sent: DataFrame, cases: int = 25, tstype_cases: int = 20) ->
         .when(c == 11, f(messageID=mid, originTimestamp=org, stormMilliLatencyMs=lat, path=F.slice(path, 1, 1)))
         .otherwise(f(messageID=mid, originTimestamp=org, stormMilliLatencyMs=lat, path=path))
     )
-    t = hash32(F.col("row_id"), "tstype") % tstype_cases
+    t = F.col("_tstype")
     tstype = F.when(t == 0, F.lit(TS_NONE)).when(t == 1, F.lit(TS_CREATE)).otherwise(F.lit(TS_LOG_APPEND))
     return to_outbound(sent, value=value.cast("binary"), timestamp_type=tstype.cast("int"))
