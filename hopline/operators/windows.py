@@ -83,18 +83,24 @@ def emit_all(df: DataFrame, comp: Component, n: int, out_stream: str = "pathMess
 
 
 def emit_by_spout(df: DataFrame, comp: Component, n: int, out_stream: str = "pathMessages", **rank_kw) -> DataFrame:
-    """Per spout task in a window, average entry time (integer division) and one random message."""
-    w = _windowed(df, comp, n, False, **rank_kw)
-    g = w.groupBy("lane", "win", spout_task(F.col("path")).alias("spout_task")).agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        F.sum("entryMilliTimestamp").alias("_sum"),
-        F.max("timestamp").alias("_gmx"),
-        F.min_by(_carried(), _pick_key(comp)).alias("p"),
+    """Per spout task in a window, average entry time (integer division) and one random message.
+
+    One exchange on (lane, win); the per-spout-task steps are window functions over it.
+    """
+    w = _windowed(df, comp, n, False, **rank_kw).withColumn("spout_task", spout_task(F.col("path")))
+    by_win = Window.partitionBy("lane", "win")
+    by_task = Window.partitionBy("lane", "win", "spout_task")
+    d = (
+        w.withColumn("_pick", _pick_key(comp))
+        .withColumn("_mx", F.max("timestamp").over(by_win))
+        .withColumn("_cnt", F.count(F.lit(1)).over(by_task))
+        .withColumn("_sum", F.sum("entryMilliTimestamp").over(by_task))
+        .withColumn("_first", F.min("_pick").over(by_task))
+        .where(F.col("_pick") == F.col("_first"))
     )
-    g = g.withColumn("_mx", F.max("_gmx").over(Window.partitionBy("lane", "win")))
     now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
     avg = F.expr("_sum div _cnt")
-    return g.withColumn("_now", now).select(
+    return d.withColumn("_now", now).withColumn("p", _carried()).select(
         *_emit("p", comp, F.col("_now"), out_stream, entry=avg, origin=avg), "spout_task"
     )
 
@@ -120,21 +126,24 @@ def emit_one(df: DataFrame, comp: Component, n: int, create_path_msg: bool = Fal
         return g.withColumn("_now", now).select(*_emit("p", comp, F.col("_now"), out_stream, entry=entry, origin=entry))
     if group_by != "path":
         raise ValueError(f"unknown group_by {group_by!r}")
-    per_path = w.groupBy("lane", "win", path_string(F.col("path"), " ").alias("_ps")).agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        F.sum("entryMilliTimestamp").alias("_sum"),
-        F.max("timestamp").alias("_pmx"),
-        F.min_by(_carried(), F.col("pos")).alias("p"),
-    )
-    choice = F.struct(hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("_ps")).alias("h"),
-                      F.col("_ps").alias("s"))
-    g = per_path.groupBy("lane", "win").agg(
-        F.max("_pmx").alias("_mx"),
-        F.min_by(F.struct("_cnt", "_sum", "p"), choice).alias("c"),
+    by_win = Window.partitionBy("lane", "win")
+    by_path = Window.partitionBy("lane", "win", "_ps")
+    choice = F.struct(F.col("_hp").alias("h"), F.col("_ps").alias("s"))
+    d = (
+        w.withColumn("_ps", path_string(F.col("path"), " "))
+        .withColumn("_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("_ps")))
+        .withColumn("_mx", F.max("timestamp").over(by_win))
+        .withColumn("_cnt", F.count(F.lit(1)).over(by_path))
+        .withColumn("_sum", F.sum("entryMilliTimestamp").over(by_path))
+        .withColumn("_first", F.min("pos").over(by_path))
+        .withColumn("_chosen", F.min(choice).over(by_win))
+        .where((F.col("pos") == F.col("_first")) & (choice == F.col("_chosen")))
     )
     now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
-    avg = F.expr("c._sum div c._cnt")
-    return g.withColumn("_now", now).select(*_emit("c.p", comp, F.col("_now"), out_stream, entry=avg, origin=avg))
+    avg = F.expr("_sum div _cnt")
+    return d.withColumn("_now", now).withColumn("p", _carried()).select(
+        *_emit("p", comp, F.col("_now"), out_stream, entry=avg, origin=avg)
+    )
 
 
 def _join_split_core(w: DataFrame, comp: Component, out1: str, out2: str, now_of) -> DataFrame:
