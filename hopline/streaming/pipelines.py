@@ -73,3 +73,25 @@ def receiver_to_points(kafka_rows: DataFrame, out_dir: str, checkpoint: str, **t
     w = receiver_stream(kafka_rows).writeStream.foreachBatch(lambda df, bid: write_points(df, out_dir, bid))
     w = w.option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()
+
+
+def throughput_by_time_stream(kafka_rows: DataFrame, bucket: str = "2 seconds", watermark: str = "10 seconds"):
+    """M5 on a stream: accepted messages per record-time bucket, emitted once the
+    watermark passes the bucket's end (append mode); later rows for a closed bucket
+    are dropped by the watermark, as Structured Streaming defines."""
+    from pyspark.sql import functions as F
+
+    from hopline.operators import validate
+
+    acc = validate.accepted(P.receiver(kafka_rows)).withColumn("_t", F.timestamp_millis("kafka_ts"))
+    seconds = float(bucket.split()[0])
+    return (
+        acc.withWatermark("_t", watermark)
+        .groupBy(F.window("_t", bucket).alias("w"))
+        .agg(F.count(F.lit(1)).alias("messages"))
+        .select(
+            F.unix_millis(F.col("w.start")).alias("bucket_start_ms"),
+            "messages",
+            (F.col("messages").cast("double") / F.lit(seconds)).alias("rate_mps"),
+        )
+    )

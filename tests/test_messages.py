@@ -57,3 +57,19 @@ def test_kafka_options():
     assert src["maxOffsetsPerTrigger"] == "1" and src["kafka.group.id"] == "spout_group"
     sink = kafka_sink_options("broker:9092", "/ckpt")
     assert sink["kafka.acks"] == "0" and sink["kafka.retries"] == "0"
+
+
+def test_spout_on_bare_kafka_rows(spark):
+    from datetime import datetime
+
+    from hopline.schema import KAFKA_ROW
+
+    rows = [(None, b"11111111-2222-3333-4444-555555555555", "beforeStorm", 2, 7, datetime(2024, 1, 1, 0, 0, 1), 0),
+            (None, b"66666666-2222-3333-4444-555555555555", "beforeStorm", 2, 8, datetime(2024, 1, 1, 0, 0, 2), 0)]
+    kafka = spark.createDataFrame(rows, KAFKA_ROW)
+    t = Topology()
+    out = spout(kafka, t.component("TimerSpout")).orderBy("event_id").collect()
+    assert [r.row_id for r in out] == ["beforeStorm/2/7", "beforeStorm/2/8"]
+    assert [r.event_id for r in out] == [7, 8]
+    assert out[0].uuid == "11111111-2222-3333-4444-555555555555"
+    assert out[1].messageTimestamp - out[0].messageTimestamp == 1000
