@@ -6,7 +6,8 @@ is one giant sort. Instead the ordered range of each group is cut into slices
 of the leading order column (message time):
 
 1. one tiny aggregate finds the range and row count of that column;
-2. the slice width is chosen so a slice holds about ``target_rows`` rows;
+2. the slice width is chosen so a (group, slice) holds about ``target_rows`` rows
+   (when one slice per group is enough, a plain window per group is used instead);
 3. rows per (group, slice) are counted (partial aggregation, small shuffle) and
    turned into a running offset per group with a window over the count table;
 4. rows are ranked inside their (group, slice) and the offset is added.
@@ -33,7 +34,7 @@ def arrival_rank(
     slice_col: str | None = None,
     max_groups: int = 16,
     target_rows: int = 1 << 20,
-    max_slices: int = 4096,
+    max_slices: int = 1 << 16,
     broadcast_bytes: int = 8 << 20,
     stats: tuple[int, int, int] | None = None,
 ) -> DataFrame:
@@ -55,7 +56,14 @@ def arrival_rank(
     if not stats or stats[0] is None:
         return df.withColumn("rn", F.lit(None).cast("bigint")).withColumn("group_rows", F.lit(0).cast("bigint"))
     lo, hi, n = int(stats[0]), int(stats[1]), max(1, int(stats[2]))
-    n_slices = min(max_slices, max(1, -(-n // target_rows)))
+    # about target_rows per (group, slice): that is what one task sorts
+    n_slices = min(max_slices, max(1, -(-n // (target_rows * max(1, max_groups)))))
+    if n_slices == 1:
+        # every group fits one task: rank and group size from one window, no count pass
+        by_group = Window.partitionBy(*group_cols)
+        return df.withColumn("rn", F.row_number().over(by_group.orderBy(*order_cols))).withColumn(
+            "group_rows", F.count(F.lit(1)).over(by_group)
+        )
     width = max(1, -(-(hi - lo + 1) // n_slices))
     n_slices = -(-(hi - lo + 1) // width)
 

@@ -39,5 +39,15 @@ def test_broadcast_only_under_proven_bound(spark):
     def hinted(**kw):
         return "broadcast" in arrival_rank(df, ["g"], ["t", "id"], "t", **kw)._jdf.queryExecution().analyzed().toString().lower()
 
-    assert hinted(max_groups=6, target_rows=100)
-    assert not hinted(max_groups=10**7, target_rows=1)
+    assert hinted(max_groups=6, target_rows=10)
+    # a huge bound (many groups, many slices) is joined by shuffle, never broadcast
+    big = arrival_rank(df, ["g"], ["t", "id"], "t", max_groups=10**6, target_rows=1, stats=(0, 10_000, 10**12))
+    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
+    want = {r.id: r.rn for r in arrival_rank(df, ["g"], ["t", "id"], "t").collect()}
+    assert {r.id: r.rn for r in big.collect()} == want
+
+
+def test_single_slice_path_has_no_count_pass(spark):
+    df = _frame(spark, 300)
+    plan = arrival_rank(df, ["g"], ["t", "id"], "t", max_groups=6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
