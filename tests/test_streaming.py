@@ -107,3 +107,15 @@ def test_throughput_by_time_stream_watermark(spark):
     want = {r.bucket_start_ms: r.messages for r in metrics.throughput_by_time(acc, 2000).collect()}
     assert got and all(want[k] == v for k, v in got.items())  # every emitted bucket is exact
     assert len(got) >= len(want) - 2  # only buckets the final watermark has not passed stay open
+
+
+def test_console_sink_runs(spark, capfd):
+    from hopline.streaming.sinks import console_sink
+
+    root = tempfile.mkdtemp(prefix="hopline-console-")
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(5).write.parquet(os.path.join(root, "in"))
+    schema = spark.read.parquet(os.path.join(root, "in")).schema
+    stream = P.basic(events_as_inbound(spark.readStream.schema(schema).parquet(os.path.join(root, "in"))))
+    q = console_sink(stream.select("row_id", F.array_join("path", ">").alias("path")), availableNow=True)
+    q.awaitTermination(120)
+    assert q.exception() is None

@@ -107,3 +107,28 @@ def test_all_pipeline_amplification(spark):
     out = P.all_in_one(events_as_inbound(make_events(spark, 100))).count()
     # 100 messages x 20 copies over 16 lanes, windows of 10: at most 200, at least 200 - 16
     assert 184 <= out <= 200
+
+
+def test_join_split_pick_and_average_invariants(spark):
+    from hopline.plans.topology import Routed
+
+    t = Topology()
+    sp = t.component("TimerSpout")
+    pb, pm = t.component("PathBolt"), t.component("PathMultiplier")
+    s = spout(events_as_inbound(make_events(spark, 300)), sp, num_streams=2)
+    front = P.fork_path_and_multiplier(s, Routed({"kafkaMessages0": pb, "kafkaMessages1": pm}), pm)
+    js = t.component("JoinSplitBolt")
+    cw = windows.count_window(front, js, 20)
+    members = {}
+    for r in cw.collect():
+        members.setdefault((r.lane, r.win, r.stream), []).append(r)
+    out = windows.join_split(front, js, 20).where("stream = 'Stream3'").collect()
+    assert out
+    for r in out:
+        rows = members[(r.lane, r.win, r.source_stream)]
+        picked = [x for x in rows if x.row_id == r.row_id]
+        assert len(picked) == 1  # the pick belongs to its window and source stream
+        same_path = [x.originTimestamp for x in rows if x.path == picked[0].path]
+        assert r.entryMilliTimestamp == r.originTimestamp == sum(same_path) // len(same_path)
+        assert min(same_path) <= r.originTimestamp <= max(same_path)
+        assert r.path[:-1] == picked[0].path and r.path[-1].startswith("JoinSplitBolt:")
