@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from hopline.operators import messages, windows
+from hopline.operators import fanout, messages, windows
 from hopline.plans import pipelines as P
 from hopline.plans.topology import Routed, Topology
 from hopline.sources.kafka import spout
@@ -36,6 +36,22 @@ def window_stream(inbound: DataFrame, topo: Topology | None = None, n: int = 10,
     return w, finish
 
 
+def all_stream(inbound: DataFrame, topo: Topology | None = None, copies: int = 20, n: int = 10):
+    """T6 on a stream: fixed fan-out, the stateful count window, and a ``finish`` that picks
+    one message per full window and sends it."""
+    topo = topo or Topology()
+    s = spout(inbound, topo.component("TimerSpout"))
+    m = fanout.fanout_fixed(s, topo.component("MultiPathBolt"), copies, out_stream="Stream2")
+    wc = topo.component("WindowedPathBolt")
+    sender = topo.component("SenderBolt")
+    w = stream_count_window(m, wc, n)
+
+    def finish(batch: DataFrame) -> DataFrame:
+        return messages.send_stage(windows.emit_one(batch, wc, n, out_stream="Stream3", windowed=True), sender)
+
+    return w, finish
+
+
 def fish_stream(inbound: DataFrame, topo: Topology | None = None, n: int = 20):
     """T5 on a stream: the two-stream front half, the stateful count window over both
     streams, and a ``finish`` that join-splits and sends each batch's full windows."""

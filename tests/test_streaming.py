@@ -47,7 +47,8 @@ def _run(spark, build, src, out, ckpt):
     assert q.exception() is None
 
 
-@pytest.mark.parametrize("build,batch", [(S.window_stream, P.window), (S.fish_stream, P.fish)])
+@pytest.mark.parametrize("build,batch", [(S.window_stream, P.window), (S.fish_stream, P.fish),
+                                         (S.all_stream, P.all_in_one)])
 def test_stream_matches_batch_with_restart(spark, build, batch):
     root = tempfile.mkdtemp(prefix="hopline-stream-")
     ev, chunks, _ = _chunks(spark, root)
