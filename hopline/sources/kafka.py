@@ -49,9 +49,12 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # e.g. Spark Connect has no RDD view; leave the source as it is
+        return df
+    if current >= target:
         return df
     return df.repartition(target, key)
 
