@@ -30,16 +30,26 @@ CARRIED = [
 ]
 
 
+def lane_hash(comp: Component) -> Column:
+    """The shuffle-grouping hash at ``comp``: lane = value % lanes; the full value also
+    orders the random pick inside a window (uniform: within a lane only the quotient varies)."""
+    return hash32(comp.seed, comp.name, "lane", F.col("row_id"))
+
+
 def count_window(df: DataFrame, comp: Component, n: int, grouping: str = "shuffle", **rank_kw) -> DataFrame:
     """Assign each row of a full window its ``lane``, ``win`` and arrival position ``pos``."""
-    d = df.withColumn("lane", lane_for(comp, grouping))
+    if grouping == "shuffle":
+        d = df.withColumn("_lh", lane_hash(comp)).withColumn("lane", F.col("_lh") % comp.lanes)
+    else:
+        d = df.withColumn("lane", lane_for(comp, grouping)).withColumn("_lh", lane_hash(comp))
     d = arrival_rank(d, ["lane"], ARRIVAL_ORDER, "msg_ts", max_groups=comp.lanes, **rank_kw)
     d = d.where(F.col("rn") <= F.expr(f"(group_rows div {n}) * {n}"))
     return d.withColumn("win", F.expr(f"(rn - 1) div {n}")).withColumnRenamed("rn", "pos").drop("group_rows")
 
 
-def _pick_key(comp: Component) -> Column:
-    return F.struct(hash32(comp.seed, comp.name, "pick", F.col("row_id")).alias("h"), F.col("row_id").alias("r"))
+def _pick_key(comp: Component, df: DataFrame | None = None) -> Column:
+    h = F.col("_lh") if df is not None and "_lh" in df.columns else lane_hash(comp)
+    return F.struct(h.alias("h"), F.col("row_id").alias("r"))
 
 
 def _carried(cols=CARRIED) -> Column:
@@ -91,7 +101,7 @@ def emit_by_spout(df: DataFrame, comp: Component, n: int, out_stream: str = "pat
     by_win = Window.partitionBy("lane", "win")
     by_task = Window.partitionBy("lane", "win", "spout_task")
     d = (
-        w.withColumn("_pick", _pick_key(comp))
+        w.withColumn("_pick", _pick_key(comp, w))
         .withColumn("_mx", F.max("timestamp").over(by_win))
         .withColumn("_cnt", F.count(F.lit(1)).over(by_task))
         .withColumn("_sum", F.sum("entryMilliTimestamp").over(by_task))
@@ -119,7 +129,7 @@ def emit_one(df: DataFrame, comp: Component, n: int, create_path_msg: bool = Fal
     w = _windowed(df, comp, n, create_path_msg, **rank_kw)
     if group_by == "tuple":
         g = w.groupBy("lane", "win").agg(
-            F.max("timestamp").alias("_mx"), F.min_by(_carried(), _pick_key(comp)).alias("p")
+            F.max("timestamp").alias("_mx"), F.min_by(_carried(), _pick_key(comp, w)).alias("p")
         )
         now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
         entry = F.col("p.entryMilliTimestamp")
@@ -157,7 +167,7 @@ def _join_split_core(w: DataFrame, comp: Component, out1: str, out2: str, now_of
     d = (
         w.withColumn("_ps", path_string(F.col("path"), " "))
         .withColumn("_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps")))
-        .withColumn("_pick", _pick_key(comp))
+        .withColumn("_pick", _pick_key(comp, w))
         .withColumn("_mx", F.max("timestamp").over(by_win))
         .withColumn("_cnt", F.count(F.lit(1)).over(by_path))
         .withColumn("_sum", F.sum("originTimestamp").over(by_path))
@@ -193,7 +203,8 @@ def join_split_time(df: DataFrame, comp: Component, window_ms: int = 2000, out1:
     the window fires at its end, ``(win + 1) * window_ms``. No ranking is needed.
     """
     arrival = comp.clock.hop(F.col("timestamp"), F.col("row_id"), comp.name)
-    w = df.withColumn("lane", lane_for(comp, "shuffle")).withColumn("_arr", arrival).withColumn(
+    w = df.withColumn("_lh", lane_hash(comp)).withColumn("lane", F.col("_lh") % comp.lanes).withColumn(
+        "_arr", arrival).withColumn(
         "win", F.expr(f"_arr div {window_ms}")
     )
     return _join_split_core(w, comp, out1, out2, lambda g: (F.col("win") + 1) * F.lit(window_ms))

@@ -248,7 +248,7 @@ def mult_draw(comp: Comp, vmin=1, vmax=20, mean=10, std=1.0) -> str:
 
 
 def count_window(s: Sql, src: str, comp: Comp, n: int) -> str:
-    a = s.add(f"SELECT * REPLACE ({lane_expr(comp)} AS lane) FROM {src}", "wl")
+    a = s.add(f"SELECT * REPLACE ({lane_expr(comp)} AS lane) FROM {src}", "wl")  # lane = pick hash % lanes
     b = s.add(
         f"SELECT *, row_number() OVER (PARTITION BY lane ORDER BY msg_ts, event_id, stream, copy) AS pos, "
         f"count(*) OVER (PARTITION BY lane) AS _cnt FROM {a}",
@@ -272,7 +272,8 @@ def emit(comp: Comp, out_stream: str, entry: str, origin: str) -> str:
 
 
 def pick_order(comp: Comp) -> str:
-    return f"{H(str(SEED), comp.name_sql, q('pick'), 'row_id')}, row_id"
+    """Random pick in a window: the window component's lane hash (full value), then row_id."""
+    return f"{H(str(SEED), comp.name_sql, q('lane'), 'row_id')}, row_id"
 
 
 def emit_one(s: Sql, src: str, comp: Comp, n: int, create_path_msg=False, group_by="tuple", out_stream="pathMessages") -> str:
