@@ -120,3 +120,21 @@ def test_console_sink_runs(spark, capfd):
     q = console_sink(stream.select("row_id", F.array_join("path", ">").alias("path")), availableNow=True)
     q.awaitTermination(120)
     assert q.exception() is None
+
+
+def test_run_entry_point_batch_and_stream(spark):
+    from hopline.run import run
+
+    root = tempfile.mkdtemp(prefix="hopline-run-")
+    ev = f"{SF_SMALL}/events.parquet"
+    run(spark, "basic", ev, os.path.join(root, "basic"))
+    out = spark.read.parquet(os.path.join(root, "basic"))
+    assert out.count() == spark.read.parquet(ev).count()
+    assert set(out.columns) >= {"value", "timestamp", "timestampType", "partition"}
+    run(spark, "receiver", os.path.join(root, "basic"), os.path.join(root, "points"))
+    assert spark.read.parquet(os.path.join(root, "points")).count() == 2 * out.count()
+    spark.read.parquet(ev).write.parquet(os.path.join(root, "in"))  # a file stream reads a folder
+    run(spark, "window", os.path.join(root, "in"), os.path.join(root, "wstream"), stream=True,
+        checkpoint=os.path.join(root, "ck"))
+    want = P.window(events_as_inbound(spark.read.parquet(ev))).count()
+    assert spark.read.parquet(os.path.join(root, "wstream")).count() == want
