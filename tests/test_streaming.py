@@ -2,6 +2,7 @@
 and a restart from the checkpoint in the middle of the stream."""
 
 import os
+import sys
 import tempfile
 
 import pytest
@@ -138,3 +139,33 @@ def test_run_entry_point_batch_and_stream(spark):
         checkpoint=os.path.join(root, "ck"))
     want = P.window(events_as_inbound(spark.read.parquet(ev))).count()
     assert spark.read.parquet(os.path.join(root, "wstream")).count() == want
+
+
+def test_recovery_after_killed_process(spark):
+    import subprocess
+    import time
+
+    root = tempfile.mkdtemp(prefix="hopline-kill-")
+    ev, chunks, _ = _chunks(spark, root, parts=6)
+    src, out, ckpt = os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "ckpt")
+    os.makedirs(src)
+    for i, c in enumerate(chunks):
+        for f in sorted(os.listdir(c)):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(c, f), os.path.join(src, f"part{i}-{f}"))
+    worker = os.path.join(os.path.dirname(os.path.abspath(__file__)), "stream_worker.py")
+    proc = subprocess.Popen([sys.executable, worker, src, out, ckpt, f"{SF_SMALL}/events.parquet"],
+                            stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    try:
+        deadline = time.time() + 240
+        while time.time() < deadline and not os.path.exists(os.path.join(ckpt, "commits", "1")):
+            time.sleep(0.5)
+        assert os.path.exists(os.path.join(ckpt, "commits", "1")), "worker made no progress"
+    finally:
+        proc.kill()  # SIGKILL: no clean shutdown, possibly mid-batch
+        proc.wait(60)
+    _run(spark, S.window_stream, src, out, ckpt)  # resume from the checkpoint in this process
+    got = spark.read.parquet(out)
+    want = P.window(events_as_inbound(ev))
+    assert _rows(got) == _rows(want)
+
