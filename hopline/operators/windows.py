@@ -6,8 +6,11 @@ window never fires and its rows are dropped. The stateful streaming form is in
 ``hopline.streaming.count_window``; both give the same windows when input
 arrives in order.
 
-Picks ("one random tuple", "a random path") are min-by of a salted hash, so
-each is uniform, reproducible and computed with partial aggregation.
+Picks ("one random tuple", "a random path") take the least salted hash (the
+window component's lane hash for rows, a path hash for paths), so each is
+uniform and reproducible. One-random windows pick with a partial aggregate
+(N rows shrink to one before any exchange); the grouped variants (by spout
+task, by path, join-split) are window functions over one (lane, win) exchange.
 """
 
 from __future__ import annotations
