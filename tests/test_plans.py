@@ -37,3 +37,13 @@ def test_join_split_exchanges(spark):
     by_win = re.findall(r"Exchange hashpartitioning\(lane#\d+L, win#\d+L", plan)
     assert len(rank) == 1 and len(by_win) == (1 if rank[0] else 0)
     assert "SortAggregate" not in plan
+
+
+def test_every_registered_query_scans_the_given_tables(spark):
+    import __spark_entry__ as entry
+
+    for name, q in entry.queries().items():
+        plan = q(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "events.parquet" in plan or "hopline-table-" in plan, name
+        if name != "key_distribution":  # its 16-row expected-weights table is the only literal input
+            assert "LocalTableScan" not in plan, name
