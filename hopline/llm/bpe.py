@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from hopline.llm.common import ship
 
 WIDE = 64  # bytes; longer pieces are merged alone
-REMEMBERED = 400_000  # merged pieces in each half of a worker's memory
+REMEMBERED = 250_000  # merged pieces in each half of a worker's memory
+PART_CHARS = 1 << 21  # characters encoded at a time
 NONE = np.int64(1 << 40)  # rank of a pair that is no token
 
 
@@ -232,17 +233,17 @@ class Encoder:
         self.memory = {} if memory is None else memory
         self.memory.setdefault("young", {}), self.memory.setdefault("old", {})
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids, packed; a few megabytes of text at a time."""
+    def encode(self, texts: list[str]) -> Iterator[list[bytes]]:
+        """Lists of each text's ids, packed, for a few megabytes of text at a time."""
         part: list[str] = []
         chars = 0
         for text in texts:
             part.append(text)
             chars += len(text)
-            if chars >= 1 << 22:
-                yield from self._encode(part)
+            if chars >= PART_CHARS:
+                yield list(self._encode(part))
                 part, chars = [], 0
-        yield from self._encode(part)
+        yield list(self._encode(part))
 
     def _cut(self, text: str) -> list[str]:
         try:
@@ -300,7 +301,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         vocab, memory = vocabulary()
         encoder = Encoder(vocab, pattern, memory)
         for texts in batches:
-            yield pd.Series(list(encoder.encode(texts.fillna("").tolist())), dtype=object)
+            for ids in encoder.encode(texts.fillna("").tolist()):
+                yield pd.Series(ids, dtype=object)
 
     return docs.withColumn(ids_col, packed_ids(F.col(text_col)))
 
@@ -318,14 +320,29 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     return encoded.withColumn(bytes_col, text_bytes(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "coded") -> DataFrame:
+    """``docs`` with ``out_col``: (ids, decoded), encoded and decoded again in one Python worker a task."""
+    vocabulary = _tasks(docs.sparkSession, path)
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocab, memory = vocabulary()
+        encoder, decoder = Encoder(vocab, pattern, memory), Decoder(vocab)
+        for texts in batches:
+            for ids in encoder.encode(texts.fillna("").tolist()):
+                yield pd.DataFrame({"ids": ids, "decoded": [decoder.decode(p) for p in ids]}, dtype=object)
+
+    return docs.withColumn(out_col, both(F.col(text_col)))
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: number of ids, digest of the ids and digest of the bytes that they decode to."""
-    both = decode(encode(docs.select(F.col(id_col), F.col(text_col)), path, pattern, text_col, "_ids"), path, "_ids", "_bytes")
-    return both.select(
-        F.col(id_col),
-        (F.octet_length("_ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("_ids", 256).alias("ids_sha256"),
-        F.sha2("_bytes", 256).alias("decoded_sha256"),
+    coded = round_trip(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, pattern, "text", "c")
+    return coded.select(
+        F.col("id").alias(id_col),
+        (F.octet_length("c.ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("c.ids", 256).alias("ids_sha256"),
+        F.sha2("c.decoded", 256).alias("decoded_sha256"),
     )
 
 
