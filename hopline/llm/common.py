@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run without ASCII white space; lower-casing touches A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def ship(module: str) -> None:
@@ -31,5 +32,6 @@ def hex64(col: Column) -> Column:
 
 
 def two_hashes(*cols: Column) -> list[Column]:
-    """Two independent 64-bit digests of the columns, for equality joins on wide values."""
-    return [F.xxhash64(*cols).alias("_h1"), F.xxhash64(F.lit(7919), *cols).alias("_h2")]
+    """Two independent 64-bit digests of the columns (null is a value of its own), for equality joins on wide values."""
+    told = [x for c in cols for x in (c.isNull(), c)]
+    return [F.xxhash64(*told).alias("_h1"), F.xxhash64(F.lit(7919), *told).alias("_h2")]

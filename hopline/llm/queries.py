@@ -7,17 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import bpe, simhash
+from hopline.llm import bpe, chat, credentials, mixing, simhash, urlrules
 from hopline.llm.common import hex64, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+#: verdict, host, path
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+#: A conversation whose texts look like control strings.
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digests(credentials.scan(table(spark, sf_dir, "documents")))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
+    return chat.digests(chat.format_chats(rows.unionByName(odd)))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,7 +55,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": op6_simhash, "op10_bpe": op10_bpe}
+    return {f.__name__: f for f in (
+        op1_credentials, op2_chat, op4_mixing, op6_simhash, op8_urls, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
