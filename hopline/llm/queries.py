@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopline.llm import bpe, chat, credentials, mixing, simhash, urlrules
+from hopline.llm import ann, bpe, chat, credentials, mixing, ppm, simhash, syncmers, toxicity, urlrules
 from hopline.llm.common import hex64, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -34,20 +34,36 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(odd)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.predict(table(spark, sf_dir, "documents"))
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return urlrules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +72,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_credentials, op2_chat, op4_mixing, op6_simhash, op8_urls, op10_bpe)}
+        op1_credentials, op2_chat, op3_toxicity, op4_mixing, op5_neighbours, op6_simhash, op7_language, op8_urls,
+        op9_syncmers, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
