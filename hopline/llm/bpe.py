@@ -320,6 +320,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     return encoded.withColumn(bytes_col, text_bytes(F.col(ids_col)))
 
 
+def encoded(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns, ``n_tokens`` and ``ids`` of every document."""
+    names = {c: f"_{i}" for i, c in enumerate(keep)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(text_col).alias("text"))
+    return encode(rows, path, pattern, "text", "ids").select(
+        *[F.col(n).alias(c) for c, n in names.items()], (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "coded") -> DataFrame:
     """``docs`` with ``out_col``: (ids, decoded), encoded and decoded again in one Python worker a task."""
     vocabulary = _tasks(docs.sparkSession, path)
