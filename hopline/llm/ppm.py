@@ -205,7 +205,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             lengths = trees.lengths(texts.fillna("").tolist())
             best = lengths.argmin(axis=1)
             share = 1 / np.exp2(lengths.min(axis=1, keepdims=True) - lengths).sum(axis=1)
-            yield pd.DataFrame({"lang": np.where(some, names[best], UNKNOWN), "score": np.where(some, share, 0.0)})
+            lang = pd.Series(np.where(some, names[best], UNKNOWN), dtype=object)
+            yield pd.DataFrame({"lang": lang, "score": np.where(some, share, 0.0)})
 
     return rows.withColumn("found", decide("text")).select(
         F.col("id").alias(id_col), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))

@@ -78,9 +78,9 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 top.append(stack[-1][1:] if stack else (None, None, None))
             else:
                 stack.append((key, int(chars), rule, verdict))
-        out = batch.loc[page, ["page", "url", "depth"]].reset_index(drop=True)
-        yield out.assign(**dict(zip(("host_chars", "rule", "verdict"), map(list, zip(*top)), strict=True))
-                         if top else {"host_chars": [], "rule": [], "verdict": []})
+        found = {c: batch[c].to_numpy(dtype=object)[page] for c in ("page", "url", "depth")}
+        found |= {c: [t[i] for t in top] for i, c in enumerate(("host_chars", "rule", "verdict"))}
+        yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in found.items()})
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
