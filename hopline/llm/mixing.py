@@ -133,7 +133,8 @@ def drawn_parts(placed: DataFrame, all_slots: DataFrame, block: int = BLOCK) ->
     parts = touched.withColumn("from", low - F.col("start")).withColumn("words", high - low)
     draws = all_slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-    return parts.join(draws, on, "left").drop("s", "b")
+    # slots unfold from a row a source, so a plan's size estimate is far too small: never broadcast them
+    return parts.join(draws.hint("merge"), on, "left").drop("s", "b")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
