@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from hopline.llm.common import ship
 
-SAMPLE = 64  # keys sampled for each range; only balances the ranges
+SAMPLE = 16  # keys sampled for each range; only balances the ranges
 LIMIT_CHARS = 256  # a range limit needs no longer key
 
 
