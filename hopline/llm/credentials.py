@@ -110,7 +110,11 @@ def written(spans: Column) -> Column:
 
 def digests(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < len(STRONG))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(STRONG)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(STRONG)]
     return scanned.select(id_col, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
