@@ -122,12 +122,21 @@ def place_scores(line: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def join_lines(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The strings with spaces between and around, so that no window sees two of them; and where each begins (a space)."""
+def join_lines(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings with spaces between and around; the first place of each (a space before it) and the one beyond its last.
+
+    A window that begins in between sees one string only.
+    """
     gap = np.zeros(TAIL + STARTS, np.uint8)
-    starts = np.cumsum([0] + [len(p) + len(gap) for p in parts])[:-1]
-    line = np.concatenate([x for p in parts for x in (gap[:1], p, gap[1:])] + [gap]) if parts else gap
-    return line, starts
+    lens = np.array([len(p) for p in parts], np.int64)
+    starts = np.cumsum(lens + len(gap)) - lens - len(gap)
+    line = np.concatenate([x for p in parts for x in (gap[:1], p, gap[1:])] + [gap])
+    return line, starts, starts + 1 + lens
+
+
+def highest(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The highest of each string's windows."""
+    return np.maximum.reduceat(scores, np.stack([starts, ends], axis=1).ravel())[::2]
 
 
 def window_scores(line: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -214,8 +223,8 @@ class Machine:
 
         def flush() -> None:
             if rows:
-                line, starts = join_lines(parts)
-                out[rows] = np.maximum.reduceat(window_scores(line, self.weight), starts)
+                line, starts, ends = join_lines(parts)
+                out[rows] = highest(window_scores(line, self.weight), starts, ends)
 
         for i, text in enumerate(texts):
             parts.append(symbols(text, table))
@@ -235,24 +244,27 @@ def train(pieces: pd.DataFrame, rounds: int = 3, landmarks: int = 400) -> Machin
     pieces = pieces.sort_values(["doc", "text"], kind="stable")
     table = symbol_table()
     parts = [symbols(t, table) for t in pieces["text"]]
-    line, starts = join_lines(parts)
+    line, starts, ends = join_lines(parts)
     doc_names, doc_of = np.unique(pieces["doc"].to_numpy(), return_inverse=True)
     toxic = np.zeros(len(doc_names), bool)
     toxic[doc_of] = pieces["toxic"].to_numpy() > 0
-    doc = np.repeat(doc_of, np.diff(np.append(starts, len(line))))[:len(line) - TAIL - STARTS + 1]
-    places = len(doc)
+    places = len(line) - TAIL - STARTS + 1
+    doc = np.full(places, -1, np.int64)  # the document whose window begins at a place
+    for d, a, e in zip(doc_of, starts, ends, strict=True):
+        doc[a:e] = d
+    inside = doc >= 0
     bad_docs, good_docs = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     # first ranking: how much oftener toxic documents hold the four symbols from here
     plain = codes_at(line, np.arange(len(line) - TAIL))[:, 0]
-    pair = np.unique(doc * SYMBOLS ** ORDER + plain[:places])
+    pair = np.unique((doc * SYMBOLS ** ORDER + plain[:places])[inside])
     where, own = pair % SYMBOLS ** ORDER, toxic[pair // SYMBOLS ** ORDER]
     hits, misses = (np.bincount(where[m], minlength=SYMBOLS ** ORDER) for m in (own, ~own))
     expected = (hits + misses) * len(bad_docs) / len(doc_names)
     surprise = np.maximum((hits - expected) / np.sqrt(expected + 1) - 1.5, 0)
     run = np.concatenate(([0.0], np.cumsum(surprise[plain])))
-    scores = (run[STARTS:] - run[:-STARTS])[:places]
-    rng = np.random.default_rng(7)
-    random = rng.choice(np.flatnonzero(~toxic[doc]), min(3000, int((~toxic[doc]).sum())), replace=False)
+    scores = np.where(inside, (run[STARTS:] - run[:-STARTS])[:places], -np.inf)
+    clean_places = np.flatnonzero(inside & ~toxic[doc])
+    random = np.random.default_rng(7).choice(clean_places, min(3000, len(clean_places)), replace=False)
     good = np.array([], np.int64)
     rarity = rarities(line)
     for _ in range(rounds):
@@ -262,9 +274,9 @@ def train(pieces: pd.DataFrame, rounds: int = 3, landmarks: int = 400) -> Machin
         bad = bad[scores[bad] > limit] if (scores[bad] > limit).any() else bad
         good = np.unique(np.concatenate([good, clean]))
         weight = fold(line, bad, np.unique(np.concatenate([good, random])), scores, rarity, landmarks)
-        scores = window_scores(line, weight[:-1].astype(np.float32))[:places]
+        scores = np.where(inside, window_scores(line, weight[:-1].astype(np.float32))[:places], -np.inf)
     top = np.full(len(doc_names), -np.inf)
-    np.maximum.at(top, doc, scores)
+    np.maximum.at(top, doc[inside], scores[inside])
     # the score is 0.7 midway between the clean documents' highest windows and the middle of the toxic documents'
     clean_top, toxic_middle = np.quantile(top[good_docs], 0.999), np.quantile(top[bad_docs], 0.4)
     low = np.quantile(top[bad_docs], 0.02)
