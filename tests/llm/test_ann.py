@@ -1,0 +1,79 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hopline.llm import ann
+
+SCHEMA = "vec_id bigint, embedding array<float>, id string, v int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA)
+
+
+def brute(rows, k=20):
+    own = {}
+    for i, v in rows:
+        if i is None or v is None or not len(v) or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+            continue
+        v = tuple(np.float32(x).astype(float) for x in v)
+        own[i] = min(own.get(i, v), v)
+    out = {}
+    for q in own:
+        if q % 20 == 0:
+            near = sorted((-float(np.dot(own[q], own[c])), c) for c in own if c != q and len(own[c]) == len(own[q]))[:k]
+            out[q] = [(c, -s) for s, c in near]
+    return out
+
+
+def search(df, **options):
+    out = {}
+    for r in sorted(ann.search(df, F.col("id") % 20 == 0, **options).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(out[r["query_id"]])
+    return out
+
+
+def test_recall_on_the_table(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    want, got = brute(rows), search(frame(spark, rows))
+    assert set(got) == set(want) and all(len(g) == 20 for g in got.values())
+    assert np.mean([len({c for c, _ in got[q]} & {c for c, _ in want[q]}) / 20 for q in want]) >= 0.9
+    vectors = {i: np.array(v, float) for i, v in rows}
+    assert all(abs(s - vectors[q] @ vectors[c]) < 1e-12 for q in got for c, s in got[q])
+
+
+@pytest.mark.parametrize("part", [4, 8192])
+def test_small_tables_are_searched_whole(spark, part):
+    """Few candidates, ties, copies, odd vectors and two lengths: the second pass makes it exact."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(0, 60)]
+    rows += [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(100, 160)]
+    rows += [(200, None), (220, [0.0, 0.0]), (240, [None, 1.0]), (260, [float("nan"), 1.0]), (280, [float("inf"), 1.0]), (300, []),
+             (None, [1.0, 2.0, 3.0, 4.0]), (320, [1.0, 2.0]), (321, [5.0, 1.0]), (340, [-1.0, 1e30]), (0, [2.0, 2.0, 2.0, 2.0])]
+    rows += rows[:3]
+    want, got = brute(rows), search(frame(spark, rows), part=part, tables=2, success=0.999)
+    assert set(want) == {q for q in got} | {q for q in want if not want[q]}
+    for q, near in want.items():
+        assert [round(s, 6) for _, s in got.get(q, [])] == [round(s, 6) for _, s in near]
+        assert [c for c, _ in got.get(q, [])] == [c for c, _ in near]
+
+
+def test_a_hot_vector_is_one_class(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(1000 + i, [1.0, 2.0, 2.0 + i]) for i in range(30)]
+    want, got = brute(rows), search(frame(spark, rows), success=0.999)
+    assert {q: [c for c, _ in n] for q, n in got.items()} == {q: [c for c, _ in n] for q, n in want.items()}
+
+
+def test_empty_table(spark):
+    assert ann.search(frame(spark, []), F.col("id") % 20 == 0).count() == 0
+
+
+def test_probes_come_in_order_of_success():
+    h = ann.Hashing(8, 1.0, 1.0, 1, 3, 1.5, 0.8)
+    p = np.random.default_rng(1).uniform(-3, 3, (5, 3))
+    for place, cells in zip(p, h.probes(p), strict=True):
+        draws = np.floor(place + np.random.default_rng(2).standard_normal((40_000, 3)) / 1.5)
+        share = [(draws == c).all(axis=1).mean() for c in cells]
+        assert (np.floor(place) == cells[0]).all() or share[0] >= share[1] - 0.02
+        assert all(a >= b - 0.02 for a, b in zip(share, share[1:])) and abs(sum(share) - 0.82) < 0.05

@@ -1,0 +1,108 @@
+import random
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from hopline.llm import toxicity as T
+from tests.llm.conftest import prose
+
+INSULTS = ["idiot", "moron", "scumbag", "worthless", "pathetic"]
+
+
+def sample(rng, n, insult):
+    words = prose(rng, n).split()
+    for _ in range(3 if insult else 0):
+        words.insert(rng.randrange(len(words)), rng.choice(INSULTS))
+    return " ".join(words) + "."
+
+
+@pytest.fixture(scope="module")
+def machine():
+    rng = random.Random(1)
+    rows = [(d, d % 4 == 0, sample(rng, 14, d % 4 == 0)) for d in range(400) for _ in range(2)]
+    return T.train(pd.DataFrame(rows, columns=["doc", "toxic", "text"]).assign(toxic=lambda f: f["toxic"].astype(int)))
+
+
+def test_scores_are_sums_over_gapped_subsequences():
+    rng = np.random.default_rng(2)
+    line = rng.integers(0, T.SYMBOLS, 60).astype(np.uint8)
+    weight = rng.standard_normal(T.SYMBOLS ** T.ORDER).astype(np.float32)
+    got = T.place_scores(line, weight)
+    for i in (0, 5, len(got) - 1):
+        want = 0.0
+        for rest in combinations(range(i + 1, min(len(line), i + T.TAIL + 1)), T.ORDER - 1):
+            at = (i, *rest)
+            steps = np.diff(at)
+            if steps.max() <= T.STEP:
+                code = 0
+                for p in at:
+                    code = code * T.SYMBOLS + int(line[p])
+                want += weight[code] * T.DECAY ** int((steps - 1).sum())
+        assert abs(got[i] - want) < 1e-3
+    assert np.allclose(T.window_scores(line, weight)[3], got[3:3 + T.STARTS].sum(), atol=1e-3)
+
+
+def test_chunks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    line = rng.integers(0, T.SYMBOLS, 500).astype(np.uint8)
+    weight = rng.standard_normal(T.SYMBOLS ** T.ORDER).astype(np.float32)
+    whole = T.place_scores(line, weight)
+    monkeypatch.setattr(T, "CHUNK", 17)
+    assert np.allclose(whole, T.place_scores(line, weight), atol=1e-4)
+
+
+def test_symbols():
+    table = T.symbol_table()
+    read = {s: "".join(" abcdefghijklmnopqrstuvwxyz*****"[x] for x in T.symbols(s, table)) for s in (
+        "I.d-i0o t", "you i d i o t now", "a b", "", "Élan 日本", "x  y")}
+    assert list(read.values()) == ["idio t", "you idiot now", "ab", "", "*lan **", "x  y"]
+
+
+def test_learns_insults_plain_gapped_and_with_inserted_characters(machine):
+    rng = random.Random(9)
+    table = T.symbol_table()
+    clean = [sample(rng, n, False) for n in (1, 5, 50, 500) for _ in range(50)]
+    bad = [f"{prose(rng, 30)} you {w} {prose(rng, 30)}" for w in INSULTS for _ in range(10)]
+    assert (machine.scores(clean, table) >= 0.7).mean() < 0.03
+    assert (machine.scores(bad, table) >= 0.7).mean() > 0.75
+    gapped = [f"{prose(rng, 10)} {g} {prose(rng, 10)}" for w in INSULTS for g in (".".join(w), " ".join(w), "-".join(w).upper())]
+    assert (machine.scores(gapped, table) >= 0.7).mean() > 0.7
+    one_more = [f"{prose(rng, 10)} {w[:4]}x{w[4:]} {prose(rng, 10)}" for w in INSULTS]
+    assert np.median(machine.scores(one_more, table)) > np.quantile(machine.scores(clean, table), 0.95)
+
+
+def test_batches_change_nothing(machine):
+    rng = random.Random(4)
+    table = T.symbol_table()
+    texts = [sample(rng, 20, i % 2 == 0) for i in range(20)] + ["", " ", "x"]
+    together = machine.scores(texts, table)
+    assert np.allclose(together, [machine.scores([t], table)[0] for t in texts], atol=1e-3)
+
+
+def test_labels_of_held_out_rows_are_not_used(spark, odd_docs):
+    rng = random.Random(6)
+    rows = [(i, sample(rng, 15, i % 3 == 0)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(odd_docs.select("doc_id", "text").where("doc_id is null or doc_id > 240"))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows] + [(None, 1, 1), (1, None, None)],
+                                   "doc_id bigint, quality int, toxic int")
+    flipped = labels.withColumn("toxic", F.when(T.held_out("doc_id", 3, 1), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    got = sorted(map(str, T.predict(docs, labels).collect()))
+    assert got == sorted(map(str, T.predict(docs, flipped).collect()))
+    right = T.predict(docs, labels).where("held_out").join(labels, "doc_id").agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0]
+    assert right > 0.95
+    kept = {r["doc_id"] for r in T.keep_clean(docs, labels).collect()}
+    assert kept == {r["doc_id"] for r in T.predict(docs, labels).where("predicted = 0").collect()}
+
+
+def test_odd_documents_and_nothing_to_learn(spark, odd_docs):
+    labels = spark.createDataFrame([(2, 1, 1), (5, 1, 0), (7, 0, 0), (10, 0, 1)], "doc_id bigint, quality int, toxic int")
+    got = T.predict(odd_docs, labels).collect()
+    assert len(got) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    none = T.predict(odd_docs, labels.limit(0)).collect()
+    assert {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
+    assert T.predict(odd_docs.limit(0), labels).count() == 0
+    kept = T.keep_clean(odd_docs, labels.limit(0))
+    assert kept.schema == odd_docs.schema and kept.count() == odd_docs.count()
