@@ -249,19 +249,22 @@ def train(pieces: pd.DataFrame, rounds: int = 3, landmarks: int = 400) -> Machin
     toxic = np.zeros(len(doc_names), bool)
     toxic[doc_of] = pieces["toxic"].to_numpy() > 0
     places = len(line) - TAIL - STARTS + 1
-    doc = np.full(places, -1, np.int64)  # the document whose window begins at a place
+    doc = np.full(places, -1, np.int32)  # the document whose window begins at a place
     for d, a, e in zip(doc_of, starts, ends, strict=True):
         doc[a:e] = d
     inside = doc >= 0
     bad_docs, good_docs = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     # first ranking: how much oftener toxic documents hold the four symbols from here
-    plain = codes_at(line, np.arange(len(line) - TAIL))[:, 0]
-    pair = np.unique((doc * SYMBOLS ** ORDER + plain[:places])[inside])
+    plain = np.zeros(len(line) - TAIL, np.int32)
+    for i in range(ORDER):
+        plain = plain * SYMBOLS + line[i:i + len(plain)]
+    pair = np.unique(doc[inside].astype(np.int64) * SYMBOLS ** ORDER + plain[:places][inside])
     where, own = pair % SYMBOLS ** ORDER, toxic[pair // SYMBOLS ** ORDER]
     hits, misses = (np.bincount(where[m], minlength=SYMBOLS ** ORDER) for m in (own, ~own))
     expected = (hits + misses) * len(bad_docs) / len(doc_names)
     surprise = np.maximum((hits - expected) / np.sqrt(expected + 1) - 1.5, 0)
-    run = np.concatenate(([0.0], np.cumsum(surprise[plain])))
+    run = np.concatenate(([0.0], np.cumsum(surprise[plain], dtype=np.float64)))
+    del plain, pair, where, own
     scores = np.where(inside, (run[STARTS:] - run[:-STARTS])[:places], -np.inf)
     clean_places = np.flatnonzero(inside & ~toxic[doc])
     random = np.random.default_rng(7).choice(clean_places, min(3000, len(clean_places)), replace=False)
@@ -307,7 +310,7 @@ def training_pieces(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return cut.withColumn("nth", nth).where(F.col("nth") <= pieces_per_doc).drop("nth")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_class: int = 800,
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_class: int = 600,
         pieces_per_doc: int = 60, parts: int = 3, which: int = 1) -> Machine | None:
     rows = training_pieces(docs, labels, id_col, text_col, docs_per_class, pieces_per_doc, parts, which)
     return train(rows.toPandas())
