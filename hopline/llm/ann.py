@@ -8,8 +8,8 @@ projections cut in cells of ``width``; a vector's bucket is its tuple of cells.
 is a product over the projections of how much of the Gaussian falls in the cell. A query visits buckets in order of
 that estimate until they make up ``success`` of all chances, in every table. r is read off a bounded sample.
 
-*Search.* A table's vectors are dealt by their first cell and, where many share it, by a salt into parts of about ``part``
-vectors; a query goes once to each part that holds buckets it visits, multiplies with those buckets and keeps its best
+*Search.* A table's vectors are dealt by their first cell and, where many share it, by a salt into parts of about ``part_bytes``
+of components; a query goes once to each part that holds buckets it visits, multiplies with those buckets and keeps its best
 of them. Tables are merged by vector and ranked by the inner product of the original vectors in double precision.
 Equal vectors are searched once, as one class, and unfolded at the end: a class needs only its ``k + 1`` smallest ids.
 A query's own class is one of those it finds, so ``k + 1`` are kept; one that found fewer (and not all) visits every bucket of one table in a second pass, which is exact.
@@ -202,7 +202,7 @@ def fit(classes: DataFrame, k: int, tables: int, hashes: int, width: float, succ
 
 
 def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 4,
-           hashes: int = 4, width: float = 1.6, success: float = 0.62, part: int = 8192) -> DataFrame:
+           hashes: int = 4, width: float = 1.6, success: float = 0.62, part_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of every row for which ``is_query`` (a condition on ``id``) holds."""
     own = cut_lineage(vectors(rows, id_col, vector_col).select("id", "v", "dim", *two_hashes(F.col("v"))))
     by_class = Window.partitionBy("_h1", "_h2").orderBy("id")
@@ -215,7 +215,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     key = "dim int, table int, cell int, id bigint, v array<double>"
     index = classes.select("dim", "id", "v").mapInPandas(lambda it: hash_rows(it, hashings), f"{key}, bucket bigint")
     index = cut_lineage(index)
-    salts = index.groupBy("dim", "table", "cell").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("salts"))
+    salts = index.groupBy("dim", "table", "cell").agg(F.ceil(F.count(F.lit(1)) * 8 * F.col("dim") / part_bytes).cast("int").alias("salts"))
     salted = index.join(salts, ["dim", "table", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
 
     def ask(probes: DataFrame, index_rows: DataFrame) -> DataFrame:

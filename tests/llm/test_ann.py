@@ -43,7 +43,7 @@ def test_recall_on_the_table(spark):
     assert all(abs(s - vectors[q] @ vectors[c]) < 1e-12 for q in got for c, s in got[q])
 
 
-@pytest.mark.parametrize("part", [4, 8192])
+@pytest.mark.parametrize("part", [4 * 8 * 4, 32 << 20])
 def test_small_tables_are_searched_whole(spark, part):
     """Few candidates, ties, copies, odd vectors and two lengths: the second pass makes it exact."""
     rng = np.random.default_rng(3)
@@ -52,7 +52,7 @@ def test_small_tables_are_searched_whole(spark, part):
     rows += [(200, None), (220, [0.0, 0.0]), (240, [None, 1.0]), (260, [float("nan"), 1.0]), (280, [float("inf"), 1.0]), (300, []),
              (None, [1.0, 2.0, 3.0, 4.0]), (320, [1.0, 2.0]), (321, [5.0, 1.0]), (340, [-1.0, 1e30]), (0, [2.0, 2.0, 2.0, 2.0])]
     rows += rows[:3]
-    want, got = brute(rows), search(frame(spark, rows), part=part, tables=2, success=0.999)
+    want, got = brute(rows), search(frame(spark, rows), part_bytes=part, tables=2, success=0.999)
     assert set(want) == {q for q in got} | {q for q in want if not want[q]}
     for q, near in want.items():
         assert [round(s, 6) for _, s in got.get(q, [])] == [round(s, 6) for _, s in near]
