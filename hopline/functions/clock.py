@@ -15,6 +15,8 @@ from hopline.functions.draws import hash32
 
 
 class WallClock:
+    knows_append_time = False
+
     def entry(self, row_id: Column, message_ts: Column) -> Column:
         return F.unix_millis(F.current_timestamp())
 
@@ -32,6 +34,8 @@ class WallClock:
 class SyntheticClock:
     """Deterministic clock; the delay bounds are parameters."""
 
+    knows_append_time = True
+
     def __init__(self, entry_ms: int = 20, hop_ms: int = 50, append_ms: int = 30):
         self.entry_ms, self.hop_ms, self.append_ms = entry_ms, hop_ms, append_ms
 

@@ -30,15 +30,6 @@ FALLBACK_KEY = "A"
 KEY_WEIGHTS = [w / 32.0 for w in KEY_WEIGHTS_32]
 
 
-def _cumulative(weights: Sequence[float]) -> list[float]:
-    out, acc = [], 0.0
-    for i, w in enumerate(weights):
-        acc = w if i == 0 else acc + w
-        out.append(acc)
-    return out
-
-
-KEY_CUMULATIVE = _cumulative(KEY_WEIGHTS)
 # the weights are multiples of 1/32, so "first cumulative weight >= u" is a lookup in
 # 32 equal slots: key i owns as many slots as its weight in 32nds (slot = ceil(32u) - 1)
 KEY_SLOTS = [k for k, w in zip(KEYS, KEY_WEIGHTS_32) for _ in range(w)]
@@ -85,10 +76,7 @@ def weighted_key(u: Column) -> Column:
 
 
 def normal_cdf(x: float, mean: float, std: float) -> float:
-    dev = x - mean
-    if abs(dev) > 40 * std:
-        return 0.0 if dev < 0 else 1.0
-    return 0.5 * math.erfc(-dev / (std * math.sqrt(2.0)))
+    return math.erfc((mean - x) / (std * math.sqrt(2.0))) / 2
 
 
 def multiplier_table(vmin: int, vmax: int, mean: float, std: float) -> tuple[list[int], list[float]]:

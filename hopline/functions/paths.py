@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from hopline.schema import PATH_MESSAGE
 
@@ -59,10 +60,22 @@ def to_json_fields(**fields: Column) -> Column:
 
 
 def parse_payload(text: Column) -> Column:
-    """Typed struct. Malformed text gives NULL fields, empty or NULL text a NULL struct."""
-    return F.from_json(text, PATH_MESSAGE)
+    """Typed struct; NULL for text that is not one JSON value.
+
+    The text is read as the only element of an array: text after the object, a second object and single quotes make
+    the array malformed or longer.
+    """
+    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")), ArrayType(PATH_MESSAGE), {"allowSingleQuotes": "false"})
+    return F.when(F.size(one) == 1, F.get(one, F.lit(0)))
 
 
 def is_json_object(text: Column) -> Column:
-    """True when ``text`` parses as a JSON object."""
-    return F.json_object_keys(text).isNotNull()
+    """True when ``text`` is a JSON object and nothing else: the only element of an array."""
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return (F.size(one) == 1) & F.startswith(F.schema_of_variant(F.get(one, F.lit(0))), F.lit("OBJECT"))
+
+
+def strings_only(text: Column) -> Column:
+    """Whether the elements of ``path`` in the JSON ``text`` are all strings (or null, which the parsed path shows)."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.path", "variant"))
+    return F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))

@@ -14,18 +14,28 @@ from hopline.operators.messages import BOOK_COLS, draw_key, receive, with_create
 from hopline.plans.topology import Component
 
 
-def _emit_copies(df: DataFrame, comp: Component, count: Column, out_stream: str) -> DataFrame:
-    # m = 0 explodes an empty array (no row); no Filter, so the draw is not re-inlined into a predicate
+def with_copies(df: DataFrame, count: Column) -> DataFrame:
+    """``count`` copies of each row, numbered by ``copy``; 0 explodes an empty array (no row).
+
+    No Filter: the draw would be inlined into its predicate once more.
+    """
     df = df.withColumn("_m", count)
     copies = F.when(F.col("_m") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)).otherwise(
         F.array().cast("array<bigint>"))
-    df = df.withColumn("copy", F.explode(copies))
-    df = df.withColumn("row_id", F.concat(F.col("row_id"), F.lit(":"), F.col("copy").cast("string")))
+    return df.withColumn("copy", F.explode(copies)).drop("_m")
+
+
+def copy_id() -> Column:
+    return F.concat(F.col("row_id"), F.lit(":"), F.col("copy").cast("string"))
+
+
+def _emit_copies(df: DataFrame, comp: Component, count: Column, out_stream: str) -> DataFrame:
+    df = with_copies(df, count).withColumn("row_id", copy_id())
     return df.select(
         *BOOK_COLS[:3], F.lit(out_stream).alias("stream"), "copy", "lane",
         F.col("_now").alias("timestamp"),
         draw_key(comp, F.col("row_id")).alias("key"),
-        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path", "trace",
+        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path",
     )
 
 

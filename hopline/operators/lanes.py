@@ -32,10 +32,6 @@ def lane_for(comp: Component, grouping: str = "shuffle", field: str = "key") ->
     raise ValueError(f"unknown grouping {grouping!r}")
 
 
-def assign_lane(df: DataFrame, comp: Component, grouping: str = "shuffle", field: str = "key") -> DataFrame:
-    return df.withColumn("lane", lane_for(comp, grouping, field))
-
-
 def lane_load(df: DataFrame, comp: Component | None = None) -> DataFrame:
     """Rows per lane (and task, when the component is given)."""
     out = df.groupBy("lane").agg(F.count(F.lit(1)).alias("rows"))

@@ -18,20 +18,27 @@ from hopline.operators.lanes import lane_for
 from hopline.plans.topology import Component, Routed, name_col
 from hopline.sources.kafka import OUTBOUND_TOPIC, TS_LOG_APPEND
 
+# --- fixed values: the modelled sender waits for no acknowledgement and never retries ---
+FIRE_AND_FORGET = {"acks": "0", "retries": 0}
+# --- end of fixed values ---
+
 BOOK_COLS = ["row_id", "event_id", "msg_ts", "stream", "copy", "lane"]
-MESSAGE_FRAME = BOOK_COLS + [
-    "timestamp", "key", "entryMilliTimestamp",
-    "messageID", "originTimestamp", "stormMilliLatencyMs", "path", "trace",
-]
 
 
-def hop_record(comp: Component, lane: Column, now: Column, incoming_ts: Column) -> Column:
-    return F.struct(
+def transfer_row(comp: Component | Routed, lane: Column, now: Column, incoming_ts: Column) -> list[Column]:
+    """M6: what a stage measures on one received tuple."""
+    return [
         name_col(comp).alias("component"),
         comp.task(lane).alias("task"),
         now.cast("bigint").alias("recv_ms"),
         (now - incoming_ts).cast("bigint").alias("transfer_ms"),
-    )
+    ]
+
+
+def transfers(rows: DataFrame, comp: Component | Routed, grouping: str = "shuffle", field: str = "key") -> DataFrame:
+    """M6 rows of a stage, one for each tuple that it receives, before it fans out or picks."""
+    return receive(rows, comp, grouping, field).select(
+        *transfer_row(comp, F.col("lane"), F.col("_now"), F.col("timestamp")))
 
 
 def draw_key(comp: Component, row_id: Column) -> Column:
@@ -40,12 +47,9 @@ def draw_key(comp: Component, row_id: Column) -> Column:
 
 
 def receive(df: DataFrame, comp: Component, grouping: str = "shuffle", field: str = "key") -> DataFrame:
-    """Route rows to a task of ``comp`` and stamp ``now`` and the transfer hop."""
+    """Route rows to a task of ``comp`` and stamp ``now``."""
     df = df.withColumn("lane", lane_for(comp, grouping, field))
-    now = comp.clock.hop(F.col("timestamp"), F.col("row_id"), name_col(comp))
-    return df.withColumn("_now", now).withColumn(
-        "trace", F.concat(F.col("trace"), F.array(hop_record(comp, F.col("lane"), F.col("_now"), F.col("timestamp"))))
-    )
+    return df.withColumn("_now", comp.clock.hop(F.col("timestamp"), F.col("row_id"), name_col(comp)))
 
 
 def with_created_message(df: DataFrame, comp: Component) -> DataFrame:
@@ -67,7 +71,7 @@ def path_bolt(spout_rows: DataFrame, comp: Component, grouping: str = "shuffle",
         *BOOK_COLS[:3], F.lit(out_stream).alias("stream"), "copy", "lane",
         F.col("_now").alias("timestamp"),
         draw_key(comp, F.col("row_id")).alias("key"),
-        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path", "trace",
+        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path",
     )
 
 
@@ -81,7 +85,6 @@ def path_adder(rows: DataFrame, comp: Component, grouping: str = "fields",
         draw_key(comp, F.col("row_id")).alias("key"),
         "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs",
         append_element(F.col("path"), comp.element(F.col("lane"))).alias("path"),
-        "trace",
     )
 
 
@@ -100,7 +103,6 @@ def send_stage(rows: DataFrame, comp: Component | Routed, grouping: str = "shuff
         "key", "entryMilliTimestamp", "messageID", "originTimestamp",
         (F.col("_now") - F.col("entryMilliTimestamp")).cast("double").alias("stormMilliLatencyMs"),
         append_element(F.col("path"), comp.element(F.col("lane"))).alias("path"),
-        "trace",
         name_col(comp).alias("sink"),
         comp.clock.append(F.col("_now"), F.col("row_id")).alias("append_ms"),
     )
@@ -139,11 +141,15 @@ def kafka_sink_frame(sent: DataFrame, topic: str = OUTBOUND_TOPIC) -> DataFrame:
     )
 
 
-def kafka_sink_options(servers: str, checkpoint: str) -> dict[str, str]:
-    """O1: producer settings of the sender stage (fire and forget)."""
+def kafka_sink_options(servers: str, checkpoint: str, acks: str = "all", retries: int | None = None) -> dict[str, str]:
+    """O1: producer settings of the sender stage.
+
+    By default every record is acknowledged by all replicas and retried as the producer does by itself.
+    ``**FIRE_AND_FORGET`` gives the modelled sender's settings, which may lose records.
+    """
     return {
         "kafka.bootstrap.servers": servers,
-        "kafka.acks": "0",
-        "kafka.retries": "0",
+        "kafka.acks": acks,
+        **({} if retries is None else {"kafka.retries": str(retries)}),
         "checkpointLocation": checkpoint,
     }

@@ -9,7 +9,6 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from hopline.functions.draws import KEY_WEIGHTS, KEYS
 from hopline.functions.paths import path_string
 from hopline.operators.ranking import arrival_rank
-from hopline.session import cut_lineage
 
 # --- fixed values: measurement names written by the receiver ---
 KAFKA_LATENCY = "measured-kafka-latency"
@@ -87,8 +86,7 @@ def metric_tags_fields(points: DataFrame) -> DataFrame:
 
 
 def throughput_by_count(acc: DataFrame, n: int = 500, group_col: str = "partition",
-                        order_cols=("kafka_ts", "offset"), max_groups: int = 64, materialize: bool = True,
-                        **rank_kw) -> DataFrame:
+                        order_cols=("kafka_ts", "offset"), **rank_kw) -> DataFrame:
     """M4: the receiver's count-based rate report, per Kafka partition.
 
     The receiver's counter resets on the message after the N-th without counting
@@ -97,25 +95,18 @@ def throughput_by_count(acc: DataFrame, n: int = 500, group_col: str = "partitio
     first report). The ranking scales past one task per partition.
     """
     order_cols = list(order_cols)
-    base = acc.select(group_col, *order_cols)
-    if materialize:  # the ranking reads its input three times; run the upstream once
-        base = cut_lineage(base)
-    r = arrival_rank(base, [group_col], order_cols, order_cols[0], max_groups=max_groups, **rank_kw)
+    r = arrival_rank(acc.select(group_col, *order_cols), [group_col], order_cols, **rank_kw)
     every = n + 1
-    r = r.select(group_col, "rn", F.col(order_cols[0]).alias("t"))
-    ends = r.where(F.col("rn") % every == 0).select(
-        group_col, F.expr(f"rn div {every}").alias("report_no"), F.col("t").alias("end_ms")
-    )
-    # report j starts at the previous report (rn = (j-1)(N+1)), the first at the first message (rn = 1);
-    # an equi-join on (partition, report_no) instead of a lag over one task per partition
-    starts = r.where((F.col("rn") == 1) | (F.col("rn") % every == 0)).select(
-        group_col,
-        F.when(F.col("rn") == 1, F.lit(1)).otherwise(F.expr(f"rn div {every} + 1")).cast("bigint").alias("report_no"),
-        F.col("t").alias("start_ms"),
-    )
-    rep = ends.join(starts, [group_col, "report_no"], "left")
+    at, last = F.col(order_cols[0]), F.expr(f"rn div {every}")
+    # message j * (N + 1) ends report j and starts report j + 1; the first message starts report 1
+    ends = F.struct(last.alias("report_no"), at.alias("end_ms"), F.lit(None).cast("bigint").alias("start_ms"))
+    starts = F.struct((last + 1).alias("report_no"), F.lit(None).cast("bigint").alias("end_ms"), at.alias("start_ms"))
+    is_end = F.col("rn") % every == 0
+    marks = r.where((F.col("rn") == 1) | is_end).select(
+        group_col, F.inline(F.when(is_end, F.array(ends, starts)).otherwise(F.array(starts))))
+    rep = marks.groupBy(group_col, "report_no").agg(F.max("end_ms").alias("end_ms"), F.max("start_ms").alias("start_ms"))
     elapsed = F.col("end_ms") - F.col("start_ms")
-    return rep.select(
+    return rep.where(F.col("end_ms").isNotNull()).select(
         F.col(group_col),
         F.col("report_no").cast("bigint").alias("report_no"),
         F.lit(n).cast("bigint").alias("messages"),
@@ -134,10 +125,12 @@ def throughput_by_time(acc: DataFrame, bucket_ms: int = 2000, time_col: str = "k
     )
 
 
-def transfer_latency(rows: DataFrame, bucket_ms: int = 2000) -> DataFrame:
-    """M6: hop transfer latency (receive time minus upstream emit time), per task and bucket."""
-    h = rows.select(F.explode("trace").alias("h")).select("h.*")
-    g = h.groupBy(
+def transfer_latency(transfers: DataFrame, bucket_ms: int = 2000) -> DataFrame:
+    """M6: hop transfer latency (receive time minus upstream emit time), per task and bucket.
+
+    ``transfers`` has a row for every tuple received (``plans.pipelines.transfer_rows``).
+    """
+    g = transfers.groupBy(
         "component", "task", F.expr(f"recv_ms div {bucket_ms} * {bucket_ms}").alias("bucket_start_ms")
     ).agg(F.count(F.lit(1)).alias("transfers"), F.sum("transfer_ms").alias("sum_ms"), F.max("transfer_ms").alias("max_ms"))
     return g.withColumn("mean_ms", F.col("sum_ms").cast("double") / F.col("transfers").cast("double"))

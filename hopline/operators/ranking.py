@@ -1,20 +1,19 @@
-"""Arrival rank within a group that scales past one task per group.
+"""Arrival rank within a group that scales past one task per group; one plan for every size.
 
-``row_number() over (partition by lane order by ...)`` puts a whole lane into
-one task; with 16 lanes that is 16 tasks for the entire input, and a hot lane
-is one giant sort. Instead the ordered range of each group is cut into slices
-of the leading order column (message time):
+``row_number() over (partition by lane order by ...)`` puts a whole lane into one task. Here the arrival
+order is cut in slices by fixed functions of the order key, so no limits are estimated and building the
+query runs nothing:
 
-1. one tiny aggregate finds the range and row count of that column;
-2. the slice width is chosen so a (group, slice) holds about ``target_rows`` rows
-   (when one slice per group is enough, a plain window per group is used instead);
-3. rows per (group, slice) are counted (partial aggregation, small shuffle) and
-   turned into a running offset per group with a window over the count table;
+1. the rows are kept once (``persist``; a lost block is computed again), so that the passes below do not
+   run what comes before again;
+2. a slice is a span of ``width_ms`` of the leading order column. A span that holds more than ``target_rows``
+   rows is cut further: by the millisecond, and inside one by the second order column (in steps that hold
+   ``target_rows`` rows at ``COPIES`` rows for each value), if it is a number;
+3. rows per (group, slice) are counted and summed up to offsets, first over days, then inside each day;
 4. rows are ranked inside their (group, slice) and the offset is added.
 
-The count table has at most ``max_groups * max_slices`` rows, a bound known
-before it is built, so it is broadcast only when that bound is small.
-The result is identical to a single ``row_number`` per group.
+An outlying time makes one more small slice, a crowded second or millisecond is split, and rows without a
+time form the first slice. The result is that of a single ``row_number`` per group.
 """
 
 from __future__ import annotations
@@ -23,65 +22,58 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-OFFSET_ROW_BYTES = 48  # group key(s), slice, two longs: a generous per-row estimate
+DAY_MS = 86_400_000
+COPIES = 64
+FIRST = -(1 << 62)  # slice of rows without a value: before all others
+SLICE = ["_s0", "_s1", "_s2"]
+
+
+def with_slices(df: DataFrame, order_cols: Sequence[str], target_rows: int, width_ms: int) -> DataFrame:
+    """``df`` with the slice columns, non-decreasing along the order."""
+    lead, rest = order_cols[0], order_cols[1:2]
+    number = [c for c in rest if isinstance(df.schema[c].dataType, IntegralType)]
+    step = max(1, target_rows // COPIES)
+    spans = df.withColumn("_s0", F.coalesce(F.expr(f"`{lead}` div {width_ms}"), F.lit(FIRST)))
+    crowded = spans.groupBy("_s0").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows).select(
+        F.col("_s0").alias("_crowded"))
+    marked = spans.join(crowded, F.col("_s0") == F.col("_crowded"), "left")
+    inside = F.col("_crowded").isNotNull()
+    second = F.expr(f"`{number[0]}` div {step}") if number else F.lit(0).cast("bigint")
+    return marked.withColumn(
+        "_s1", F.when(inside, F.coalesce(F.col(lead), F.lit(FIRST))).otherwise(F.lit(0).cast("bigint"))
+    ).withColumn("_s2", F.when(inside, F.coalesce(second, F.lit(FIRST))).otherwise(F.lit(0).cast("bigint"))).drop("_crowded")
 
 
 def arrival_rank(
     df: DataFrame,
     group_cols: Sequence[str],
     order_cols: Sequence[str],
-    slice_col: str | None = None,
-    max_groups: int = 16,
     target_rows: int = 1 << 20,
-    max_slices: int = 1 << 16,
-    broadcast_bytes: int = 8 << 20,
-    stats: tuple[int, int, int] | None = None,
+    width_ms: int = 1000,
+    keep: bool = True,
 ) -> DataFrame:
     """Add ``rn`` (1-based rank in group by ``order_cols``) and ``group_rows``.
 
-    ``order_cols`` must be a total order within a group; ``slice_col`` (default
-    the first order column) must be a non-decreasing bigint along that order.
-    ``stats`` = (low, high, rows) of the slice column, if known from a cheaper
-    source; they only steer slice sizes (values outside clamp to the end
-    slices), so estimates are fine. Without them one small aggregate runs first.
+    ``order_cols`` must be a total order within a group, led by a time in ms (bigint); group columns hold no nulls.
+    ``keep=False`` leaves the input unpersisted.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    slice_col = slice_col or order_cols[0]
-    if stats is None:
-        st = df.agg(
-            F.min(slice_col).alias("lo"), F.max(slice_col).alias("hi"), F.count(F.lit(1)).alias("n")
-        ).first()
-        stats = (st["lo"], st["hi"], st["n"]) if st is not None and st["n"] else None
-    if not stats or stats[0] is None:
-        return df.withColumn("rn", F.lit(None).cast("bigint")).withColumn("group_rows", F.lit(0).cast("bigint"))
-    lo, hi, n = int(stats[0]), int(stats[1]), max(1, int(stats[2]))
-    # about target_rows per (group, slice): that is what one task sorts
-    n_slices = min(max_slices, max(1, -(-n // (target_rows * max(1, max_groups)))))
-    if n_slices == 1:
-        # every group fits one task: rank and group size from one window, no count pass
-        by_group = Window.partitionBy(*group_cols)
-        return df.withColumn("rn", F.row_number().over(by_group.orderBy(*order_cols))).withColumn(
-            "group_rows", F.count(F.lit(1)).over(by_group)
-        )
-    width = max(1, -(-(hi - lo + 1) // n_slices))
-    n_slices = -(-(hi - lo + 1) // width)
-
-    # clamped, so the offsets table has at most max_groups * n_slices rows
-    sliced = df.withColumn(
-        "_slice", F.expr(f"least(greatest((`{slice_col}` - ({lo})) div {width}, 0), {n_slices - 1})")
-    )
-    counts = sliced.groupBy(*group_cols, "_slice").agg(F.count(F.lit(1)).alias("_cnt"))
-    by_group = Window.partitionBy(*group_cols)
-    before = by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *group_cols,
-        "_slice",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).cast("bigint").alias("_off"),
-        F.sum("_cnt").over(by_group).cast("bigint").alias("group_rows"),
+    sliced = with_slices(df.persist() if keep else df, order_cols, target_rows, width_ms)
+    counts = sliced.groupBy(*group_cols, *SLICE).agg(F.count(F.lit(1)).alias("_cnt")).withColumn(
+        "_day", F.expr(f"_s0 div {max(1, DAY_MS // width_ms)}"))
+    whole, upto = Window.partitionBy(*group_cols), (Window.unboundedPreceding, -1)
+    days = counts.groupBy(*group_cols, "_day").agg(F.sum("_cnt").alias("_cnt")).select(
+        *group_cols, "_day",
+        F.coalesce(F.sum("_cnt").over(whole.orderBy("_day").rowsBetween(*upto)), F.lit(0)).alias("_before"),
+        F.sum("_cnt").over(whole).cast("bigint").alias("group_rows"),
     )
-    if max_groups * n_slices * OFFSET_ROW_BYTES <= broadcast_bytes:
-        offsets = F.broadcast(offsets)
-    ranked = sliced.join(offsets, on=[*group_cols, "_slice"], how="inner")
-    w = Window.partitionBy(*group_cols, "_slice").orderBy(*order_cols)
-    return ranked.withColumn("rn", F.col("_off") + F.row_number().over(w)).drop("_slice", "_off")
+    in_day = Window.partitionBy(*group_cols, "_day").orderBy(*SLICE).rowsBetween(*upto)
+    offsets = counts.withColumn("_sofar", F.coalesce(F.sum("_cnt").over(in_day), F.lit(0))).join(
+        days, [*group_cols, "_day"]).select(
+        *group_cols, *SLICE, (F.col("_before") + F.col("_sofar")).cast("bigint").alias("_off"), "group_rows")
+    ranked = sliced.join(offsets, [*group_cols, *SLICE])
+    w = Window.partitionBy(*group_cols, *SLICE).orderBy(*order_cols)
+    out = ranked.withColumn("rn", F.col("_off") + F.row_number().over(w))
+    return out.select(*df.columns, "rn", "group_rows")

@@ -3,8 +3,7 @@
 ``reject_reason`` is NULL for accepted rows. The first failing check wins, in
 the receiver's own order: record timestamp type, then the payload as it is
 decoded (JSON, originTimestamp, stormMilliLatencyMs, path, endpoints, task ids).
-Only the first and last path elements are checked; middle elements are joined
-as they are.
+Every path element must be a string; only the first and last must be endpoints.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopline.functions.paths import is_json_object, parse_payload
+from hopline.functions.paths import is_json_object, parse_payload, strings_only
 from hopline.sources.kafka import TS_LOG_APPEND, TS_NONE
 
 # --- fixed values: reject reasons, in evaluation order ---
@@ -24,17 +23,19 @@ MISSING_ORIGIN = "missing_origin"
 MISSING_LATENCY = "missing_latency"
 MISSING_PATH = "missing_path"
 EMPTY_PATH = "empty_path"
+BAD_ELEMENT = "bad_element"
 BAD_ENDPOINT = "bad_endpoint"
 NON_INTEGER_TASK = "non_integer_task"
 # --- end of fixed values ---
 
 
 def timestamp_type_reason(df: DataFrame) -> DataFrame:
-    """reject a missing record timestamp, then anything that is not log-append time."""
+    """reject a missing record timestamp or type, then anything that is not log-append time."""
     t = F.col("timestampType")
     return df.withColumn(
         "reject_reason",
-        F.when(t == TS_NONE, F.lit(NO_TIMESTAMP)).when(t != TS_LOG_APPEND, F.lit(NOT_LOG_APPEND)),
+        F.when(t.isNull() | (t == TS_NONE) | F.col("kafka_ts").isNull(), F.lit(NO_TIMESTAMP))
+        .when(t != TS_LOG_APPEND, F.lit(NOT_LOG_APPEND)),
     )
 
 
@@ -63,6 +64,7 @@ def validate_payload(df: DataFrame) -> DataFrame:
         .when(F.col("_p.stormMilliLatencyMs").isNull(), F.lit(MISSING_LATENCY))
         .when(path.isNull(), F.lit(MISSING_PATH))
         .when(F.size(path) == 0, F.lit(EMPTY_PATH))
+        .when(~strings_only(F.col("value")) | F.exists(path, lambda x: x.isNull()), F.lit(BAD_ELEMENT))
         .when((F.size("_first") != 2) | (F.size("_last") != 2), F.lit(BAD_ENDPOINT))
         .when(spout_task.isNull() | sink_task.isNull(), F.lit(NON_INTEGER_TASK))
     )

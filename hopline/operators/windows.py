@@ -8,9 +8,8 @@ arrives in order.
 
 Picks ("one random tuple", "a random path") take the least salted hash (the
 window component's lane hash for rows, a path hash for paths), so each is
-uniform and reproducible. One-random windows pick with a partial aggregate
-(N rows shrink to one before any exchange); the grouped variants (by spout
-task, by path, join-split) are window functions over one (lane, win) exchange.
+uniform and reproducible. Every pick is made by window functions over one (lane, win)
+exchange and a filter.
 """
 
 from __future__ import annotations
@@ -22,14 +21,14 @@ from hopline.functions.draws import hash32
 from hopline.functions.paths import append_element, path_string, spout_task
 from hopline.operators.fanout import split_streams
 from hopline.operators.lanes import lane_for
-from hopline.operators.messages import draw_key, hop_record, with_created_message
+from hopline.operators.messages import draw_key, transfer_row, with_created_message
 from hopline.operators.ranking import arrival_rank
 from hopline.plans.topology import Component
 from hopline.schema import ARRIVAL_ORDER
 
 CARRIED = [
     "row_id", "event_id", "msg_ts", "stream", "copy", "timestamp", "entryMilliTimestamp",
-    "messageID", "originTimestamp", "stormMilliLatencyMs", "path", "trace",
+    "messageID", "originTimestamp", "stormMilliLatencyMs", "path",
 ]
 
 
@@ -45,7 +44,7 @@ def count_window(df: DataFrame, comp: Component, n: int, grouping: str = "shuffl
         d = df.withColumn("_lh", lane_hash(comp)).withColumn("lane", F.col("_lh") % comp.lanes)
     else:
         d = df.withColumn("lane", lane_for(comp, grouping)).withColumn("_lh", lane_hash(comp))
-    d = arrival_rank(d, ["lane"], ARRIVAL_ORDER, "msg_ts", max_groups=comp.lanes, **rank_kw)
+    d = arrival_rank(d, ["lane"], ARRIVAL_ORDER, **rank_kw)
     d = d.where(F.col("rn") <= F.expr(f"(group_rows div {n}) * {n}"))
     return d.withColumn("win", F.expr(f"(rn - 1) div {n}")).withColumnRenamed("rn", "pos").drop("group_rows")
 
@@ -72,7 +71,6 @@ def _emit(p: str, comp: Component, now: Column, out_stream: str, *, entry: Colum
         origin.cast("bigint").alias("originTimestamp"),
         pc("stormMilliLatencyMs").alias("stormMilliLatencyMs"),
         append_element(pc("path"), comp.element(F.col("lane"))).alias("path"),
-        F.concat(pc("trace"), F.array(hop_record(comp, F.col("lane"), now, pc("timestamp")))).alias("trace"),
         F.col("win"),
     ]
 
@@ -85,6 +83,14 @@ def _windowed(df: DataFrame, comp: Component, n: int, create_path_msg: bool, win
     return with_created_message(w, comp) if create_path_msg else w
 
 
+def window_transfers(w: DataFrame, comp: Component) -> DataFrame:
+    """M6 rows of a windowed stage: every tuple of a full window is received when the window fires."""
+    mx = F.max("timestamp").over(Window.partitionBy("lane", "win"))
+    now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
+    return w.withColumn("_mx", mx).withColumn("_now", now).select(
+        *transfer_row(comp, F.col("lane"), F.col("_now"), F.col("timestamp")))
+
+
 def emit_all(df: DataFrame, comp: Component, n: int, out_stream: str = "pathMessages", **rank_kw) -> DataFrame:
     """Re-emit every message of a full window; emitted entry time = message origin time."""
     w = _windowed(df, comp, n, False, **rank_kw)
@@ -131,12 +137,17 @@ def emit_one(df: DataFrame, comp: Component, n: int, create_path_msg: bool = Fal
     """
     w = _windowed(df, comp, n, create_path_msg, **rank_kw)
     if group_by == "tuple":
-        g = w.groupBy("lane", "win").agg(
-            F.max("timestamp").alias("_mx"), F.min_by(_carried(), _pick_key(comp, w)).alias("p")
+        by_win = Window.partitionBy("lane", "win")
+        d = (
+            w.withColumn("_pick", _pick_key(comp, w))
+            .withColumn("_mx", F.max("timestamp").over(by_win))
+            .withColumn("_first", F.min("_pick").over(by_win))
+            .where(F.col("_pick") == F.col("_first"))
         )
         now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
         entry = F.col("p.entryMilliTimestamp")
-        return g.withColumn("_now", now).select(*_emit("p", comp, F.col("_now"), out_stream, entry=entry, origin=entry))
+        return d.withColumn("_now", now).withColumn("p", _carried()).select(
+            *_emit("p", comp, F.col("_now"), out_stream, entry=entry, origin=entry))
     if group_by != "path":
         raise ValueError(f"unknown group_by {group_by!r}")
     by_win = Window.partitionBy("lane", "win")

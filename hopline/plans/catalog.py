@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopline.functions.clock import SyntheticClock
 from hopline.functions.draws import normal_multiplier, unit, weighted_key
 from hopline.functions.paths import parse_payload, path_string, spout_task, to_payload
 from hopline.operators import fanout, lanes, messages, metrics, validate, windows
@@ -42,8 +43,13 @@ def _value() -> F.Column:
     return to_payload(F.col("messageID"), F.col("originTimestamp"), F.col("stormMilliLatencyMs"), F.col("path"))
 
 
+def synthetic() -> Topology:
+    """A topology on the deterministic clock, so that SQL can compute the same times."""
+    return Topology(clock=SyntheticClock())
+
+
 def _topo_of(*names: str):
-    t = Topology()
+    t = synthetic()
     return t, [t.component(n) for n in names]
 
 
@@ -108,7 +114,7 @@ def s_path_create(s):
 
 
 def q_path_append(spark, sf):
-    return P.f2f(inbound_from(spark, sf)).select(
+    return P.f2f(inbound_from(spark, sf), synthetic()).select(
         "row_id", path_string(F.col("path")).alias("path_str"), F.size("path").cast("bigint").alias("path_len")
     )
 
@@ -119,7 +125,7 @@ def s_path_append(s):
 
 
 def _clean_receiver(spark, sf, pipeline=P.basic):
-    return P.receiver(messages.to_outbound(pipeline(inbound_from(spark, sf))))
+    return P.receiver(messages.to_outbound(pipeline(inbound_from(spark, sf), synthetic())))
 
 
 def _clean_receiver_sql(s, pipeline=O.p_basic):
@@ -127,7 +133,7 @@ def _clean_receiver_sql(s, pipeline=O.p_basic):
 
 
 def q_parse_payload(spark, sf):
-    rows = results_rows(messages.to_outbound(P.basic(inbound_from(spark, sf))))
+    rows = results_rows(messages.to_outbound(P.basic(inbound_from(spark, sf), synthetic())))
     p = rows.select("row_id", parse_payload(F.col("value")).alias("p"))
     return p.select("row_id", "p.messageID", "p.originTimestamp", "p.stormMilliLatencyMs",
                     path_string(F.col("p.path")).alias("path_str"), F.size("p.path").cast("bigint").alias("path_len"))
@@ -140,7 +146,7 @@ def s_parse_payload(s):
 
 
 def q_serialise_payload(spark, sf):
-    return P.basic(inbound_from(spark, sf)).select("row_id", _value().alias("value"))
+    return P.basic(inbound_from(spark, sf), synthetic()).select("row_id", _value().alias("value"))
 
 
 def s_serialise_payload(s):
@@ -156,7 +162,7 @@ def s_path_endpoints(s):
 
 
 def q_path_string(spark, sf):
-    return P.basic(inbound_from(spark, sf)).select(
+    return P.basic(inbound_from(spark, sf), synthetic()).select(
         "row_id", path_string(F.col("path"), ">").alias("path_gt"), path_string(F.col("path"), " ").alias("path_space")
     )
 
@@ -167,7 +173,7 @@ def s_path_string(s):
 
 
 def q_spout_task(spark, sf):
-    return P.basic(inbound_from(spark, sf)).select("row_id", spout_task(F.col("path")).alias("spout_task"))
+    return P.basic(inbound_from(spark, sf), synthetic()).select("row_id", spout_task(F.col("path")).alias("spout_task"))
 
 
 def s_spout_task(s):
@@ -195,7 +201,7 @@ def s_path_adder(s):
 
 
 def q_send_stage(spark, sf):
-    return sent_out(P.basic(inbound_from(spark, sf)))
+    return sent_out(P.basic(inbound_from(spark, sf), synthetic()))
 
 
 def s_send_stage(s):
@@ -206,7 +212,7 @@ def s_send_stage(s):
 
 
 def _corrupt_rows(spark, sf):
-    return results_rows(corrupt_payload(P.basic(inbound_from(spark, sf))))
+    return results_rows(corrupt_payload(P.basic(inbound_from(spark, sf), synthetic())))
 
 
 def _corrupt_rows_sql(s):
@@ -219,7 +225,8 @@ def q_filter_timestamp_type(spark, sf):
 
 def s_filter_timestamp_type(s):
     r = _corrupt_rows_sql(s)
-    return (f"SELECT row_id, sink, timestampType, CASE WHEN timestampType = -1 THEN 'no_timestamp' "
+    return (f"SELECT row_id, sink, timestampType, CASE WHEN timestampType IS NULL OR timestampType = -1 OR kafka_ts IS NULL "
+            f"THEN 'no_timestamp' "
             f"WHEN timestampType <> 1 THEN 'not_log_append' END AS reject_reason FROM {r}")
 
 
@@ -401,9 +408,7 @@ def s_lane_load(s):
 
 def q_count_window(spark, sf):
     _, (sp, wc) = _topo_of("TimerSpout", "WindowedPathBolt")
-    inb = inbound_from(spark, sf)
-    return windows.count_window(spout(inb, sp), wc, 10, **P.with_source_stats(inb, {})).select(
-        "row_id", "lane", "win", "pos")
+    return windows.count_window(spout(inbound_from(spark, sf), sp), wc, 10).select("row_id", "lane", "win", "pos")
 
 
 def s_count_window(s):
@@ -414,8 +419,7 @@ def s_count_window(s):
 
 def _pathbolt_then(spark, sf, name):
     _, (sp, pb, wc) = _topo_of("TimerSpout", "PathBolt", name)
-    inb = inbound_from(spark, sf)
-    return messages.path_bolt(spout(inb, sp), pb), wc, P.with_source_stats(inb, {})
+    return messages.path_bolt(spout(inbound_from(spark, sf), sp), pb), wc
 
 
 def _pathbolt_then_sql(s, name):
@@ -424,8 +428,8 @@ def _pathbolt_then_sql(s, name):
 
 
 def q_window_emit_all(spark, sf):
-    d, wc, kw = _pathbolt_then(spark, sf, "WindowedPathBolt")
-    return msg_out(windows.emit_all(d, wc, 10, **kw), "win")
+    d, wc = _pathbolt_then(spark, sf, "WindowedPathBolt")
+    return msg_out(windows.emit_all(d, wc, 10), "win")
 
 
 def s_window_emit_all(s):
@@ -434,8 +438,8 @@ def s_window_emit_all(s):
 
 
 def q_window_emit_by_spout(spark, sf):
-    d, wc, kw = _pathbolt_then(spark, sf, "WindowedPathBolt")
-    return msg_out(windows.emit_by_spout(d, wc, 10, **kw), "win", "spout_task")
+    d, wc = _pathbolt_then(spark, sf, "WindowedPathBolt")
+    return msg_out(windows.emit_by_spout(d, wc, 10), "win", "spout_task")
 
 
 def s_window_emit_by_spout(s):
@@ -445,9 +449,7 @@ def s_window_emit_by_spout(s):
 
 def _window_stage(spark, sf, group_by):
     _, (sp, wc) = _topo_of("TimerSpout", "WindowedPathBolt")
-    inb = inbound_from(spark, sf)
-    return windows.emit_one(spout(inb, sp), wc, 10, create_path_msg=True, group_by=group_by,
-                            **P.with_source_stats(inb, {}))
+    return windows.emit_one(spout(inbound_from(spark, sf), sp), wc, 10, create_path_msg=True, group_by=group_by)
 
 
 def q_window_emit_one(spark, sf):
@@ -467,18 +469,16 @@ def s_window_emit_one_by_path(s):
 
 
 def _fish_front(spark, sf):
-    t = Topology()
+    t = synthetic()
     sp = t.component("TimerSpout")
     pb, pm = t.component("PathBolt"), t.component("PathMultiplier")
-    inb = inbound_from(spark, sf)
-    s = spout(inb, sp, num_streams=2)
-    front = P.fork_path_and_multiplier(s, Routed({"kafkaMessages0": pb, "kafkaMessages1": pm}), pm)
-    return front, t, P.with_source_stats(inb, {}, 11.5)
+    s = spout(inbound_from(spark, sf), sp, num_streams=2)
+    return P.fork_path_and_multiplier(s, Routed({"kafkaMessages0": pb, "kafkaMessages1": pm}), pm), t
 
 
 def q_join_split(spark, sf):
-    front, t, kw = _fish_front(spark, sf)
-    return msg_out(windows.join_split(front, t.component("JoinSplitBolt"), 20, **kw), "win", "source_stream")
+    front, t = _fish_front(spark, sf)
+    return msg_out(windows.join_split(front, t.component("JoinSplitBolt"), 20), "win", "source_stream")
 
 
 def s_join_split(s):
@@ -486,7 +486,7 @@ def s_join_split(s):
 
 
 def q_join_split_time(spark, sf):
-    front, t, _ = _fish_front(spark, sf)
+    front, t = _fish_front(spark, sf)
     return msg_out(windows.join_split_time(front, t.component("JoinSplitBolt"), 2000), "win", "source_stream")
 
 
@@ -549,8 +549,7 @@ def _fish_accepted_sql(s):
 
 
 def q_throughput_by_count(spark, sf):
-    return metrics.throughput_by_count(_fish_accepted(spark, sf), n=500, order_cols=("kafka_ts", "row_id", "sink"),
-                                       max_groups=4)
+    return metrics.throughput_by_count(_fish_accepted(spark, sf), n=500, order_cols=("kafka_ts", "row_id", "sink"))
 
 
 def s_throughput_by_count(s, n=500):
@@ -577,18 +576,31 @@ def s_throughput_by_time(s):
             f"CAST(count(*) AS DOUBLE) * CAST(1000.0 AS DOUBLE) / CAST(2000.0 AS DOUBLE) AS rate_mps FROM {a} GROUP BY 1")
 
 
-def q_transfer_latency(spark, sf):
-    return metrics.transfer_latency(P.basic(inbound_from(spark, sf)), 2000)
+def _transfers_q(name):
+    def run(spark, sf):
+        return metrics.transfer_latency(P.transfer_rows(name, inbound_from(spark, sf), synthetic()), 2000)
+    return run
 
 
-def s_transfer_latency(s):
-    x = O.p_basic(s)
-    h = s.add(f"SELECT unnest(trace) AS h FROM {x}", "th")
-    return (
-        "SELECT h.component AS component, h.task AS task, h.recv_ms // 2000 * 2000 AS bucket_start_ms, "
-        "count(*) AS transfers, CAST(sum(h.transfer_ms) AS BIGINT) AS sum_ms, max(h.transfer_ms) AS max_ms, "
-        f"CAST(sum(h.transfer_ms) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_ms FROM {h} GROUP BY 1, 2, 3"
-    )
+def _transfers_s(name):
+    def build(s):
+        return (
+            "SELECT component, task, recv_ms // 2000 * 2000 AS bucket_start_ms, "
+            "count(*) AS transfers, CAST(sum(transfer_ms) AS BIGINT) AS sum_ms, max(transfer_ms) AS max_ms, "
+            f"CAST(sum(transfer_ms) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_ms "
+            f"FROM {O.pipeline_transfers(s, name)} GROUP BY 1, 2, 3"
+        )
+    return build
+
+
+def q_quarantine_rows(spark, sf):
+    return validate.quarantined(validate.validate_payload(_corrupt_rows(spark, sf))).select(
+        "row_id", "sink", "reject_reason", "value")
+
+
+def s_quarantine_rows(s):
+    return (f"SELECT row_id, sink, reject_reason, value FROM {O.validated(s, _corrupt_rows_sql(s))} "
+            f"WHERE reject_reason IS NOT NULL")
 
 
 # ---------------------------------------------------------------- pipelines
@@ -596,7 +608,7 @@ def s_transfer_latency(s):
 
 def _pipeline_q(fn):
     def run(spark, sf):
-        return sent_out(fn(inbound_from(spark, sf)), _value().alias("value"))
+        return sent_out(fn(inbound_from(spark, sf), synthetic()), _value().alias("value"))
     return run
 
 
@@ -615,7 +627,7 @@ def s_pipeline_receiver(s):
 
 
 def q_pipeline_round_trip(spark, sf):
-    return P.round_trip(inbound_from(spark, sf))
+    return P.round_trip(inbound_from(spark, sf), synthetic())
 
 
 def s_pipeline_round_trip(s):
@@ -661,7 +673,12 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[O.
     "metric_points": (q_metric_points, s_metric_points),
     "throughput_by_count": (q_throughput_by_count, s_throughput_by_count),
     "throughput_by_time": (q_throughput_by_time, s_throughput_by_time),
-    "transfer_latency": (q_transfer_latency, s_transfer_latency),
+    "transfer_latency": (_transfers_q("basic"), _transfers_s("basic")),
+    "transfer_latency_multi": (_transfers_q("multi"), _transfers_s("multi")),
+    "transfer_latency_window": (_transfers_q("window"), _transfers_s("window")),
+    "transfer_latency_fish": (_transfers_q("fish"), _transfers_s("fish")),
+    "transfer_latency_all": (_transfers_q("all"), _transfers_s("all")),
+    "quarantine_rows": (q_quarantine_rows, s_quarantine_rows),
     "pipeline_basic": (_pipeline_q(P.basic), _pipeline_s(O.p_basic)),
     "pipeline_f2f": (_pipeline_q(P.f2f), _pipeline_s(O.p_f2f)),
     "pipeline_multi": (_pipeline_q(P.multi), _pipeline_s(O.p_multi)),

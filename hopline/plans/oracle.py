@@ -10,11 +10,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from hopline.functions.draws import FALLBACK_KEY, KEY_CUMULATIVE, KEYS, MULTIPLIER_FALLBACK, multiplier_table
-
 SEED = 42
 LANES = 16
-HOP_TYPE = "STRUCT(component VARCHAR, task BIGINT, recv_ms BIGINT, transfer_ms BIGINT)"
+
+# --- fixed values: keys with their cumulative weights in 32nds, and the standard normal CDF at -9 .. 10, written out so
+# that an error in the engine's tables shows ---
+KEYS = ["A", "B", "C", "D", "E", "F", "G", "H", "I", "J", "K", "L", "M", "N", "O", "P"]
+KEY_CUMULATIVE_32 = [6, 10, 13, 16, 18, 20, 22, 24, 25, 26, 27, 28, 29, 30, 31, 32]
+FALLBACK_KEY = "A"
+NORMAL_CDF_MINUS_9_TO_10 = [
+    1.1285884059538422e-19, 6.220960574271819e-16, 1.279812543885835e-12, 9.865876450377012e-10,
+    2.866515718791946e-07, 3.1671241833119965e-05, 0.0013498980316300957, 0.02275013194817922,
+    0.15865525393145707, 0.5, 0.8413447460685429, 0.9772498680518208,
+    0.9986501019683699, 0.9999683287581669, 0.9999997133484281, 0.9999999990134123,
+    0.9999999999987201, 0.9999999999999993, 1.0, 1.0,
+]
+# --- end of fixed values ---
 
 
 def q(s: str) -> str:
@@ -43,12 +54,12 @@ def first_at_least(u: str, cumulative, values, fallback) -> str:
 
 
 def key_of(u: str) -> str:
-    return first_at_least(u, KEY_CUMULATIVE, KEYS, FALLBACK_KEY)
+    return first_at_least(u, [c / 32 for c in KEY_CUMULATIVE_32], KEYS, FALLBACK_KEY)
 
 
-def multiplier_of(u: str, vmin=1, vmax=20, mean=10, std=1.0) -> str:
-    values, cdf = multiplier_table(vmin, vmax, mean, std)
-    return f"CAST({first_at_least(u, cdf, values, MULTIPLIER_FALLBACK)} AS BIGINT)"
+def multiplier_of(u: str) -> str:
+    """1 .. 20 around 10 with deviation 1; 0 if none is reached."""
+    return f"CAST({first_at_least(u, NORMAL_CDF_MINUS_9_TO_10, range(1, 21), 0)} AS BIGINT)"
 
 
 def java_double(x: str) -> str:
@@ -135,13 +146,26 @@ class Sql:
         return f"WITH {withs}\n{select}"
 
 
-def hop(comp, now: str, incoming: str = "timestamp", lane: str = "lane") -> str:
+def transfer_cols(comp) -> str:
     return (
-        f"{{'component': {comp.name_sql}, 'task': CAST({comp.task(lane)} AS BIGINT), "
-        f"'recv_ms': CAST({now} AS BIGINT), 'transfer_ms': CAST({now} - {incoming} AS BIGINT)}}"
+        f"{comp.name_sql} AS component, CAST({comp.task()} AS BIGINT) AS task, CAST(_now AS BIGINT) AS recv_ms, "
+        f"CAST(_now - timestamp AS BIGINT) AS transfer_ms"
     )
 
 
+def transfers(s: Sql, src: str, comp, grouping: str = "shuffle") -> str:
+    """One row for every tuple that the stage takes from ``src``."""
+    return s.add(f"SELECT {transfer_cols(comp)} FROM {receive(s, src, comp, grouping)}", "tr")
+
+
+def window_transfers(s: Sql, src: str, comp, n: int) -> str:
+    """One row for every tuple of a full window, received when it fires."""
+    w = count_window(s, src, comp, n)
+    r = s.add(f"SELECT *, max(timestamp) OVER (PARTITION BY lane, win) AS _mx FROM {w}", "tw")
+    f = s.add(f"SELECT *, {window_now(comp)} AS _now FROM {r}", "tf")
+    return s.add(f"SELECT {transfer_cols(comp)} FROM {f}", "tr")
+
+
 def draw_key(comp, row_id="row_id") -> str:
     return key_of(U(str(SEED), comp.name_sql, "'key'", row_id))
 
@@ -167,8 +191,7 @@ def spout(s: Sql, comp: Comp, num_streams: int = 1) -> str:
     stream = f"unnest([{streams}])" if num_streams > 1 else q("kafkaMessages0")
     return s.add(
         f"SELECT row_id, event_id, msg_ts, {stream} AS stream, CAST(0 AS BIGINT) AS copy, lane, entry AS timestamp, "
-        f"uuid, entry AS entryMilliTimestamp, msg_ts AS messageTimestamp, {comp.element()} AS path, "
-        f"CAST([] AS {HOP_TYPE}[]) AS trace FROM {lanes}",
+        f"uuid, entry AS entryMilliTimestamp, msg_ts AS messageTimestamp, {comp.element()} AS path FROM {lanes}",
         "sp",
     )
 
@@ -179,10 +202,9 @@ def lane_expr(comp, grouping: str = "shuffle") -> str:
 
 
 def receive(s: Sql, src: str, comp, grouping: str = "shuffle") -> str:
-    """Lane, ``_now`` and the trace hop, like ``messages.receive``."""
+    """Lane and ``_now``, like ``messages.receive``."""
     a = s.add(f"SELECT * REPLACE ({lane_expr(comp, grouping)} AS lane) FROM {src}", "rl")
-    b = s.add(f"SELECT *, timestamp + {H('row_id', comp.name_sql, q('clock'))} % 50 AS _now FROM {a}", "rn")
-    return s.add(f"SELECT * REPLACE (list_append(trace, {hop(comp, '_now')}) AS trace) FROM {b}", "rh")
+    return s.add(f"SELECT *, timestamp + {H('row_id', comp.name_sql, q('clock'))} % 50 AS _now FROM {a}", "rn")
 
 
 def created(s: Sql, src: str, comp) -> str:
@@ -196,7 +218,7 @@ def created(s: Sql, src: str, comp) -> str:
 
 FRAME = (
     "row_id, event_id, msg_ts, stream, copy, lane, timestamp, key, entryMilliTimestamp, "
-    "messageID, originTimestamp, stormMilliLatencyMs, path, trace"
+    "messageID, originTimestamp, stormMilliLatencyMs, path"
 )
 
 
@@ -243,14 +265,14 @@ def fanout(s: Sql, src: str, comp: Comp, count_sql: str, out_stream: str) -> str
     return s.add(f"SELECT *, {draw_key(comp)} AS key FROM {r}", "fk")
 
 
-def mult_draw(comp: Comp, vmin=1, vmax=20, mean=10, std=1.0) -> str:
-    return multiplier_of(U(str(SEED), comp.name_sql, q("mult"), "row_id"), vmin, vmax, mean, std)
+def mult_draw(comp: Comp) -> str:
+    return multiplier_of(U(str(SEED), comp.name_sql, q("mult"), "row_id"))
 
 
 def count_window(s: Sql, src: str, comp: Comp, n: int) -> str:
     a = s.add(f"SELECT * REPLACE ({lane_expr(comp)} AS lane) FROM {src}", "wl")  # lane = pick hash % lanes
     b = s.add(
-        f"SELECT *, row_number() OVER (PARTITION BY lane ORDER BY msg_ts, event_id, stream, copy) AS pos, "
+        f"SELECT *, row_number() OVER (PARTITION BY lane ORDER BY msg_ts, event_id, stream, copy, row_id) AS pos, "
         f"count(*) OVER (PARTITION BY lane) AS _cnt FROM {a}",
         "wr",
     )
@@ -267,7 +289,7 @@ def emit(comp: Comp, out_stream: str, entry: str, origin: str) -> str:
         f"row_id, event_id, msg_ts, {q(out_stream)} AS stream, copy, lane, _now AS timestamp, "
         f"{draw_key(comp)} AS key, CAST({entry} AS BIGINT) AS entryMilliTimestamp, messageID, "
         f"CAST({origin} AS BIGINT) AS originTimestamp, stormMilliLatencyMs, "
-        f"list_append(path, {comp.element()}) AS path, list_append(trace, {hop(comp, '_now')}) AS trace, win"
+        f"list_append(path, {comp.element()}) AS path, win"
     )
 
 
@@ -431,6 +453,32 @@ def p_window(s: Sql, n: int = 10, group_by: str = "tuple", upto: str = "send") -
     return send(s, w, t.component("SenderBolt"))
 
 
+def pipeline_transfers(s: Sql, name: str) -> str:
+    """All tuples that the stages of a pipeline receive: counted from each stage's input."""
+    t = Topo()
+    sp = spout(s, t.component("TimerSpout"), num_streams=2 if name == "fish" else 1)
+    if name == "basic":
+        pb, sd = t.component("PathBolt"), t.component("SenderBolt")
+        parts = [transfers(s, sp, pb), transfers(s, path_bolt(s, sp, pb), sd)]
+    elif name == "multi":
+        mc, sd = t.component("MultiPathBolt"), t.component("SenderBolt")
+        parts = [transfers(s, sp, mc), transfers(s, p_multi(s, upto="fanout"), sd)]
+    elif name == "window":
+        wc, sd = t.component("WindowedPathBolt"), t.component("SenderBolt")
+        parts = [window_transfers(s, sp, wc, 10), transfers(s, p_window(s, upto="window"), sd)]
+    elif name == "fish":
+        pb, pm, js = t.component("PathBolt"), t.component("PathMultiplier"), t.component("JoinSplitBolt")
+        senders = Routed({"Stream3": t.component("SenderBoltA"), "Stream4": t.component("SenderBoltB")})
+        parts = [transfers(s, sp, Routed({"kafkaMessages0": pb, "kafkaMessages1": pm})),
+                 window_transfers(s, p_fish(s, upto="front"), js, 20), transfers(s, p_fish(s, upto="window"), senders)]
+    else:
+        mc, wc, sd = t.component("MultiPathBolt"), t.component("WindowedPathBolt"), t.component("SenderBolt")
+        m = fanout(s, sp, mc, "CAST(20 AS BIGINT)", "Stream2")
+        parts = [transfers(s, sp, mc), window_transfers(s, m, wc, 10),
+                 transfers(s, emit_one(s, m, wc, 10, out_stream="Stream3"), sd)]
+    return s.add(" UNION ALL ".join(f"SELECT * FROM {p}" for p in parts), "ta")
+
+
 def p_fish(s: Sql, n: int = 20, upto: str = "send", time_window_ms: int | None = None) -> str:
     t = Topo()
     sp = spout(s, t.component("TimerSpout"), num_streams=2)
@@ -480,12 +528,17 @@ def outbound(s: Sql, sent: str, corrupt: bool = False, partitions: int = 4) -> s
         f"WHEN {c} = 9 THEN '' "
         f"WHEN {c} = 10 THEN {payload_json(path=f'list_concat(path[1:1], [{q(JUNK)}], path[3:{n}])')} "
         f"WHEN {c} = 11 THEN {payload_json(path='path[1:1]')} "
+        f"WHEN {c} = 12 THEN {payload_json()} || ' x' "
+        f"WHEN {c} = 13 THEN {payload_json()} || {payload_json()} "
+        f"WHEN {c} = 14 THEN replace({payload_json()}, '\"', chr(39)) "
+        f"WHEN {c} = 15 THEN {payload_json(path=f'list_concat(path[1:1], [NULL], path[3:{n}])')} "
+        f"WHEN {c} = 16 THEN replace({payload_json(path=f'list_concat(path[1:1], [{q(JUNK)}], path[3:{n}])')}, '\"junk\"', '5') "
         f"ELSE {payload_json()} END"
     )
     t = f"({H('row_id', q('tstype'))} % 20)"
-    tstype = f"CASE WHEN {t} = 0 THEN -1 WHEN {t} = 1 THEN 0 ELSE 1 END"
+    tstype = f"CASE WHEN {t} = 0 THEN -1 WHEN {t} = 1 THEN 0 WHEN {t} = 2 THEN NULL ELSE 1 END"
     return s.add(
-        f"SELECT {value} AS value, append_ms AS kafka_ts, {tstype} AS timestampType, {part} AS partition, "
+        f"SELECT {value} AS value, CASE WHEN {t} <> 3 THEN append_ms END AS kafka_ts, {tstype} AS timestampType, {part} AS partition, "
         f"CAST(-1 AS BIGINT) AS offset, row_id, sink FROM {sent}",
         "oc",
     )
@@ -517,7 +570,7 @@ def validated(s: Sql, rows: str) -> str:
     )
     return s.add(
         "SELECT * EXCLUDE (_obj, _f, _l), CASE "
-        "WHEN timestampType = -1 THEN 'no_timestamp' "
+        "WHEN timestampType IS NULL OR timestampType = -1 OR kafka_ts IS NULL THEN 'no_timestamp' "
         "WHEN timestampType <> 1 THEN 'not_log_append' "
         "WHEN value IS NULL THEN 'null_value' "
         "WHEN NOT _obj THEN 'bad_json' "
@@ -525,6 +578,7 @@ def validated(s: Sql, rows: str) -> str:
         "WHEN stormMilliLatencyMs IS NULL THEN 'missing_latency' "
         "WHEN path IS NULL THEN 'missing_path' "
         "WHEN len(path) = 0 THEN 'empty_path' "
+        "WHEN list_distinct(json_type(value, '$.path[*]')) <> ['VARCHAR'] THEN 'bad_element' "
         "WHEN len(_f) <> 2 OR len(_l) <> 2 THEN 'bad_endpoint' "
         "WHEN spout_task IS NULL OR sink_task IS NULL THEN 'non_integer_task' "
         f"END AS reject_reason FROM {d}",

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hopline.functions.clock import SyntheticClock
+from hopline.functions.clock import WallClock
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,7 @@ class Component:
     index: int
     lanes: int = 16
     seed: int = 42
-    clock: object = field(default_factory=SyntheticClock)
+    clock: object = field(default_factory=WallClock)
 
     def task(self, lane: Column) -> Column:
         return (F.lit(self.index * self.lanes + 1) + lane).cast("bigint")
@@ -32,11 +32,11 @@ class Component:
 
 
 class Topology:
-    """Hands out components in declaration order with shared lanes, seed and clock."""
+    """Hands out components in declaration order with shared lanes, seed and clock (by default the wall clock)."""
 
     def __init__(self, lanes: int = 16, seed: int = 42, clock=None):
         self.lanes, self.seed = lanes, seed
-        self.clock = clock if clock is not None else SyntheticClock()
+        self.clock = clock if clock is not None else WallClock()
         self._names: list[str] = []
 
     def component(self, name: str) -> Component:

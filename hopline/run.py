@@ -25,21 +25,23 @@ from hopline.plans import pipelines as P
 from hopline.plans.topology import Topology
 from hopline.sources.kafka import events_as_inbound
 from hopline.streaming import pipelines as S
-from hopline.streaming.sinks import metric_sink
 
 WINDOWED_STREAMS = {"window": S.window_stream, "fish": S.fish_stream, "all": S.all_stream}
 
 
-def _inbound(df: DataFrame) -> DataFrame:
-    return events_as_inbound(df) if {"event_id", "ts"} <= set(df.columns) else df
+def _inbound(df: DataFrame, spread: int | None = None) -> DataFrame:
+    return events_as_inbound(df, partitions=spread) if {"event_id", "ts"} <= set(df.columns) else df
 
 
 def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bool = False,
-        checkpoint: str | None = None, wall_clock: bool = False, lanes: int = 16, seed: int = 42) -> None:
-    topo = Topology(lanes=lanes, seed=seed, clock=WallClock() if wall_clock else SyntheticClock())
+        checkpoint: str | None = None, synthetic_clock: bool = False, lanes: int = 16, seed: int = 42,
+        quarantine: str | None = None, files_per_trigger: int = 8, spread: int | None = None) -> None:
+    topo = Topology(lanes=lanes, seed=seed, clock=SyntheticClock() if synthetic_clock else WallClock())
     if not stream:
-        src = _inbound(spark.read.parquet(input_path))
+        src = _inbound(spark.read.parquet(input_path), spread)
         if name == "receiver":
+            if quarantine:
+                P.receiver_quarantine(src).write.mode("overwrite").parquet(quarantine)
             out = P.receiver_points(src)
         elif name == "round_trip":
             out = P.round_trip(src, topo)
@@ -50,9 +52,9 @@ def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bo
     if not checkpoint:
         raise SystemExit("--checkpoint is required with --stream")
     schema = spark.read.parquet(input_path).schema
-    src = _inbound(spark.readStream.schema(schema).parquet(input_path))
+    src = _inbound(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(input_path))
     if name == "receiver":
-        q = metric_sink(S.receiver_stream(src), output, checkpoint, availableNow=True)
+        q = S.receiver_to_points(src, output, checkpoint, quarantine, availableNow=True)
     elif name in WINDOWED_STREAMS:
         w, finish = WINDOWED_STREAMS[name](src, topo)
         q = S.run_to_table(w, lambda b: to_outbound(finish(b)), output, checkpoint, availableNow=True)
@@ -72,12 +74,16 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--output", required=True)
     ap.add_argument("--stream", action="store_true")
     ap.add_argument("--checkpoint")
-    ap.add_argument("--wall-clock", action="store_true", help="stamp real times instead of the synthetic clock")
+    ap.add_argument("--synthetic-clock", action="store_true", help="stamp reproducible times instead of the wall clock's (round_trip needs it)")
+    ap.add_argument("--quarantine", help="receiver: folder for the rejected rows with reason and raw value")
+    ap.add_argument("--files-per-trigger", type=int, default=8, help="bound of a micro-batch of a file stream")
+    ap.add_argument("--spread", type=int, help="spread a batch of few large files over so many partitions")
     ap.add_argument("--lanes", type=int, default=16)
     ap.add_argument("--seed", type=int, default=42)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"hopline-{a.name}").getOrCreate()
-    run(spark, a.name, a.input, a.output, a.stream, a.checkpoint, a.wall_clock, a.lanes, a.seed)
+    run(spark, a.name, a.input, a.output, a.stream, a.checkpoint, a.synthetic_clock, a.lanes, a.seed,
+        a.quarantine, a.files_per_trigger, a.spread)
 
 
 if __name__ == "__main__":

@@ -25,17 +25,6 @@ KAFKA_ROW = StructType(
     ]
 )
 
-# The spout tuple
-SPOUT_TUPLE = StructType(
-    [
-        StructField("timestamp", LongType()),
-        StructField("uuid", StringType()),
-        StructField("entryMilliTimestamp", LongType()),
-        StructField("messageTimestamp", LongType()),
-        StructField("path", StringType()),
-    ]
-)
-
 # The path message; JSON field order is this declaration order
 PATH_MESSAGE = StructType(
     [
@@ -46,44 +35,8 @@ PATH_MESSAGE = StructType(
     ]
 )
 
-# D3: the path tuple (the message is held as typed columns, JSON only at the edges)
-PATH_TUPLE = StructType(
-    [
-        StructField("timestamp", LongType()),
-        StructField("key", StringType()),
-        StructField("entryMilliTimestamp", LongType()),
-    ]
-    + list(PATH_MESSAGE.fields)
-)
-
-# one hop of the transfer trace carried beside the path
-HOP = StructType(
-    [
-        StructField("component", StringType()),
-        StructField("task", LongType()),
-        StructField("recv_ms", LongType()),
-        StructField("transfer_ms", LongType()),
-    ]
-)
-
-# D8, flattened: one metric point per row
-METRIC_POINT = StructType(
-    [
-        StructField("measurement", StringType()),
-        StructField("spout_component", StringType()),
-        StructField("spout_task", LongType()),
-        StructField("sink_component", StringType()),
-        StructField("sink_task", LongType()),
-        StructField("value", LongType()),
-        StructField("ms_latency_ms", DoubleType()),
-        StructField("path", StringType()),
-    ]
-)
-
 # internal bookkeeping columns carried by every message row
-ROW_ID, EVENT_ID, MSG_TS, STREAM, COPY, LANE, TRACE = (
-    "row_id", "event_id", "msg_ts", "stream", "copy", "lane", "trace",
-)
-# arrival order at any task: message time, then event, stream and copy
-ARRIVAL_ORDER = [MSG_TS, EVENT_ID, STREAM, COPY]
-MESSAGE_COLS = [f.name for f in PATH_MESSAGE.fields]
+ROW_ID, EVENT_ID, MSG_TS, STREAM, COPY, LANE = "row_id", "event_id", "msg_ts", "stream", "copy", "lane"
+# arrival order at any task: message time, event, stream and copy; the row id makes it total, since offsets
+# (the event ids of Kafka rows) repeat between partitions
+ARRIVAL_ORDER = [MSG_TS, EVENT_ID, STREAM, COPY, ROW_ID]

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from hopline.functions.draws import hash32, uuid_from
 from hopline.plans.topology import Component
-from hopline.schema import HOP
 
 # --- fixed values: topic and stream names used by the modelled topologies ---
 INBOUND_TOPIC = "beforeStorm"
@@ -25,10 +23,6 @@ SPOUT_STREAM_PREFIX = "kafkaMessages"
 TS_NONE, TS_CREATE, TS_LOG_APPEND = -1, 0, 1
 
 
-def empty_trace() -> Column:
-    return F.array().cast(ArrayType(HOP))
-
-
 def mint_message_id(event_id: Column) -> Column:
     """The message id a generator would mint; deterministic per event."""
     return uuid_from(event_id)
@@ -40,31 +34,20 @@ def ntz_to_instant(ts: Column) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-spread a batch source that has fewer partitions than the cluster has cores.
+def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Hash-spread a batch source over ``partitions``; None leaves it as it is.
 
-    Later stages fan rows out 10-20x, all inside the scan's tasks; a source made
-    of a few large row groups would leave most cores idle. A scan of many files
-    already has enough splits and is left alone (no shuffle).
+    For sources of a few large row groups before a 10-20x fan-out, which would otherwise run in the scan's few tasks.
     """
-    if df.isStreaming:
-        return df
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # e.g. Spark Connect has no RDD view; leave the source as it is
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target, key)
-
-
-def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC, min_partitions: int | None = None) -> DataFrame:
+    return df if partitions is None or df.isStreaming else df.repartition(partitions, key)
+
+
+def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC, partitions: int | None = None) -> DataFrame:
     """Kafka-shaped inbound rows from the ``events`` table (one message per event).
 
     ``row_id`` and ``event_id`` ride along as the stable identity of each message.
     """
-    events = spread(events.select("event_id", "ts"), "event_id", min_partitions)
+    events = spread(events.select("event_id", "ts"), "event_id", partitions)
     return events.select(
         F.lit(None).cast("binary").alias("key"),
         mint_message_id(F.col("event_id")).cast("binary").alias("value"),
@@ -78,19 +61,6 @@ def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC, min_partiti
     )
 
 
-def message_time_stats(inbound: DataFrame) -> tuple[int, int, int] | None:
-    """(first, last, count) of record times in ms: one cheap pass over the source.
-
-    Used to size the slices of the count-window ranking without running the
-    (fanned-out) pipeline an extra time.
-    """
-    st = inbound.agg(
-        F.min(F.unix_millis("timestamp")).alias("lo"), F.max(F.unix_millis("timestamp")).alias("hi"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    return None if st is None or not st["n"] else (int(st["lo"]), int(st["hi"]), int(st["n"]))
-
-
 def spout(inbound: DataFrame, comp: Component, out_stream: str = SPOUT_STREAM_PREFIX, num_streams: int = 1) -> DataFrame:
     """S1 (+ S3): Kafka rows -> spout tuples, emitted on ``out_stream0..n-1``.
 
@@ -125,22 +95,22 @@ def spout(inbound: DataFrame, comp: Component, out_stream: str = SPOUT_STREAM_PR
         entry.alias("entryMilliTimestamp"),
         "messageTimestamp",
         comp.element(lane).alias("path"),
-        empty_trace().alias("trace"),
     )
 
 
 def kafka_source_options(servers: str, topic: str, group_id: str, max_per_trigger: int | None = None,
-                         starting: str = "latest") -> dict[str, str]:
+                         starting: str = "latest", fail_on_data_loss: bool = True) -> dict[str, str]:
     """Options for ``readStream.format('kafka')`` mirroring the spout's consumer.
 
-    Offsets live in the query checkpoint; the group id only names the consumer.
+    Offsets live in the query checkpoint; the group id only names the consumer. Offsets that the broker
+    no longer has stop the query, unless ``fail_on_data_loss`` is false: then they are skipped and their rows are lost.
     """
     opts = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": starting,
         "kafka.group.id": group_id,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
         "includeHeaders": "false",
     }
     if max_per_trigger:

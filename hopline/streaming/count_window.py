@@ -26,7 +26,8 @@ from hopline.operators.lanes import lane_for
 from hopline.plans.topology import Component
 from hopline.schema import ARRIVAL_ORDER
 
-ORDER_TYPES = {"msg_ts": LongType(), "event_id": LongType(), "stream": StringType(), "copy": LongType()}
+ORDER_TYPES = {
+    "msg_ts": LongType(), "event_id": LongType(), "stream": StringType(), "copy": LongType(), "row_id": StringType()}
 
 STATE = StructType(
     [StructField("next_win", LongType()), StructField("next_pos", LongType())]

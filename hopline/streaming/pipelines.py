@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from hopline.operators import fanout, messages, windows
+from hopline.operators import fanout, messages, metrics, validate, windows
 from hopline.plans import pipelines as P
 from hopline.plans.topology import Routed, Topology
 from hopline.sources.kafka import spout
@@ -84,9 +84,14 @@ def receiver_stream(kafka_rows: DataFrame) -> DataFrame:
     return P.receiver_points(kafka_rows)
 
 
-def receiver_to_points(kafka_rows: DataFrame, out_dir: str, checkpoint: str, **trigger):
-    """T7 + O2: validated metric points written per micro-batch, idempotently."""
-    w = receiver_stream(kafka_rows).writeStream.foreachBatch(lambda df, bid: write_points(df, out_dir, bid))
+def receiver_to_points(kafka_rows: DataFrame, out_dir: str, checkpoint: str, quarantine_dir: str | None = None, **trigger):
+    """T7 + O2: metric points, and the rejected rows if ``quarantine_dir`` is given, written per micro-batch, idempotently."""
+    def each(validated: DataFrame, batch_id: int) -> None:
+        write_points(metrics.metric_points(validate.accepted(validated)), out_dir, batch_id)
+        if quarantine_dir:
+            validate.quarantined(validated).write.mode("overwrite").parquet(f"{quarantine_dir.rstrip('/')}/batch_id={batch_id}")
+
+    w = P.receiver(kafka_rows).writeStream.foreachBatch(each)
     w = w.option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()
 
@@ -97,10 +102,7 @@ def throughput_by_time_stream(kafka_rows: DataFrame, bucket: str = "2 seconds",
     are dropped by the watermark, as Structured Streaming defines."""
     from pyspark.sql import functions as F
 
-    from hopline.operators import validate
-
     acc = validate.accepted(P.receiver(kafka_rows)).withColumn("_t", F.timestamp_millis("kafka_ts"))
-    seconds = float(bucket.split()[0])
     return (
         acc.withWatermark("_t", watermark)
         .groupBy(F.window("_t", bucket).alias("w"))
@@ -108,6 +110,7 @@ def throughput_by_time_stream(kafka_rows: DataFrame, bucket: str = "2 seconds",
         .select(
             F.unix_millis(F.col("w.start")).alias("bucket_start_ms"),
             "messages",
-            (F.col("messages").cast("double") / F.lit(seconds)).alias("rate_mps"),
+            (F.col("messages").cast("double") * 1000.0 / (F.unix_millis(F.col("w.end")) - F.unix_millis(F.col("w.start"))).cast(
+                "double")).alias("rate_mps"),
         )
     )

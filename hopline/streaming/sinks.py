@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from hopline.operators.messages import kafka_sink_frame, kafka_sink_options
+from hopline.sources.kafka import OUTBOUND_TOPIC
 
 
 def write_points(points: DataFrame, out_dir: str, batch_id: int) -> None:
@@ -31,9 +32,9 @@ def console_sink(stream: DataFrame, **trigger):
     return (w.trigger(**trigger) if trigger else w).start()
 
 
-def kafka_sink(sent_stream: DataFrame, servers: str, checkpoint: str, topic: str = "afterStorm"):
+def kafka_sink(sent_stream: DataFrame, servers: str, checkpoint: str, topic: str = OUTBOUND_TOPIC, **producer):
     """O1: JSON payloads to Kafka with the sender's producer settings (needs the Kafka connector)."""
     w = kafka_sink_frame(sent_stream, topic).writeStream.format("kafka")
-    for k, v in kafka_sink_options(servers, checkpoint).items():
+    for k, v in kafka_sink_options(servers, checkpoint, **producer).items():
         w = w.option(k, v)
     return w.start()

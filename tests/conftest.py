@@ -10,6 +10,14 @@ SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
 
 
+def synthetic(**options):
+    """A topology on the deterministic clock."""
+    from hopline.functions.clock import SyntheticClock
+    from hopline.plans.topology import Topology
+
+    return Topology(clock=SyntheticClock(), **options)
+
+
 @pytest.fixture(scope="session")
 def spark():
     from hopline.session import local_session

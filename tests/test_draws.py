@@ -1,7 +1,9 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from hopline.functions.draws import KEY_CUMULATIVE, hash32, multiplier_table, normal_multiplier, unit, weighted_key
+from itertools import accumulate
+
+from hopline.functions.draws import KEY_WEIGHTS, hash32, multiplier_table, normal_multiplier, unit, weighted_key
 from hopline.plans import oracle as O
 
 
@@ -19,6 +21,7 @@ def test_hash_matches_duckdb(spark):
 
 def test_weighted_key_boundaries(spark):
     # u equal to a cumulative weight picks that key (comparison is >=), u above all cannot happen (<1)
+    KEY_CUMULATIVE = list(accumulate(KEY_WEIGHTS))
     vals = [(0.0,), (KEY_CUMULATIVE[0],), (KEY_CUMULATIVE[0] + 1e-12,), (KEY_CUMULATIVE[3],), (0.999999,)]
     df = spark.createDataFrame(vals, "u double").select(weighted_key(F.col("u")).alias("k"))
     assert [r.k for r in df.collect()] == ["A", "A", "B", "D", "P"]

@@ -2,13 +2,12 @@ from pyspark.sql import functions as F
 
 from hopline.operators import fanout, lanes
 from hopline.plans import pipelines as P
-from hopline.plans.topology import Topology
 from hopline.sources.kafka import events_as_inbound, spout
-from tests.conftest import make_events
+from tests.conftest import make_events, synthetic
 
 
 def test_fixed_fanout_copies_share_message(spark):
-    t = Topology()
+    t = synthetic()
     sp, mp = t.component("TimerSpout"), t.component("MultiPathBolt")
     out = fanout.fanout_fixed(spout(events_as_inbound(make_events(spark, 30)), sp), mp, 10)
     assert out.count() == 300
@@ -21,7 +20,7 @@ def test_fixed_fanout_copies_share_message(spark):
 
 
 def test_normal_fanout_zero_emits_nothing(spark):
-    t = Topology()
+    t = synthetic()
     sp, pm = t.component("TimerSpout"), t.component("PathMultiplier")
     s = spout(events_as_inbound(make_events(spark, 400)), sp)
     draws = s.select("row_id", fanout.multiplier_draw(pm, 1, 20, 20, 1.0).alias("m"))
@@ -33,10 +32,10 @@ def test_normal_fanout_zero_emits_nothing(spark):
 
 
 def test_split_streams_and_lane_load(spark):
-    out = P.basic(events_as_inbound(make_events(spark, 100)))
+    out = P.basic(events_as_inbound(make_events(spark, 100)), synthetic())
     sp = fanout.split_streams(out, "Stream3", "Stream4")
     assert sp.count() == 200 and {r.stream for r in sp.collect()} == {"Stream3", "Stream4"}
-    t = Topology()
+    t = synthetic()
     t.component("A")
     b = t.component("B")
     load = lanes.lane_load(out.withColumn("lane", lanes.fields_lane(b, "key")), b).collect()

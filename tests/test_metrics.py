@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from hopline.operators import metrics
 from hopline.plans import pipelines as P
 from hopline.sources.kafka import events_as_inbound
-from tests.conftest import make_events
+from tests.conftest import make_events, synthetic
 
 
 def test_throughput_by_count_off_by_one(spark):
@@ -22,16 +22,26 @@ def test_throughput_by_time(spark):
     assert got == {0: 3, 2000: 1, 4000: 1}
 
 
-def test_transfer_latency_from_trace(spark):
-    out = P.basic(events_as_inbound(make_events(spark, 200)))
-    m = metrics.transfer_latency(out, 2000)
-    assert m.agg(F.sum("transfers")).first()[0] == 400  # two hops per message
-    assert {r.component for r in m.select("component").distinct().collect()} == {"PathBolt", "SenderBolt"}
-    assert m.where("mean_ms < 0 OR max_ms >= 50").count() == 0
+def test_transfer_latency_counts_every_tuple_received(spark):
+    inbound = events_as_inbound(make_events(spark, 1000))
+
+    def received(name):
+        rows = P.transfer_rows(name, inbound, synthetic())
+        m = metrics.transfer_latency(rows, 2000)
+        assert m.where("mean_ms < 0").count() == 0
+        return {r.component: r.n for r in m.groupBy("component").agg(F.sum("transfers").alias("n")).collect()}
+
+    assert received("basic") == {"PathBolt": 1000, "SenderBolt": 1000}
+    assert received("multi") == {"MultiPathBolt": 1000, "SenderBolt": 10_000}
+    window = received("window")
+    assert window["WindowedPathBolt"] == 10 * window["SenderBolt"]  # all tuples of full windows, one sent of ten
+    fish = received("fish")
+    assert fish["PathBolt"] == fish["PathMultiplier"] == 1000 and fish["SenderBoltA"] == fish["SenderBoltB"]
+    assert fish["JoinSplitBolt"] % 20 == 0 and fish["JoinSplitBolt"] > 10_000
 
 
 def test_key_distribution_against_weights(spark):
-    out = P.multi(events_as_inbound(make_events(spark, 500)))
+    out = P.multi(events_as_inbound(make_events(spark, 500)), synthetic())
     kd = metrics.key_distribution(out).collect()
     assert len(kd) == 16 and sum(r.observed for r in kd) == 5000
     assert abs(sum(r.share for r in kd) - 1.0) < 1e-9

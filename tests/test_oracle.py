@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from hopline.plans import catalog
 from tools.compare_oracle import compare, duck
 from tests.conftest import SF_SMALL
 
-NAMES = sorted(entry.oracle_sql())
+NAMES = sorted(catalog.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +16,13 @@ def con():
 
 
 def test_every_query_has_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(catalog.oracle_sql()) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    r = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF_SMALL)
+    r = compare(spark, con, name, catalog.queries()[name], catalog.oracle_sql()[name], SF_SMALL)
     assert r["schema"], r["cols"]
     assert r["rows"][0] == r["rows"][1]
     assert r["values"], r["diff"]

@@ -1,53 +1,66 @@
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hopline.operators import ranking
 from hopline.operators.ranking import arrival_rank
 
 
-def _frame(spark, n=5000, hot=0.34):
+def _frame(spark, n=4000, hot=0.34, time=lambda rnd, i: rnd.randrange(0, 10_000)):
     rnd = random.Random(3)
     rows = []
     for i in range(n):
         g = 0 if rnd.random() < hot else rnd.randrange(1, 6)  # group 0 holds about a third of the rows
-        rows.append((g, rnd.randrange(0, 10_000), i))
-    return spark.createDataFrame(rows, "g bigint, t bigint, id bigint")
+        rows.append((g, time(rnd, i), i, f"r{i}"))
+    return spark.createDataFrame(rows, "g bigint, t bigint, id bigint, row_id string")
 
 
-def test_sliced_rank_equals_row_number(spark):
-    df = _frame(spark)
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")))
-    want = {r.id: r.rn for r in want.collect()}
-    for target in (50, 700, 1 << 20):
-        got = arrival_rank(df, ["g"], ["t", "id"], "t", max_groups=6, target_rows=target)
-        assert {r.id: r.rn for r in got.collect()} == want
-        sizes = {r.g: r.group_rows for r in got.select("g", "group_rows").distinct().collect()}
-        assert sizes == {r.g: r["count"] for r in df.groupBy("g").count().collect()}
+SHAPES = {
+    "uniform": lambda rnd, i: rnd.randrange(0, 10_000),
+    "one outlier": lambda rnd, i: 0 if i == 7 else 10**12 + rnd.randrange(0, 10_000),
+    "one millisecond": lambda rnd, i: 1_700_000_000_000,
+    "no time": lambda rnd, i: None,
+    "some without time": lambda rnd, i: None if i % 3 == 0 else rnd.randrange(0, 90_000_000),
+    "many days": lambda rnd, i: rnd.randrange(0, 40) * 86_400_000 + rnd.randrange(0, 5),
+}
 
 
-def test_stats_hint_outside_range_clamps(spark):
-    df = _frame(spark, 2000)
-    want = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("t", "id"))).collect()}
-    got = arrival_rank(df, ["g"], ["t", "id"], "t", max_groups=6, target_rows=100, stats=(2000, 3000, 2000))
-    assert {r.id: r.rn for r in got.collect()} == want
+@pytest.mark.parametrize("shape", SHAPES)
+def test_rank_equals_row_number_and_no_slice_is_large(spark, shape):
+    df = _frame(spark, time=SHAPES[shape])
+    by = Window.partitionBy("g").orderBy("t", "id")
+    want = {r.id: (r.rn, r.n) for r in df.withColumn("rn", F.row_number().over(by)).withColumn(
+        "n", F.count(F.lit(1)).over(Window.partitionBy("g"))).collect()}
+    for target in (64, 700, 1 << 20):
+        got = arrival_rank(df, ["g"], ["t", "id", "row_id"], target_rows=target)
+        assert got.columns == [*df.columns, "rn", "group_rows"]
+        assert {r.id: (r.rn, r.group_rows) for r in got.collect()} == want
+        sliced = ranking.with_slices(df, ["t", "id", "row_id"], target, 1000)
+        largest = sliced.groupBy("g", *ranking.SLICE).count().agg(F.max("count")).first()[0]
+        assert largest <= 2 * target
 
 
-def test_broadcast_only_under_proven_bound(spark):
-    df = _frame(spark, 500)
+def test_the_input_is_computed_once(spark):
+    df = _frame(spark, 300).withColumn("draw", F.md5("row_id"))
+    plan = arrival_rank(df, ["g"], ["t", "id", "row_id"])._jdf.queryExecution().executedPlan().toString()
+    outside = plan.split("InMemoryRelation")
+    assert len(outside) > 1 and "md5" not in outside[0]
 
-    def hinted(**kw):
-        return "broadcast" in arrival_rank(df, ["g"], ["t", "id"], "t", **kw)._jdf.queryExecution().analyzed().toString().lower()
 
-    assert hinted(max_groups=6, target_rows=10)
-    # a huge bound (many groups, many slices) is joined by shuffle, never broadcast
-    big = arrival_rank(df, ["g"], ["t", "id"], "t", max_groups=10**6, target_rows=1, stats=(0, 10_000, 10**12))
-    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
-    want = {r.id: r.rn for r in arrival_rank(df, ["g"], ["t", "id"], "t").collect()}
-    assert {r.id: r.rn for r in big.collect()} == want
+def test_arrival_order_is_total_on_kafka_rows(spark):
+    """Equal time and offset in four partitions: the windows do not depend on the input's order."""
+    from hopline.operators.windows import count_window
+    from hopline.plans.topology import Component
+    from hopline.sources.kafka import spout
 
+    rows = [(None, f"m{p}-{i}".encode(), "in", p, i, 1_700_000_000_000 + i // 7, 1) for i in range(100) for p in range(4)]
+    schema = "key binary, value binary, topic string, partition int, offset bigint, ms bigint, timestampType int"
 
-def test_single_slice_path_has_no_count_pass(spark):
-    df = _frame(spark, 300)
-    plan = arrival_rank(df, ["g"], ["t", "id"], "t", max_groups=6)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and "Aggregate" not in plan
+    def windows(order):
+        kafka = spark.createDataFrame(order, schema).withColumn("timestamp", F.timestamp_millis("ms"))
+        w = count_window(spout(kafka, Component("S", 0, lanes=1)), Component("W", 1, lanes=1), 20)
+        return {r.row_id: (r.win, r.pos) for r in w.collect()}
+
+    assert len(windows(rows)) == 400 and windows(rows) == windows(rows[::-1])

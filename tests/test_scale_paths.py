@@ -1,11 +1,12 @@
-"""The sliced ranking (the path large inputs take) gives the same pipeline results as the
-single-window path small inputs take, and its plan has the (lane, slice) exchange."""
+"""Small slices (as on large inputs) give the same pipeline results as large ones, on the same plan."""
 
 import re
 
 from pyspark.sql import functions as F
 
+from hopline.functions.clock import SyntheticClock
 from hopline.plans import pipelines as P
+from hopline.plans.topology import Topology
 from hopline.sources.kafka import events_as_inbound
 from tests.conftest import SF_SMALL
 
@@ -16,11 +17,12 @@ def _rows(df):
     return sorted(tuple(r) for r in df.select(*COLS, F.array_join("path", ">").alias("p")).collect())
 
 
-def test_sliced_and_single_window_paths_agree(spark):
+def test_slice_sizes_change_nothing(spark):
     inb = events_as_inbound(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
-    for build in (P.fish, P.all_in_one, lambda i, **kw: P.window(i, group_by="path", **kw)):
-        single = build(inb)
-        sliced = build(inb, target_rows=3)  # forces many (lane, slice) groups and the offsets join
-        plan = sliced._jdf.queryExecution().executedPlan().toString()
-        assert re.search(r"hashpartitioning\(lane#\d+L, _slice#\d+L", plan)
-        assert _rows(sliced) == _rows(single)
+    for build in (P.fish, P.all_in_one, lambda i, t, **kw: P.window(i, t, group_by="path", **kw)):
+        large = build(inb, Topology(clock=SyntheticClock()))
+        small = build(inb, Topology(clock=SyntheticClock()), target_rows=3, width_ms=3_600_000)
+        for df in (large, small):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"hashpartitioning\(lane#\d+L, _s0#\d+L, _s1#\d+L, _s2#\d+L", plan)
+        assert _rows(small) == _rows(large)

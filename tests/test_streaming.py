@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hopline.plans import pipelines as P
 from hopline.sources.kafka import events_as_inbound
 from hopline.streaming import pipelines as S
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_SMALL, synthetic
 
 COLS = ["row_id", "lane", "timestamp", "key", "entryMilliTimestamp", "originTimestamp", "stormMilliLatencyMs",
         "append_ms"]
@@ -42,7 +42,7 @@ def _rows(df):
 def _run(spark, build, src, out, ckpt):
     ev_schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
     stream = spark.readStream.schema(ev_schema).option("maxFilesPerTrigger", 1).parquet(src)
-    w, finish = build(events_as_inbound(stream))
+    w, finish = build(events_as_inbound(stream), synthetic())
     q = S.run_to_table(w, finish, out, ckpt, availableNow=True)
     q.awaitTermination(300)
     assert q.exception() is None
@@ -64,7 +64,7 @@ def test_stream_matches_batch_with_restart(spark, build, batch):
             _run(spark, build, src, out, ckpt)
     _run(spark, build, src, out, ckpt)
     got = spark.read.parquet(out)
-    want = batch(events_as_inbound(ev))
+    want = batch(events_as_inbound(ev), synthetic())
     assert got.count() == want.count() > 0
     assert _rows(got) == _rows(want)
 
@@ -74,7 +74,7 @@ def test_receiver_stream_points(spark):
     from hopline.operators.messages import to_outbound
     from hopline.sources.fixtures import corrupt_payload
 
-    out_rows = corrupt_payload(P.basic(events_as_inbound(spark.read.parquet(f"{SF_SMALL}/events.parquet"))))
+    out_rows = corrupt_payload(P.basic(events_as_inbound(spark.read.parquet(f"{SF_SMALL}/events.parquet")), synthetic()))
     src = os.path.join(root, "in")
     out_rows.repartition(3).write.parquet(src)
     stream = spark.readStream.schema(out_rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
@@ -93,7 +93,7 @@ def test_throughput_by_time_stream_watermark(spark):
     from hopline.sources.fixtures import corrupt_payload
 
     root = tempfile.mkdtemp(prefix="hopline-m5-")
-    rows = corrupt_payload(P.basic(events_as_inbound(spark.read.parquet(f"{SF_SMALL}/events.parquet"))))
+    rows = corrupt_payload(P.basic(events_as_inbound(spark.read.parquet(f"{SF_SMALL}/events.parquet")), synthetic()))
     ts = sorted(r.t for r in rows.select(F.unix_millis("timestamp").alias("t")).where("t IS NOT NULL").collect())
     cuts = [ts[len(ts) // 3], ts[2 * len(ts) // 3]]
     src = os.path.join(root, "in")
@@ -104,20 +104,58 @@ def test_throughput_by_time_stream_watermark(spark):
     q = (S.throughput_by_time_stream(stream).writeStream.format("memory").queryName("m5")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination(300)
-    got = {r.bucket_start_ms: r.messages for r in spark.sql("SELECT * FROM m5").collect()}
+    rows_out = spark.sql("SELECT * FROM m5").collect()
+    assert all(r.rate_mps == r.messages / 2 for r in rows_out)  # a bucket of two seconds
+    got = {r.bucket_start_ms: r.messages for r in rows_out}
     acc = validate.accepted(P.receiver(rows))
     want = {r.bucket_start_ms: r.messages for r in metrics.throughput_by_time(acc, 2000).collect()}
     assert got and all(want[k] == v for k, v in got.items())  # every emitted bucket is exact
     assert len(got) >= len(want) - 2  # only buckets the final watermark has not passed stay open
 
 
+def test_stream_rate_goes_by_the_buckets_length(spark):
+    import datetime
+
+    root = tempfile.mkdtemp(prefix="hopline-m5m-")
+    value = '{"messageID":"m","originTimestamp":1,"stormMilliLatencyMs":1.0,"path":["A:1","B:2"]}'
+    start = datetime.datetime(2024, 1, 1)
+    times = [start + datetime.timedelta(seconds=s) for s in (*range(30), 600)]
+    rows = [(None, value.encode(), "t", 0, i, t, 1) for i, t in enumerate(times)]
+    from hopline.schema import KAFKA_ROW
+
+    spark.createDataFrame(rows, KAFKA_ROW).coalesce(1).write.parquet(os.path.join(root, "in"))
+    stream = spark.readStream.schema(KAFKA_ROW).parquet(os.path.join(root, "in"))
+    q = (S.throughput_by_time_stream(stream, "1 minute").writeStream.format("memory").queryName("m5m")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert [(r.messages, r.rate_mps) for r in spark.sql("SELECT * FROM m5m").collect()] == [(30, 0.5)]
+
+
+def test_receiver_stores_both_sides(spark):
+    from hopline.operators import validate
+    from hopline.run import run
+    from hopline.sources.fixtures import corrupt_payload
+
+    root = tempfile.mkdtemp(prefix="hopline-quarantine-")
+    corrupt_payload(P.basic(events_as_inbound(spark.read.parquet(f"{SF_SMALL}/events.parquet")), synthetic())).write.parquet(
+        os.path.join(root, "in"))
+    rows = P.receiver(spark.read.parquet(os.path.join(root, "in")))
+    want = {r.outcome: r.rows for r in validate.reject_counts(rows).collect()}
+    for mode in ("batch", "stream"):
+        out, bad = os.path.join(root, mode), os.path.join(root, mode + "-bad")
+        run(spark, "receiver", os.path.join(root, "in"), out, stream=mode == "stream", checkpoint=os.path.join(root, "ck"), quarantine=bad)
+        got = {r.reject_reason: r["count"] for r in spark.read.parquet(bad).groupBy("reject_reason").count().collect()}
+        assert got == {k: v for k, v in want.items() if k != "accepted"}
+        assert spark.read.parquet(out).count() == 2 * want["accepted"]
+
+
 def test_console_sink_runs(spark, capfd):
     from hopline.streaming.sinks import console_sink
 
     root = tempfile.mkdtemp(prefix="hopline-console-")
     spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(5).write.parquet(os.path.join(root, "in"))
     schema = spark.read.parquet(os.path.join(root, "in")).schema
-    stream = P.basic(events_as_inbound(spark.readStream.schema(schema).parquet(os.path.join(root, "in"))))
+    stream = P.basic(events_as_inbound(spark.readStream.schema(schema).parquet(os.path.join(root, "in"))), synthetic())
     q = console_sink(stream.select("row_id", F.array_join("path", ">").alias("path")), availableNow=True)
     q.awaitTermination(120)
     assert q.exception() is None
@@ -128,7 +166,7 @@ def test_run_entry_point_batch_and_stream(spark):
 
     root = tempfile.mkdtemp(prefix="hopline-run-")
     ev = f"{SF_SMALL}/events.parquet"
-    run(spark, "basic", ev, os.path.join(root, "basic"))
+    run(spark, "basic", ev, os.path.join(root, "basic"), synthetic_clock=True)
     out = spark.read.parquet(os.path.join(root, "basic"))
     assert out.count() == spark.read.parquet(ev).count()
     assert set(out.columns) >= {"value", "timestamp", "timestampType", "partition"}
@@ -136,8 +174,8 @@ def test_run_entry_point_batch_and_stream(spark):
     assert spark.read.parquet(os.path.join(root, "points")).count() == 2 * out.count()
     spark.read.parquet(ev).write.parquet(os.path.join(root, "in"))  # a file stream reads a folder
     run(spark, "window", os.path.join(root, "in"), os.path.join(root, "wstream"), stream=True,
-        checkpoint=os.path.join(root, "ck"))
-    want = P.window(events_as_inbound(spark.read.parquet(ev))).count()
+        checkpoint=os.path.join(root, "ck"), synthetic_clock=True)
+    want = P.window(events_as_inbound(spark.read.parquet(ev)), synthetic()).count()
     assert spark.read.parquet(os.path.join(root, "wstream")).count() == want
 
 
@@ -166,6 +204,6 @@ def test_recovery_after_killed_process(spark):
         proc.wait(60)
     _run(spark, S.window_stream, src, out, ckpt)  # resume from the checkpoint in this process
     got = spark.read.parquet(out)
-    want = P.window(events_as_inbound(ev))
+    want = P.window(events_as_inbound(ev), synthetic())
     assert _rows(got) == _rows(want)
 

@@ -5,7 +5,7 @@ from hopline.operators.metrics import metric_points
 from hopline.plans import pipelines as P
 from hopline.sources.fixtures import corrupt_payload
 from hopline.sources.kafka import events_as_inbound
-from tests.conftest import make_events
+from tests.conftest import make_events, synthetic
 
 GOOD = {"messageID": "m-1", "originTimestamp": 1704067207179, "stormMilliLatencyMs": 12.0,
         "path": ["TimerSpout:3", "PathBolt:20", "SenderBolt:41"]}
@@ -41,6 +41,15 @@ CASES = [
     ("last_not_int", _with(path=["A:1", "B:y"]), 1, "non_integer_task"),
     ("middle_junk", _with(path=["A:1", "junk", "B:2"]), 1, None),
     ("one_element", _with(path=["A:7"]), 1, None),
+    ("no_type", _with(), None, "no_timestamp"),
+    ("trailing", _with() + " x", 1, "bad_json"),
+    ("two_objects", _with() + _with(), 1, "bad_json"),
+    ("two_in_a_row", _with() + ", " + _with(), 1, "bad_json"),
+    ("single_quotes", _with().replace('"', "'"), 1, "bad_json"),
+    ("null_element", _with(path=["A:1", None, "B:2"]), 1, "bad_element"),
+    ("numeric_element", _with(path=["A:1", 5, "B:2"]), 1, "bad_element"),
+    ("object_element", _with(path=["A:1", {"x": 1}, "B:2"]), 1, "bad_element"),
+    ("space_around", "  " + _with() + " ", 1, None),
 ]
 
 
@@ -51,6 +60,13 @@ def test_every_reason(spark):
     assert got == {name: reason for name, _, _, reason in CASES}
 
 
+def test_a_missing_record_time_is_rejected(spark):
+    df = spark.createDataFrame([("x", _with(), None, 1, 0, 0)],
+                               "name string, value string, kafka_ts bigint, timestampType int, partition int, offset bigint")
+    row = validate.validate_payload(df).first()
+    assert row.reject_reason == "no_timestamp" and validate.quarantined(validate.validate_payload(df)).first().value == _with()
+
+
 def test_one_element_path_is_spout_and_sink(spark):
     df = spark.createDataFrame([("x", _with(path=["A:7"]), 1704067207300, 1, 0, 0)],
                                "name string, value string, kafka_ts bigint, timestampType int, partition int, offset bigint")
@@ -63,13 +79,13 @@ def test_one_element_path_is_spout_and_sink(spark):
 
 
 def test_corruption_fixture_counts(spark):
-    out = P.basic(events_as_inbound(make_events(spark, 2000)))
+    out = P.basic(events_as_inbound(make_events(spark, 2000)), synthetic())
     v = P.receiver(corrupt_payload(out))
     counts = {r.outcome: r.rows for r in validate.reject_counts(v).collect()}
     assert sum(counts.values()) == 2000
-    assert counts["accepted"] > 1000
+    assert counts["accepted"] > 500
     for reason in ["no_timestamp", "not_log_append", "bad_json", "missing_origin", "missing_latency",
-                   "missing_path", "empty_path", "bad_endpoint", "non_integer_task", "null_value"]:
+                   "missing_path", "empty_path", "bad_element", "bad_endpoint", "non_integer_task", "null_value"]:
         assert counts.get(reason, 0) > 0, reason
     # quarantine + accepted is a partition of the input
     assert validate.accepted(v).count() + validate.quarantined(v).count() == 2000

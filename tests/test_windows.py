@@ -2,13 +2,12 @@ from pyspark.sql import functions as F
 
 from hopline.operators import messages, windows
 from hopline.plans import pipelines as P
-from hopline.plans.topology import Topology
 from hopline.sources.kafka import events_as_inbound, spout
-from tests.conftest import make_events
+from tests.conftest import make_events, synthetic
 
 
 def _one_lane(spark, n, *names):
-    t = Topology(lanes=1)
+    t = synthetic(lanes=1)
     comps = [t.component(x) for x in names]
     return spout(events_as_inbound(make_events(spark, n)), comps[0]), comps
 
@@ -55,9 +54,9 @@ def test_emit_one_by_path_first_arrival_and_average(spark):
 
 
 def test_emit_by_spout_three_spout_tasks(spark):
-    t = Topology(lanes=3)
+    t = synthetic(lanes=3)
     sp, pb = t.component("TimerSpout"), t.component("PathBolt")
-    w = Topology(lanes=1, seed=t.seed)
+    w = synthetic(lanes=1, seed=t.seed)
     for name in ("TimerSpout", "PathBolt"):
         w.component(name)
     wc = w.component("W")
@@ -88,7 +87,7 @@ def test_join_split_one_stream_window(spark):
 
 def test_fish_invariants(spark):
     inb = events_as_inbound(make_events(spark, 400))
-    out = P.fish(inb)
+    out = P.fish(inb, synthetic())
     rows = out.collect()
     assert rows and all(len(r.path) == 4 for r in rows)
     assert {r.sink for r in rows} == {"SenderBoltA", "SenderBoltB"}
@@ -98,13 +97,13 @@ def test_fish_invariants(spark):
 
 
 def test_fish_plan_single_pass(spark):
-    plan = P.fish(events_as_inbound(make_events(spark, 50)))._jdf.queryExecution().optimizedPlan().toString()
+    plan = P.fish(events_as_inbound(make_events(spark, 50)), synthetic())._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan  # the two spout streams come from one scan through explode
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
 def test_all_pipeline_amplification(spark):
-    out = P.all_in_one(events_as_inbound(make_events(spark, 100))).count()
+    out = P.all_in_one(events_as_inbound(make_events(spark, 100)), synthetic()).count()
     # 100 messages x 20 copies over 16 lanes, windows of 10: at most 200, at least 200 - 16
     assert 184 <= out <= 200
 
@@ -112,7 +111,7 @@ def test_all_pipeline_amplification(spark):
 def test_join_split_pick_and_average_invariants(spark):
     from hopline.plans.topology import Routed
 
-    t = Topology()
+    t = synthetic()
     sp = t.component("TimerSpout")
     pb, pm = t.component("PathBolt"), t.component("PathMultiplier")
     s = spout(events_as_inbound(make_events(spark, 300)), sp, num_streams=2)
