@@ -76,5 +76,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_syncmers, op10_bpe)}
 
 
+def chat_sql() -> str:
+    """The digests from the rows themselves; formatted_chars adds up the template's parts."""
+    escaped = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+    turn, text, following, end = (len(x) for x in (chat.TURN, chat.TEXT, chat.NEXT, chat.END))
+    return f"""
+    WITH r AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, t.n, t.r, '{ODD_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) t(n, r)
+    ), o AS (
+        SELECT *, row_number() OVER w AS n, lag(role) OVER w AS previous FROM r
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+    ), x AS (
+        SELECT *, length({escaped.format("text")}) + CASE WHEN previous IS NULL OR previous <> role
+            THEN {turn} + length({escaped.format("role")}) + {text} + {end} ELSE {following} END AS chars FROM o
+    )
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM x GROUP BY conv_id"""
+
+
+def urls_sql() -> str:
+    """Every rule tried on every page, the longest first."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in rules)
+    verdicts = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in rules)
+    return f"""
+    WITH u AS (
+        SELECT page_id,
+            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{letters}', '{letters.lower()}') AS host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+        FROM pages
+    ), f AS (SELECT *, CASE {fits} END AS rule FROM u)
+    SELECT page_id, host, path, rule, coalesce(CASE rule {verdicts} END, 'allow') AS verdict FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the operator; the tests hold the others against brute force."""
+    return {"op2_chat": chat_sql(), "op8_urls": urls_sql()}
