@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -60,5 +61,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hopline-table-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(remove_written_tables)
+    _written.append((spark, path))
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def remove_written_tables() -> None:
+    """Remove the tables that ``cut_lineage`` wrote in this process; runs by itself when the driver ends.
+
+    Call it earlier only when no result that reads them is needed any more.
+    """
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is None:  # the session has ended: its folder is the deployment's to clean
+            continue
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
