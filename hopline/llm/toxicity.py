@@ -141,8 +141,15 @@ def highest(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def window_scores(line: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The score of the window that begins at each place; the last ones are cut off."""
-    run = np.concatenate(([0.0], np.cumsum(place_scores(line, weight), dtype=np.float64)))
-    return run[STARTS:] - run[:-STARTS]
+    return window_sums(place_scores(line, weight))
+
+
+def window_sums(places: np.ndarray) -> np.ndarray:
+    n = len(places) - STARTS + 1
+    out = places[:n].copy()
+    for k in range(1, STARTS):
+        out += places[k:k + n]
+    return out
 
 
 # ------------------------------------------------------------- training
@@ -195,19 +202,22 @@ def fold(line: np.ndarray, bad: np.ndarray, good: np.ndarray, rank: np.ndarray,
     return weight
 
 
-def worst(scores: np.ndarray, doc: np.ndarray, of: np.ndarray, each: int) -> np.ndarray:
-    """Places of the ``each`` highest windows of every document in ``of``, further apart than a window."""
+def worst(scores: np.ndarray, bounds: np.ndarray, of: np.ndarray, each: int) -> np.ndarray:
+    """Places of the ``each`` highest windows of every document in ``of``, further apart than a window.
+
+    ``bounds`` holds the documents' first places (their strings stand together) and one more.
+    """
     out = []
-    order = np.lexsort((-scores, doc))
-    bounds = np.searchsorted(doc[order], of)
-    for d, a in zip(of, bounds, strict=True):
+    for d in of:
+        own = scores[bounds[d]:bounds[d + 1]]
+        some = np.argpartition(-own, min(len(own) - 1, 4 * STARTS * each))[:4 * STARTS * each]
         taken: list[int] = []
-        for p in order[a:a + 8 * STARTS * each]:
-            if doc[p] != d or len(taken) == each:
+        for p in some[np.lexsort((some, -own[some]))]:
+            if len(taken) == each or not np.isfinite(own[p]):
                 break
             if all(abs(p - q) >= STARTS for q in taken):
                 taken.append(int(p))
-        out += taken
+        out += [bounds[d] + p for p in taken]
     return np.array(out, np.int64)
 
 
@@ -253,6 +263,7 @@ def train(pieces: pd.DataFrame, rounds: int = 3, landmarks: int = 400) -> Machin
     for d, a, e in zip(doc_of, starts, ends, strict=True):
         doc[a:e] = d
     inside = doc >= 0
+    bounds = np.append(starts[np.searchsorted(doc_of, np.arange(len(doc_names)))], places)
     bad_docs, good_docs = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     # first ranking: how much oftener toxic documents hold the four symbols from here
     plain = np.zeros(len(line) - TAIL, np.int32)
@@ -263,21 +274,22 @@ def train(pieces: pd.DataFrame, rounds: int = 3, landmarks: int = 400) -> Machin
     hits, misses = (np.bincount(where[m], minlength=SYMBOLS ** ORDER) for m in (own, ~own))
     expected = (hits + misses) * len(bad_docs) / len(doc_names)
     surprise = np.maximum((hits - expected) / np.sqrt(expected + 1) - 1.5, 0)
-    run = np.concatenate(([0.0], np.cumsum(surprise[plain], dtype=np.float64)))
+    scores = window_sums(surprise.astype(np.float32)[plain])[:places]
+    scores[~inside] = -np.inf
     del plain, pair, where, own
-    scores = np.where(inside, (run[STARTS:] - run[:-STARTS])[:places], -np.inf)
     clean_places = np.flatnonzero(inside & ~toxic[doc])
     random = np.random.default_rng(7).choice(clean_places, min(3000, len(clean_places)), replace=False)
     good = np.array([], np.int64)
     rarity = rarities(line)
     for _ in range(rounds):
-        bad, clean = worst(scores, doc, bad_docs, 3), worst(scores, doc, good_docs, 2)
+        bad, clean = worst(scores, bounds, bad_docs, 3), worst(scores, bounds, good_docs, 2)
         # a witness looks worse than what clean documents hold; a document without one teaches nothing
         limit = np.quantile(scores[clean], 0.9)
         bad = bad[scores[bad] > limit] if (scores[bad] > limit).any() else bad
         good = np.unique(np.concatenate([good, clean]))
         weight = fold(line, bad, np.unique(np.concatenate([good, random])), scores, rarity, landmarks)
-        scores = np.where(inside, window_scores(line, weight[:-1].astype(np.float32))[:places], -np.inf)
+        scores = window_scores(line, weight[:-1].astype(np.float32))[:places]
+        scores[~inside] = -np.inf
     top = np.full(len(doc_names), -np.inf)
     np.maximum.at(top, doc[inside], scores[inside])
     # the score is 0.7 midway between the clean documents' highest windows and the middle of the toxic documents'
@@ -311,7 +323,7 @@ def training_pieces(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_class: int = 600,
-        pieces_per_doc: int = 60, parts: int = 3, which: int = 1) -> Machine | None:
+        pieces_per_doc: int = 40, parts: int = 3, which: int = 1) -> Machine | None:
     rows = training_pieces(docs, labels, id_col, text_col, docs_per_class, pieces_per_doc, parts, which)
     return train(rows.toPandas())
 
