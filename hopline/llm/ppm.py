@@ -161,10 +161,13 @@ class Model:
 
 def sample_counts(learn: DataFrame, order: int, docs_per_language: int) -> tuple[list[str], list]:
     """Languages and their window counts over the sample, counted by Spark; rows (id, text, lang)."""
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chance = (F.xxhash64("id", "text").bitwiseAND((1 << 52) - 1)) / float(1 << 52)
-    sizes = sizes.withColumnRenamed("lang", "l")
-    chosen = learn.join(sizes, F.col("lang") == F.col("l")).where(chance * F.col("n") < docs_per_language)
+    # the languages are the model's columns, so a few; their shares go into the filter and texts are not shuffled
+    sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return [], []
+    share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(docs_per_language / n))])
+    chance = F.xxhash64("id", "text").bitwiseAND((1 << 52) - 1) / float(1 << 52)
+    chosen = learn.where(chance < share[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
