@@ -7,6 +7,9 @@
     receiver                                       metric points of Kafka-shaped input rows
     round_trip                                     fish, then the receiver's metric points
 
+``--kafka-servers`` reads the topic named by ``--input`` instead, with bounded micro-batches, and ``--to-kafka`` sends
+sender rows to the topic named by ``--output`` (both need the Kafka connector on the classpath).
+
 ``--input`` holds either ``events``-shaped rows (event_id, ts) or Kafka-shaped rows
 (key, value, topic, partition, offset, timestamp, timestampType). ``--stream`` reads the
 input folder (a folder, not a single file) as a file stream until it is exhausted
@@ -23,8 +26,9 @@ from hopline.functions.clock import SyntheticClock, WallClock
 from hopline.operators.messages import to_outbound
 from hopline.plans import pipelines as P
 from hopline.plans.topology import Topology
-from hopline.sources.kafka import events_as_inbound
+from hopline.sources.kafka import events_as_inbound, read_kafka_stream
 from hopline.streaming import pipelines as S
+from hopline.streaming.sinks import kafka_sink
 
 WINDOWED_STREAMS = {"window": S.window_stream, "fish": S.fish_stream, "all": S.all_stream}
 
@@ -35,7 +39,9 @@ def _inbound(df: DataFrame, spread: int | None = None) -> DataFrame:
 
 def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bool = False,
         checkpoint: str | None = None, synthetic_clock: bool = False, lanes: int = 16, seed: int = 42,
-        quarantine: str | None = None, files_per_trigger: int = 8, spread: int | None = None) -> None:
+        quarantine: str | None = None, files_per_trigger: int = 8, spread: int | None = None,
+        kafka_servers: str | None = None, kafka_group: str = "hopline", offsets_per_trigger: int = 100_000,
+        to_kafka: bool = False) -> None:
     topo = Topology(lanes=lanes, seed=seed, clock=SyntheticClock() if synthetic_clock else WallClock())
     if not stream:
         src = _inbound(spark.read.parquet(input_path), spread)
@@ -49,19 +55,30 @@ def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bo
             out = to_outbound(P.PIPELINES[name](src, topo))
         out.write.mode("overwrite").parquet(output)
         return
+    if to_kafka and (not kafka_servers or name == "receiver"):
+        raise SystemExit("--to-kafka needs --kafka-servers and a pipeline with a sender")
     if not checkpoint:
         raise SystemExit("--checkpoint is required with --stream")
-    schema = spark.read.parquet(input_path).schema
-    src = _inbound(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(input_path))
+    if kafka_servers:
+        src = read_kafka_stream(spark, kafka_servers, input_path, kafka_group, max_per_trigger=offsets_per_trigger)
+    else:
+        schema = spark.read.parquet(input_path).schema
+        src = _inbound(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(input_path))
+    trigger = {} if kafka_servers else {"availableNow": True}  # a file stream ends with its input, a Kafka stream goes on
     if name == "receiver":
-        q = S.receiver_to_points(src, output, checkpoint, quarantine, availableNow=True)
+        q = S.receiver_to_points(src, output, checkpoint, quarantine, **trigger)
     elif name in WINDOWED_STREAMS:
         w, finish = WINDOWED_STREAMS[name](src, topo)
-        q = S.run_to_table(w, lambda b: to_outbound(finish(b)), output, checkpoint, availableNow=True)
+        if to_kafka:
+            q = S.run_to_kafka(w, finish, kafka_servers, checkpoint, output, trigger)
+        else:
+            q = S.run_to_table(w, lambda b: to_outbound(finish(b)), output, checkpoint, **trigger)
+    elif name in P.PIPELINES and to_kafka:
+        q = kafka_sink(P.PIPELINES[name](src, topo), kafka_servers, checkpoint, output)
     elif name in P.PIPELINES:
         out = to_outbound(P.PIPELINES[name](src, topo))
-        q = out.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(
-            availableNow=True).start()
+        w = out.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+        q = (w.trigger(**trigger) if trigger else w).start()
     else:
         raise SystemExit(f"no streaming form for {name!r}")
     q.awaitTermination()
@@ -75,6 +92,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--stream", action="store_true")
     ap.add_argument("--checkpoint")
     ap.add_argument("--synthetic-clock", action="store_true", help="stamp reproducible times instead of the wall clock's (round_trip needs it)")
+    ap.add_argument("--kafka-servers", help="stream from Kafka: --input is then the topic")
+    ap.add_argument("--kafka-group", default="hopline")
+    ap.add_argument("--offsets-per-trigger", type=int, default=100_000, help="bound of a micro-batch of a Kafka stream")
+    ap.add_argument("--to-kafka", action="store_true", help="send to Kafka: --output is then the topic")
     ap.add_argument("--quarantine", help="receiver: folder for the rejected rows with reason and raw value")
     ap.add_argument("--files-per-trigger", type=int, default=8, help="bound of a micro-batch of a file stream")
     ap.add_argument("--spread", type=int, help="spread a batch of few large files over so many partitions")
@@ -83,7 +104,7 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"hopline-{a.name}").getOrCreate()
     run(spark, a.name, a.input, a.output, a.stream, a.checkpoint, a.synthetic_clock, a.lanes, a.seed,
-        a.quarantine, a.files_per_trigger, a.spread)
+        a.quarantine, a.files_per_trigger, a.spread, a.kafka_servers, a.kafka_group, a.offsets_per_trigger, a.to_kafka)
 
 
 if __name__ == "__main__":

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from hopline.operators import fanout, messages, metrics, validate, windows
 from hopline.plans import pipelines as P
 from hopline.plans.topology import Routed, Topology
-from hopline.sources.kafka import spout
+from hopline.operators.messages import kafka_sink_frame, kafka_sink_options
+from hopline.sources.kafka import OUTBOUND_TOPIC, spout
 from hopline.streaming.count_window import stream_count_window
 from hopline.streaming.sinks import write_points
 
@@ -52,6 +53,24 @@ def all_stream(inbound: DataFrame, topo: Topology | None = None, copies: int = 2
     return w, finish
 
 
+def emit_all_stream(inbound: DataFrame, topo: Topology | None = None, n: int = 10):
+    """W2 on a stream: path bolt, the stateful count window, and a ``finish`` that re-emits every message of a full window."""
+    return _after_path_bolt(inbound, topo, n, windows.emit_all)
+
+
+def emit_by_spout_stream(inbound: DataFrame, topo: Topology | None = None, n: int = 10):
+    """W3 on a stream: as W2, with one message for each spout task of a full window."""
+    return _after_path_bolt(inbound, topo, n, windows.emit_by_spout)
+
+
+def _after_path_bolt(inbound: DataFrame, topo: Topology | None, n: int, emit):
+    topo = topo or Topology()
+    s = spout(inbound, topo.component("TimerSpout"))
+    p = messages.path_bolt(s, topo.component("PathBolt"))
+    wc = topo.component("WindowedPathBolt")
+    return stream_count_window(p, wc, n), lambda batch: emit(batch, wc, n, windowed=True)
+
+
 def fish_stream(inbound: DataFrame, topo: Topology | None = None, n: int = 20):
     """T5 on a stream: the two-stream front half, the stateful count window over both
     streams, and a ``finish`` that join-splits and sends each batch's full windows."""
@@ -79,6 +98,19 @@ def run_to_table(stream: DataFrame, finish: Callable[[DataFrame], DataFrame], ou
     return (w.trigger(**trigger) if trigger else w).start()
 
 
+def run_to_kafka(stream: DataFrame, finish: Callable[[DataFrame], DataFrame], servers: str, checkpoint: str,
+                 topic: str = OUTBOUND_TOPIC, trigger: dict | None = None, **producer):
+    """Run a windowed stream, sending each batch's finished rows to Kafka (at least once: a replayed batch is sent again)."""
+    options = kafka_sink_options(servers, checkpoint, **producer)
+    del options["checkpointLocation"]  # the stream's, not the batch writer's
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        kafka_sink_frame(finish(batch), topic).write.format("kafka").options(**options).save()
+
+    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (w.trigger(**trigger) if trigger else w).start()
+
+
 def receiver_stream(kafka_rows: DataFrame) -> DataFrame:
     """T7 on a stream: metric points of accepted messages (stateless)."""
     return P.receiver_points(kafka_rows)

@@ -149,6 +149,66 @@ def test_receiver_stores_both_sides(spark):
         assert spark.read.parquet(out).count() == 2 * want["accepted"]
 
 
+@pytest.mark.parametrize("build,emit", [(S.emit_all_stream, "emit_all"), (S.emit_by_spout_stream, "emit_by_spout")])
+def test_other_windowed_stages_on_a_stream(spark, build, emit):
+    from hopline.operators import messages, windows
+    from hopline.sources.kafka import spout
+
+    root = tempfile.mkdtemp(prefix="hopline-w23-")
+    ev, chunks, _ = _chunks(spark, root)
+    src, out = os.path.join(root, "in"), os.path.join(root, "out")
+    os.makedirs(src)
+    for i, c in enumerate(chunks):
+        for f in sorted(os.listdir(c)):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(c, f), os.path.join(src, f"part{i}-{f}"))
+    _run(spark, build, src, out, os.path.join(root, "ckpt"))
+    t = synthetic()
+    p = messages.path_bolt(spout(events_as_inbound(ev), t.component("TimerSpout")), t.component("PathBolt"))
+    want = getattr(windows, emit)(p, t.component("WindowedPathBolt"), 10)
+    cols = ["row_id", "lane", "win", "timestamp", "key", "entryMilliTimestamp", "originTimestamp"]
+    assert sorted(map(tuple, spark.read.parquet(out).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_run_on_kafka_options(spark, monkeypatch):
+    """Without a broker: the source's options, and the same code on the rows that it would give."""
+    import hopline.run as R
+    from hopline.schema import KAFKA_ROW
+
+    root = tempfile.mkdtemp(prefix="hopline-kafka-")
+    rows = events_as_inbound(spark.read.parquet(f"{SF_SMALL}/events.parquet")).select(*[f.name for f in KAFKA_ROW])
+    rows.write.parquet(os.path.join(root, "in"))
+    seen = {}
+
+    def source(spark, servers, topic, group, max_per_trigger):
+        seen["source"] = (servers, topic, group, max_per_trigger)
+        return spark.readStream.schema(rows.schema).parquet(os.path.join(root, "in"))
+
+    class Ended:
+        def awaitTermination(self):
+            pass
+
+    def sink(sent, servers, checkpoint, topic):
+        seen["sink"] = (servers, topic, sent.isStreaming, "stormMilliLatencyMs" in sent.columns)
+        return Ended()
+
+    def windowed(stream, finish, servers, checkpoint, topic, trigger):
+        seen["windowed"] = (servers, topic, stream.isStreaming, trigger)
+        return Ended()
+
+    monkeypatch.setattr(R, "read_kafka_stream", source)
+    monkeypatch.setattr(R, "kafka_sink", sink)
+    monkeypatch.setattr(R.S, "run_to_kafka", windowed)
+    options = dict(stream=True, checkpoint=os.path.join(root, "ck"), kafka_servers="broker:9092", kafka_group="g",
+                   offsets_per_trigger=50, to_kafka=True)
+    R.run(spark, "f2f", "beforeStorm", "afterStorm", **options)
+    assert seen == {"source": ("broker:9092", "beforeStorm", "g", 50), "sink": ("broker:9092", "afterStorm", True, True)}
+    R.run(spark, "window", "beforeStorm", "afterStorm", **options)
+    assert seen["windowed"] == ("broker:9092", "afterStorm", True, {})
+    with pytest.raises(SystemExit):
+        R.run(spark, "receiver", "afterStorm", "points", **options)
+
+
 def test_console_sink_runs(spark, capfd):
     from hopline.streaming.sinks import console_sink
 
