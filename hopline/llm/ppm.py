@@ -56,7 +56,7 @@ class Model:
         """``counts``: for each language the windows of order + 1 bytes and how often each came."""
         self.languages, self.order = languages, order
         n_lang = len(languages)
-        probability = np.full((1, 256, n_lang), 1 / 256)
+        probability = np.full((1, 256, n_lang), 1 / 256, np.float32)
         suffix_row = {0: np.zeros(1, np.int64)}  # contexts of the level below (sorted integers) and their rows
         contexts, rows = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for k in range(order + 1):
@@ -76,11 +76,11 @@ class Model:
                 parent = np.zeros(len(known), np.int64)
             good = parent >= 0
             known, parent = known[good], parent[good]
-            count = np.zeros((len(known), 256, n_lang))
+            count = np.zeros((len(known), 256, n_lang), np.float32)
             for i, (keys, n) in enumerate(tables):
                 row = self._rows_of(keys >> 8, known, np.arange(len(known)))
                 count[row[row >= 0], (keys & 255)[row >= 0], i] = n[row >= 0]
-            total, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
+            total, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True, dtype=np.float32)
             below = probability[parent]
             unseen = np.where(count > 0, 0, below)
             share = unseen.sum(axis=1, keepdims=True)
@@ -92,7 +92,7 @@ class Model:
             probability = np.concatenate([probability, fresh])
             suffix_row[k] = contexts
             setattr(self, f"contexts_{k}", contexts), setattr(self, f"rows_{k}", rows)
-        self.cost = -np.log2(probability).astype(np.float32)
+        self.cost = -np.log2(probability)
 
     @staticmethod
     def _rows_of(codes: np.ndarray, contexts: np.ndarray, rows: np.ndarray) -> np.ndarray:
