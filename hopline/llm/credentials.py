@@ -4,8 +4,9 @@ r"""Secret scans: multipart credential linking with DataFrame functions only.
 (code points, end exclusive). ``assign``, ``access`` and ``hex`` are strong and always reported. ``id`` (account names),
 ``secret`` (long tokens of mixed letters and digits) and ``endpoint`` (addresses) are weak: on their own they say nothing.
 
-*Linking.* Around every part lies a scope of ``reach`` code points. An interval join finds the parts that start inside it: a
-window over the document's parts sorted by place, whose range frame is the scope, so no pairs are formed. A weak id is
+*Linking.* The scope of a part reaches from ``reach`` code points before its start to ``reach`` after its end. An interval join
+finds the parts that touch it: of those that start no later the farthest end, of those that start no earlier the nearest start,
+by running windows over the document's parts sorted by place, so no pairs are formed. A weak id is
 reported if a secret (assign, hex, secret) is in its scope, a weak secret if an identifier (access, id) is, an endpoint if
 both are. A weak part that starts inside a strong one is part of it and not reported.
 
@@ -38,7 +39,7 @@ STRONG = {
 }
 WEAK = {
     "id": (rf"""(?<![A-Za-z0-9])({ACCOUNTS})["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{{3,}}""", 0, 0),
-    "secret": (rf"(?<!{TOKEN})(?={TOKEN}{{0,200}}[0-9])(?={TOKEN}{{0,200}}[A-Z])(?={TOKEN}{{0,200}}[a-z]){TOKEN}{{24,}}", 0, 0),
+    "secret": (rf"(?<!{TOKEN})(?={TOKEN}*[0-9])(?={TOKEN}*[A-Z])(?={TOKEN}*[a-z]){TOKEN}{{24,}}", 0, 0),
     "endpoint": (r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?", 0, 0),
 }
 KINDS = [*STRONG, *WEAK]
@@ -75,12 +76,19 @@ def linked(all_parts: DataFrame, reach: int = REACH) -> DataFrame:
     """The parts that are reported: strong ones, and weak ones whose complements lie in their scope."""
     kind = F.col("kind")
     is_kind = {name: kind == i for i, name in enumerate(KINDS)}
-    scope = Window.partitionBy("_h1", "_h2").orderBy("start").rangeBetween(-reach, reach)
     before = Window.partitionBy("_h1", "_h2").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("_h1", "_h2").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+
+    def near(own: Column) -> Column:
+        """Whether a part that is ``own`` touches the scope; those that start later end later, too."""
+        ended = F.max(F.when(own, F.col("end"))).over(before) >= F.col("start") - reach
+        starts = F.min(F.when(own, F.col("start"))).over(after) <= F.col("end") + reach
+        return F.coalesce(ended, F.lit(False)) | F.coalesce(starts, F.lit(False))
+
     seen = all_parts.select(
         "*",
-        F.max(is_kind["access"] | is_kind["id"]).over(scope).alias("identifier"),
-        F.max(is_kind["assign"] | is_kind["hex"] | is_kind["secret"]).over(scope).alias("hidden"),
+        near(is_kind["access"] | is_kind["id"]).alias("identifier"),
+        near(is_kind["assign"] | is_kind["hex"] | is_kind["secret"]).alias("hidden"),
         F.max(F.when(kind.between(0, len(STRONG) - 1), F.col("end"))).over(before).alias("covered"),
     )
     free = F.coalesce(F.col("covered"), F.lit(0)) <= F.col("start")
