@@ -125,13 +125,15 @@ def shard_counts(all_slots: DataFrame) -> DataFrame:
 
 
 def drawn_parts(placed: DataFrame, all_slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each document and block it touches (one with null block if it has no words): words ``from`` .. and times drawn."""
+    """A row for each document and block it touches (one with null block if it has no words): words ``from`` .., times drawn
+    and ``shards``, the shard of each time."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     touched = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     parts = touched.withColumn("from", low - F.col("start")).withColumn("words", high - low)
-    draws = all_slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    draws = all_slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(
+        F.count(F.lit(1)).alias("times"), F.collect_list("shard").alias("shards"))
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
     # slots unfold from a row a source, so a plan's size estimate is far too small: never broadcast them
     return parts.join(draws.hint("merge"), on, "left").drop("s", "b")
@@ -139,15 +141,21 @@ def drawn_parts(placed: DataFrame, all_slots: DataFrame, block: int = BLOCK) ->
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         block: int = BLOCK, ratio: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken."""
+    """One row per document: id, size, source_size, target, taken and ``shards``, the words that each shard takes: (shard, words)."""
     placed = cut_lineage(layout(docs, id_col, text_col, source_col))
     goals = targets(placed, ratio, most)
     parts = drawn_parts(placed, slots(goals, block, seed=seed), block)
-    taken = parts.groupBy("source", "bucket", "pos", "id", "size").agg(
-        F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("bigint").alias("taken"))
+    # rows of a document lie together for both groupings
+    each = parts.select("source", "bucket", "pos", "id", "size", "words", F.explode_outer("shards").alias("shard"))
+    by_shard = each.repartition("source", "bucket", "pos").groupBy("source", "bucket", "pos", "id", "size", "shard").agg(
+        F.sum("words").alias("words"))
+    drawn = F.col("shard").isNotNull()
+    taken = by_shard.groupBy("source", "bucket", "pos", "id", "size").agg(
+        F.coalesce(F.sum(F.when(drawn, F.col("words"))), F.lit(0)).cast("bigint").alias("taken"),
+        F.array_sort(F.collect_list(F.when(drawn, F.struct("shard", "words")))).alias("shards"))
     goal = goals.withColumnRenamed("source", "s")
     return taken.join(goal, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", "taken", "shards")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
