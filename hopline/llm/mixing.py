@@ -5,7 +5,7 @@
    sources sorted by cap over weight, the level is the largest of (what is left) / (weight that is left), and a
    target is the lesser of cap and level times weight.
 2. *Blocks.* A source's documents form one line of words, packed into blocks of ``block`` words; a document's place is the
-   running sum inside its hash bucket plus the bucket's offset, so no source is laid out by one task.
+   running sum inside its hash bucket (of id and digests, so rows of one id are spread) plus the bucket's offset, so no source is laid out by one task.
 3. *Slots.* A target of q whole sources and a rest takes every block q times and rest / block blocks once more. Each slot
    falls into one of ``shards`` output shards by an independent draw, so a shard's counts by source are
    multinomial, and all shards together take exactly the target's slots. In each pass, slot k maps to block
@@ -13,7 +13,7 @@
 4. *Join.* Slots and the documents' block parts meet by (source, block).
 
 Blocks, not documents, repeat: with ``most`` = 2 no document gives more than twice its words. Draws are hashes of indexes, so reruns agree.
-Null text counts as empty and has size 0. Documents of one id are laid out by text digest; repeated rows are laid out one after
+Null text counts as empty and has size 0. Documents of one id lie in the buckets of their digests; repeated rows are laid out one after
 the other. No words at all: targets are 0. An empty table gives an empty result.
 """
 
@@ -86,7 +86,7 @@ def layout(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     sized = cut_lineage(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
         *two_hashes(F.col(id_col), F.col(text_col), F.col(source_col))))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("id", "_h1", "_h2"), F.lit(BUCKETS)))
     inside = Window.partitionBy("source", "bucket").orderBy("id", "_h1", "_h2")
     counts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,9 +9,11 @@ A text without a closed syncmer (fewer than ``K`` units, or a few more) has one
 without units has the anchor 0.
 
 *Neighbours.* A document's next is the one with the greatest id below its own (ids descending, ties by text digests, null ids
-last; after the last comes the first). Ids are dealt to ranges whose limits are approximate quantiles; a window in each range
-looks one row ahead, and the greatest id of a range is also sent to the range above, whose last row looks at it. The windows
-follow the only exchange of texts. At most ``RANGES`` limits pass through the driver.
+last; after the last comes the first). Rows are dealt to ranges of (id, digests): the limits are approximate quantiles of the ids, and
+an id of many rows (null counts as one) has a range of its own, cut again by its rows' first digest. A window in each range
+looks one row ahead, and the first row of a range is also sent to the range above, whose last row looks at it. The windows
+follow the only exchange of texts. Only limits, a few for each of ``RANGES`` at most, and ranges' first rows pass through the driver.
+Rows that repeat id and text have one digest and lie in one range.
 
 Null text counts as empty. Repeated rows stay repeated and are each other's next. An empty table gives an empty result.
 """
@@ -19,6 +21,7 @@ Null text counts as empty. Repeated rows stay repeated and are each other's next
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,32 +89,50 @@ def limits_upto(limits: list[int], value: Column) -> Column:
         (at + s <= len(limits)) & (F.get(held, at + s - 1) <= value), at + s).otherwise(at))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, text, next): each document's text and the text of the next document by descending id."""
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, text, place, _h1, _h2, guest, range): each document in its range, and the first of a range as guest in the one above."""
     place = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
     ids = docs.select(place.alias("place"))
-    n_ranges = max(1, min(RANGES, ids.count() // ROWS))
+    n = ids.count()
+    n_ranges = max(1, min(RANGES, n // ROWS))
     probes = [i / n_ranges for i in range(1, n_ranges)]
-    limits = sorted({int(x) for x in ids.approxQuantile("place", probes, 0.1 / n_ranges)}) if probes else []
-    tops = {r["range"]: r["top"] for r in ids.groupBy(limits_upto(limits, F.col("place")).alias("range")).agg(
-        F.max("place").alias("top")).collect()}
+    aim = max(ROWS, -(-n // RANGES))
+    heavy = {r["place"]: -(-r["count"] // aim) for r in ids.groupBy("place").count().where(F.col("count") > 2 * aim).collect()}
+    near = ids.approxQuantile("place", probes, 0.1 / n_ranges) if probes else []
+    # a range of its own for a heavy id; quantiles are doubles and may round up to 2 ** 63
+    limits = sorted(x for x in {*map(int, near), *heavy, *(p + 1 for p in heavy)} if x < 1 << 63)
+    cuts = [1] + [heavy.get(p, 1) for p in limits]
+    base = [0, *accumulate(cuts)]
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), place.alias("place"),
+                        *two_hashes(F.col(id_col), F.col(text_col)), limits_upto(limits, place).alias("at"))
+    # descending ids, ascending digests: the least digests lie in an id's uppermost cut
+    cut = F.get(constant(cuts), F.col("at"))
+    below = F.least(F.floor((F.col("_h1").cast("double") / 2.0**64 + 0.5) * cut), cut - 1)
+    rows = keyed.withColumn("own", F.get(constant(base), F.col("at")) + cut - 1 - below)
+    first = F.min(F.struct(F.bitwise_not("place").alias("place"), "_h1", "_h2")).alias("first")
+    tops = {r["own"]: r["first"] for r in rows.groupBy("own").agg(first).collect()}
     full = sorted(tops)  # the ranges that hold documents
     above = dict(zip(full, full[1:]))
-    every = range(len(limits) + 1)
-    top_of, up = constant([tops.get(r) for r in every]), constant([above.get(r) for r in every])
+    every = range(base[-1])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), place.alias("place"),
-                       *two_hashes(F.col(id_col), F.col(text_col)), limits_upto(limits, place).alias("own"))
-    is_top = F.col("place") == F.get(top_of, F.col("own"))
+    def top(field: str) -> Column:
+        return F.get(constant([tops[r][field] if r in tops else None for r in every]), F.col("own").cast("int"))
+
+    is_top = (F.bitwise_not("place") == top("place")) & (F.col("_h1") == top("_h1")) & (F.col("_h2") == top("_h2"))
     sent = F.array(
-        F.col("own").cast("bigint"),
-        F.when(is_top, F.get(up, F.col("own"))),
-        F.when(F.col("place") == (tops[full[-1]] if full else 0), F.lit(full[0] if full else 0).cast("bigint")),
+        F.col("own"),
+        F.when(is_top, F.get(constant([above.get(r) for r in every]), F.col("own").cast("int"))),
+        F.when(is_top & (F.col("own") == (full[-1] if full else 0)), F.lit(full[0] if full else 0).cast("bigint")),
     )
-    dealt = rows.select("id", "text", "place", "_h1", "_h2", F.posexplode(sent).alias("guest", "range")).where("range is not null")
+    return rows.select("id", "text", "place", "_h1", "_h2", F.posexplode(sent).alias("guest", "range")).where("range is not null")
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, text, next): each document's text and the text of the next document by descending id."""
     order = Window.partitionBy("range").orderBy(F.col("guest") > 0, F.desc("place"), "_h1", "_h2")
-    return dealt.withColumn("next", F.lead("text").over(order)).where("guest = 0").select("id", "text", "next")
+    return dealt(docs, id_col, text_col).withColumn("next", F.lead("text").over(order)).where("guest = 0").select("id", "text", "next")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
