@@ -8,7 +8,8 @@
    shard holds a BK-tree (children keyed by integer Hamming distance to the parent)
    and follows only edges within the radius. A hot shard is split in chunks of about
    ``chunk`` fingerprints, one tree each, and its fingerprints visit the trees of the
-   earlier chunks, so no tree and no task grows with a hot group.
+   earlier chunks. Those of every ``VISITS`` chunks get a copy of the tree, so no tree
+   and no task grows with a hot group; the rows of a shard grow with its square.
    A shard answers with a spanning forest of its links, never with all pairs.
 3. ``components``: alternating large-star and small-star rounds over the forest edges.
 
@@ -32,6 +33,7 @@ from hopline.llm.common import ship, two_hashes
 from hopline.session import cut_lineage
 
 SEED = 42
+VISITS = 4  # chunks of visitors for each copy of a tree
 FLUSH = 1 << 17  # hashes held before their bits are counted
 
 
@@ -215,21 +217,28 @@ def shard_keys(fp: Column, radius: int, bits: int = 64) -> Column:
     ])
 
 
-def linked(prints: DataFrame, radius: int = 4, chunk: int = 4096) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` within ``radius`` bits that connect all that are linked."""
-    dealt = prints.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("shard"))
+def dealt(prints: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """Rows (shard, chunk, visits, fp): trees' members, and visitors from later chunks, ``VISITS`` chunks of them for each copy of a tree."""
+    keyed = prints.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("shard"))
     hot = (
-        dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
-        .select(F.col("shard").alias("hot"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+        keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+        .select(F.col("shard").alias("hot"), F.ceil(F.col("n") / chunk).alias("chunks"))
     )
-    own = F.pmod(F.xxhash64("fp"), F.coalesce(F.col("chunks"), F.lit(1))).cast("int")
-    rows = (
-        dealt.join(hot, F.col("shard") == F.col("hot"), "left")
-        .select("shard", "fp", own.alias("own"))
-        .select("shard", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("chunk"))
-        .select("shard", "chunk", (F.col("chunk") < F.col("own")).alias("visits"), "fp")
-    )
-    rows = rows.repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "visits", "fp")
+    chunks = F.coalesce(F.col("chunks"), F.lit(1).cast("bigint"))
+    rows = keyed.join(hot, F.col("shard") == F.col("hot"), "left").select(
+        "shard", "fp", chunks.alias("chunks"), F.pmod(F.xxhash64("fp"), chunks).alias("own"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own"))).alias("at"))
+    visits = F.col("at") < F.col("own")
+    copies = F.greatest(F.lit(1).cast("bigint"), F.ceil((F.col("chunks") - 1 - F.col("at")) / VISITS))
+    copy = F.pmod(F.xxhash64(F.lit(1), "fp"), copies)  # apart from the hash that chose the chunk
+    rows = rows.select("shard", "fp", "chunks", "at", visits.alias("visits"), F.explode(
+        F.when(visits, F.array(copy)).otherwise(F.sequence(F.lit(0).cast("bigint"), copies - 1))).alias("copy"))
+    return rows.select("shard", (F.col("at") * F.col("chunks") + F.col("copy")).alias("chunk"), "visits", "fp")
+
+
+def linked(prints: DataFrame, radius: int = 4, chunk: int = 4096) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` within ``radius`` bits that connect all that are linked."""
+    rows = dealt(prints, radius, chunk).repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "visits", "fp")
     return rows.mapInPandas(lambda it: shard_links(it, radius), "a bigint, b bigint").distinct()
 
 
