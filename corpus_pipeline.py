@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text: doc_id, lang, source, n_tokens and the ids as little-endian unsigned 32-bit integers."""
+    """Token ids of every text: doc_id, lang, source, n_tokens and the ids as little-endian unsigned 32-bit integers, decoded again and compared."""
     return bpe.encoded(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
 
 

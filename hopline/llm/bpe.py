@@ -321,10 +321,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns, ``n_tokens`` and ``ids`` of every document."""
+    """The ``keep`` columns, ``n_tokens`` and ``ids`` of every document. Ids that do not decode to the text's bytes end the run."""
     names = {c: f"_{i}" for i, c in enumerate(keep)}
     rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(text_col).alias("text"))
-    return encode(rows, path, pattern, "text", "ids").select(
+    same = F.col("c.decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    ids = F.when(same, F.col("c.ids")).otherwise(F.raise_error(F.lit("token ids do not decode to their text")))
+    checked = round_trip(rows, path, pattern, "text", "c").withColumn("ids", ids)
+    return checked.select(
         *[F.col(n).alias(c) for c, n in names.items()], (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
 
 
