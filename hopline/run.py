@@ -41,7 +41,11 @@ def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bo
         checkpoint: str | None = None, synthetic_clock: bool = False, lanes: int = 16, seed: int = 42,
         quarantine: str | None = None, files_per_trigger: int = 8, spread: int | None = None,
         kafka_servers: str | None = None, kafka_group: str = "hopline", offsets_per_trigger: int = 100_000,
-        to_kafka: bool = False) -> None:
+        to_kafka: bool = False, keep_rejected: bool = True) -> None:
+    if not keep_rejected:
+        quarantine = None
+    elif name == "receiver" and not quarantine:
+        quarantine = output.rstrip("/") + "_rejected"
     topo = Topology(lanes=lanes, seed=seed, clock=SyntheticClock() if synthetic_clock else WallClock())
     if not stream:
         src = _inbound(spark.read.parquet(input_path), spread)
@@ -96,7 +100,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--kafka-group", default="hopline")
     ap.add_argument("--offsets-per-trigger", type=int, default=100_000, help="bound of a micro-batch of a Kafka stream")
     ap.add_argument("--to-kafka", action="store_true", help="send to Kafka: --output is then the topic")
-    ap.add_argument("--quarantine", help="receiver: folder for the rejected rows with reason and raw value")
+    ap.add_argument("--quarantine", help="receiver: folder for the rejected rows with reason and raw value (default: <output>_rejected)")
+    ap.add_argument("--drop-rejected", action="store_true", help="receiver: store no rejected rows")
     ap.add_argument("--files-per-trigger", type=int, default=8, help="bound of a micro-batch of a file stream")
     ap.add_argument("--spread", type=int, help="spread a batch of few large files over so many partitions")
     ap.add_argument("--lanes", type=int, default=16)
@@ -104,7 +109,8 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"hopline-{a.name}").getOrCreate()
     run(spark, a.name, a.input, a.output, a.stream, a.checkpoint, a.synthetic_clock, a.lanes, a.seed,
-        a.quarantine, a.files_per_trigger, a.spread, a.kafka_servers, a.kafka_group, a.offsets_per_trigger, a.to_kafka)
+        a.quarantine, a.files_per_trigger, a.spread, a.kafka_servers, a.kafka_group, a.offsets_per_trigger, a.to_kafka,
+        not a.drop_rejected)
 
 
 if __name__ == "__main__":
