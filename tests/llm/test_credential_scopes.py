@@ -1,30 +1,12 @@
 """Scopes reach from 256 code points before a part's start to 256 after its end."""
 import random
-import re
 
 import pytest
 
 from hopline.llm import credentials as C
+from tests.llm.scopes import spans
 
 LONG = "Ab1_" * 100
-KIND = {k: i for i, k in enumerate(C.KINDS)}
-IDENT, HIDDEN = {KIND["access"], KIND["id"]}, {KIND["assign"], KIND["hex"], KIND["secret"]}
-TOKEN = re.compile("[A-Za-z0-9+/_-]{24,}")
-
-
-def brute(text, reach=C.REACH):
-    parts = [(m.start(), KIND[kind], m.end()) for kind, (pattern, group, least) in (C.STRONG | C.WEAK).items() if kind != "secret"
-             for m in re.finditer(pattern, text) if len(m[group]) >= least]
-    parts += [(m.start(), KIND["secret"], m.end()) for m in TOKEN.finditer(text)
-              if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
-    out = []
-    for s, k, e in parts:
-        near = {q for a, q, b in parts if a <= e + reach and b >= s - reach}
-        covered = any(q < len(C.STRONG) and a <= s < b for a, q, b in parts)
-        ident, hidden = near & IDENT, near & HIDDEN
-        if k < len(C.STRONG) or not covered and {"id": hidden, "secret": ident, "endpoint": ident and hidden}[C.KINDS[k]]:
-            out.append((s, k, e))
-    return ",".join(f"{C.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
 
 
 def scanned(spark, texts):
@@ -53,7 +35,7 @@ def test_the_gap_between_parts_decides(spark, gap, linked):
 def test_a_short_part_does_not_hide_the_end_of_a_long_one(spark):
     texts = [f"{LONG}/x=token=abcdefgh {' ' * 240}user: alice1", f"{'z' * 300}A1 user: alice1", f"{'Z' * 900}b1 login=bob99"]
     got = scanned(spark, texts)
-    assert got == [brute(t) for t in texts] and "secret:0:302" in got[1] and "secret:0:902" in got[2]
+    assert got == [spans(t) for t in texts] and "secret:0:302" in got[1] and "secret:0:902" in got[2]
 
 
 def test_against_brute_force(spark):
@@ -62,4 +44,4 @@ def test_against_brute_force(spark):
               "0123456789abcdef" * 20, "x" * 260 + "A1", "secret=abcdefgh"]
     texts = ["".join(rng.choice(pieces) + " " * rng.choice([1, 9, 120, 254, 255, 256, 257, 258, 300]) for _ in range(rng.randrange(1, 9)))
              for _ in range(120)]
-    assert scanned(spark, texts) == [brute(t) for t in texts]
+    assert scanned(spark, texts) == [spans(t) for t in texts]

@@ -1,7 +1,5 @@
-import hashlib
-import re
-
 from hopline.llm import credentials as C
+from tests.llm.scopes import digests, redacted, spans
 
 TEXTS = [
     "", None, "nothing here at all",
@@ -18,51 +16,16 @@ TEXTS = [
 ]
 
 
-def brute(text, reach=C.REACH):
-    text = text or ""
-    parts = []
-    for n, (kind, (pattern, group, least)) in enumerate((C.STRONG | C.WEAK).items()):
-        for m in re.finditer(pattern, text):
-            if len(m[group]) >= least:
-                parts.append((m.start(), n, m.end()))
-    strong = [p for p in parts if p[1] < len(C.STRONG)]
-    out = list(strong)
-    kinds = {k: i for i, k in enumerate(C.KINDS)}
-    for p in parts:
-        if p[1] < len(C.STRONG) or any(s[0] <= p[0] < s[2] for s in strong):
-            continue
-        near = {q[1] for q in parts if abs(q[0] - p[0]) <= reach}
-        ident, hidden = near & {kinds["access"], kinds["id"]}, near & {kinds["assign"], kinds["hex"], kinds["secret"]}
-        if {"id": hidden, "secret": ident, "endpoint": ident and hidden}[C.KINDS[p[1]]]:
-            out.append(p)
-
-    def written(spans):
-        return ",".join(f"{C.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
-
-    counts = [sum(p[1] == i for p in strong) for i in range(3)]
-    return (*counts, hashlib.sha256(written(strong).encode()).hexdigest(), written(out))
-
-
-def redacted(text):
-    done, at = "", 0
-    spans = [s.split(":") for s in brute(text)[4].split(",") if s]
-    for kind, start, end in spans:
-        if int(start) >= at:
-            done += text[at:int(start)] + f"<{kind}>"
-        at = max(at, int(end))
-    return None if text is None else done + text[at:]
-
-
 def test_spans_against_brute_force(spark, odd_docs, docs):
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, spans string, kind int")
     for rows in (frame, odd_docs, docs):
         got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in C.digests(C.scan(rows)).collect())
-        assert got == sorted((str(r["doc_id"]), *brute(r["text"])) for r in rows.select("doc_id", "text").collect())
+        assert got == sorted((str(r["doc_id"]), *digests(r["text"])) for r in rows.select("doc_id", "text").collect())
 
 
 def test_weak_parts_need_their_complements():
-    assert "secret:" in brute(TEXTS[6])[4] and "endpoint:" in brute(TEXTS[6])[4]
-    assert brute(TEXTS[7])[4] == "" and "id:" not in brute(TEXTS[8])[4]
+    assert "secret:" in spans(TEXTS[6]) and "endpoint:" in spans(TEXTS[6])
+    assert spans(TEXTS[7]) == "" and "id:" not in spans(TEXTS[8])
 
 
 def test_redaction(spark, odd_docs):

@@ -7,7 +7,7 @@ import tiktoken
 
 import corpus_pipeline as C
 from hopline.llm import bpe, mixing, toxicity
-from tests.llm.test_credentials import redacted
+from tests.llm.scopes import redacted
 from tests.llm.test_mixing import WORD, brute_targets
 from tests.llm.test_simhash import brute_components, brute_print
 
