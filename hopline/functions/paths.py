@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from hopline.schema import PATH_MESSAGE
 
@@ -59,23 +58,48 @@ def to_json_fields(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in order if k in fields]))
 
 
-def parse_payload(text: Column) -> Column:
-    """Typed struct; NULL for text that is not one JSON value.
+def json_values(text: Column) -> Column:
+    """The JSON values of ``text`` as an array of variants, by one parse; NULL for malformed text.
+
+    The text is read as the inside of an array: text after the object, a second object and single quotes make it malformed or longer.
+    """
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+
+
+def json_object(values: Column) -> Column:
+    """The JSON object that ``values`` (of ``json_values``) is, and nothing else; NULL otherwise."""
+    one = F.get(values, F.lit(0))
+    return F.when((F.size(values) == 1) & F.startswith(F.schema_of_variant(one), F.lit("OBJECT")), one)
+
+
+def _field(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", "variant")
 
-    The text is read as the only element of an array: text after the object, a second object and single quotes make
-    the array malformed or longer.
+
+def _kind(value: Column, name: str) -> Column:
+    return F.schema_of_variant(_field(value, name))
+
+
+def payload_fields(value: Column) -> Column:
+    """The typed payload struct of a JSON object (a variant); a field of another JSON type is NULL.
+
+    An origin time is a whole number, a latency any number, a path an array; other values of messageID become text.
     """
-    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")), ArrayType(PATH_MESSAGE), {"allowSingleQuotes": "false"})
-    return F.when(F.size(one) == 1, F.get(one, F.lit(0)))
+    return F.struct(
+        F.try_variant_get(value, "$.messageID", "string").alias("messageID"),
+        F.when(_kind(value, "originTimestamp") == "BIGINT", F.try_variant_get(value, "$.originTimestamp", "bigint")).alias("originTimestamp"),
+        F.when(_kind(value, "stormMilliLatencyMs").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(
+            value, "$.stormMilliLatencyMs", "double")).alias("stormMilliLatencyMs"),
+        F.when(_kind(value, "path").startswith("ARRAY<"), F.try_variant_get(value, "$.path", "array<string>")).alias("path"),
+    )
 
 
-def is_json_object(text: Column) -> Column:
-    """True when ``text`` is a JSON object and nothing else: the only element of an array."""
-    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return (F.size(one) == 1) & F.startswith(F.schema_of_variant(F.get(one, F.lit(0))), F.lit("OBJECT"))
+def parse_payload(text: Column) -> Column:
+    """Typed struct; NULL for text that is not one JSON object."""
+    value = json_object(json_values(text))
+    return F.when(value.isNotNull(), payload_fields(value))
 
 
-def strings_only(text: Column) -> Column:
-    """Whether the elements of ``path`` in the JSON ``text`` are all strings (or null, which the parsed path shows)."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.path", "variant"))
-    return F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+def strings_only(value: Column) -> Column:
+    """Whether the elements of ``path`` in a JSON object (a variant) are all strings (or null, which the typed path shows)."""
+    return F.coalesce(_kind(value, "path").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from hopline.functions.draws import KEY_WEIGHTS, KEYS
 from hopline.functions.paths import path_string
 from hopline.operators.ranking import arrival_rank
+from hopline.session import cut_lineage
 
 # --- fixed values: measurement names written by the receiver ---
 KAFKA_LATENCY = "measured-kafka-latency"
@@ -92,10 +93,11 @@ def throughput_by_count(acc: DataFrame, n: int = 500, group_col: str = "partitio
     The receiver's counter resets on the message after the N-th without counting
     it, so a report fires on every (N + 1)-th accepted message and says N. The
     elapsed time runs from the previous report (from the first message, for the
-    first report). The ranking scales past one task per partition.
+    first report). Only partition and order columns are written and ranked, so what comes before runs once,
+    and the ranking scales past one task per partition.
     """
     order_cols = list(order_cols)
-    r = arrival_rank(acc.select(group_col, *order_cols), [group_col], order_cols, **rank_kw)
+    r = arrival_rank(cut_lineage(acc.select(group_col, *order_cols)), [group_col], order_cols, **rank_kw)
     every = n + 1
     at, last = F.col(order_cols[0]), F.expr(f"rn div {every}")
     # message j * (N + 1) ends report j and starts report j + 1; the first message starts report 1

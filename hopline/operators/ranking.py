@@ -1,49 +1,97 @@
-"""Arrival rank within a group that scales past one task per group; one plan for every size.
+"""Arrival rank within a group that scales past one task per group: a distributed prefix sum over slices of the order.
 
 ``row_number() over (partition by lane order by ...)`` puts a whole lane into one task. Here the arrival
-order is cut in slices by fixed functions of the order key, so no limits are estimated and building the
-query runs nothing:
-
-1. the rows are kept once (``persist``; a lost block is computed again), so that the passes below do not
-   run what comes before again;
-2. a slice is a span of ``width_ms`` of the leading order column. A span that holds more than ``target_rows``
-   rows is cut further: by the millisecond, and inside one by the second order column (in steps that hold
-   ``target_rows`` rows at ``COPIES`` rows for each value), if it is a number;
-3. rows per (group, slice) are counted and summed up to offsets, first over days, then inside each day;
-4. rows are ranked inside their (group, slice) and the offset is added.
-
-An outlying time makes one more small slice, a crowded second or millisecond is split, and rows without a
-time form the first slice. The result is that of a single ``row_number`` per group.
+order is cut in slices by fixed functions of the order key, so no limits are estimated:
+
+1. rows are counted by group and span of ``width_ms`` of the leading order column. Only the order columns are
+   computed for it, and the counts (one row a group and span) are written under the checkpoint folder;
+2. spans of more than ``target_rows`` rows are cut further, and only their rows counted again: by the second,
+   a crowded second by the millisecond, a crowded millisecond by the second order column, if it is a number (in
+   steps that hold ``target_rows`` rows at ``COPIES`` rows for each value). Without such spans these passes do not exist;
+3. counts are summed up to offsets; many of them first over days, then inside each day;
+4. rows are ranked inside their (group, slice): one exchange of whole rows, one sort, and the offset is added by a join on
+   the same keys, which broadcasts the offsets if they are small and else keeps the rows where they are.
+
+An outlying time makes one more small slice, and rows without a time form the first slice. The result is that
+of a single ``row_number`` per group, whatever tasks were lost: slices depend on the rows alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from hopline.session import cut_lineage
+
 DAY_MS = 86_400_000
+HOUR_MS = 3_600_000
 COPIES = 64
+FEW_BYTES = 64 << 20  # of counts: so many are summed by one window a group
 FIRST = -(1 << 62)  # slice of rows without a value: before all others
-SLICE = ["_s0", "_s1", "_s2"]
+SLICE = ["_s0", "_s1", "_s2", "_s3"]
+
+
+def _levels(df: DataFrame, order_cols: Sequence[str], target_rows: int, width_ms: int) -> list[Column]:
+    """The slice numbers of a row from the coarsest on, each non-decreasing along the order where those before it are equal."""
+    lead = order_cols[0]
+    numbers = [f"`{lead}` div {width_ms}", f"`{lead}` div 1000", f"`{lead}`"]
+    numbers += [f"`{c}` div {max(1, target_rows // COPIES)}" for c in order_cols[1:2] if isinstance(df.schema[c].dataType, IntegralType)]
+    return [F.coalesce(F.expr(n).cast("bigint"), F.lit(FIRST)) for n in numbers]
+
+
+def _sliced(df: DataFrame, group_cols: list[str], order_cols: list[str], target_rows: int, width_ms: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the slice columns, and the rows of each (group, slice)."""
+    first, *finer = _levels(df, order_cols, target_rows, width_ms)
+    zero = F.lit(0).cast("bigint")
+    rows = df.withColumn("_s0", first)
+    counts = cut_lineage(rows.groupBy(*group_cols, "_s0").agg(F.count(F.lit(1)).alias("_cnt")))
+    found, used = [], 1
+    for level in finer:
+        crowded = counts.where(F.col("_cnt") > target_rows)
+        if crowded.isEmpty():
+            break
+        keys = [*group_cols, *SLICE[:used]]
+        marks = cut_lineage(crowded.select(*keys, F.lit(True).alias("_crowded")))  # its size decides how it is joined
+        found.append(counts.where(F.col("_cnt") <= target_rows))
+        rows = rows.join(marks, keys, "left").withColumn(
+            SLICE[used], F.when(F.col("_crowded"), level).otherwise(zero))
+        counts = cut_lineage(rows.where("_crowded").groupBy(*keys, SLICE[used]).agg(F.count(F.lit(1)).alias("_cnt")))
+        rows = rows.drop("_crowded")
+        used += 1
+    found.append(counts)
+    whole = [c.select(*group_cols, *[F.col(s) if s in c.columns else zero.alias(s) for s in SLICE], "_cnt") for c in found]
+    every = whole[0]
+    for c in whole[1:]:
+        every = every.unionByName(c)
+    return rows.select(*df.columns, *[F.col(s) if s in rows.columns else zero.alias(s) for s in SLICE]), every
 
 
-def with_slices(df: DataFrame, order_cols: Sequence[str], target_rows: int, width_ms: int) -> DataFrame:
-    """``df`` with the slice columns, non-decreasing along the order."""
-    lead, rest = order_cols[0], order_cols[1:2]
-    number = [c for c in rest if isinstance(df.schema[c].dataType, IntegralType)]
-    step = max(1, target_rows // COPIES)
-    spans = df.withColumn("_s0", F.coalesce(F.expr(f"`{lead}` div {width_ms}"), F.lit(FIRST)))
-    crowded = spans.groupBy("_s0").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows).select(
-        F.col("_s0").alias("_crowded"))
-    marked = spans.join(crowded, F.col("_s0") == F.col("_crowded"), "left")
-    inside = F.col("_crowded").isNotNull()
-    second = F.expr(f"`{number[0]}` div {step}") if number else F.lit(0).cast("bigint")
-    return marked.withColumn(
-        "_s1", F.when(inside, F.coalesce(F.col(lead), F.lit(FIRST))).otherwise(F.lit(0).cast("bigint"))
-    ).withColumn("_s2", F.when(inside, F.coalesce(second, F.lit(FIRST))).otherwise(F.lit(0).cast("bigint"))).drop("_crowded")
+def with_slices(df: DataFrame, order_cols: Sequence[str], target_rows: int, width_ms: int, group_cols: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the slice columns, non-decreasing along the order inside a group."""
+    return _sliced(df, list(group_cols), list(order_cols), target_rows, width_ms)[0]
+
+
+def _offsets(counts: DataFrame, group_cols: list[str], spans_a_day: int) -> DataFrame:
+    """(group, slice, ``_off``, ``group_rows``): the rows of a group before the slice, and all of them."""
+    whole, upto = Window.partitionBy(*group_cols), (Window.unboundedPreceding, -1)
+    size = int(str(counts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= FEW_BYTES:
+        before = F.sum("_cnt").over(whole.orderBy(*SLICE).rowsBetween(*upto))
+        return counts.select(*group_cols, *SLICE, F.coalesce(before, F.lit(0)).cast("bigint").alias("_off"),
+                             F.sum("_cnt").over(whole).cast("bigint").alias("group_rows"))
+    counts = counts.withColumn("_day", F.expr(f"_s0 div {spans_a_day}"))
+    days = counts.groupBy(*group_cols, "_day").agg(F.sum("_cnt").alias("_cnt")).select(
+        *group_cols, "_day",
+        F.coalesce(F.sum("_cnt").over(whole.orderBy("_day").rowsBetween(*upto)), F.lit(0)).alias("_before"),
+        F.sum("_cnt").over(whole).cast("bigint").alias("group_rows"),
+    )
+    in_day = Window.partitionBy(*group_cols, "_day").orderBy(*SLICE).rowsBetween(*upto)
+    return cut_lineage(counts.withColumn("_sofar", F.coalesce(F.sum("_cnt").over(in_day), F.lit(0))).join(
+        days, [*group_cols, "_day"]).select(
+        *group_cols, *SLICE, (F.col("_before") + F.col("_sofar")).cast("bigint").alias("_off"), "group_rows"))
 
 
 def arrival_rank(
@@ -51,29 +99,15 @@ def arrival_rank(
     group_cols: Sequence[str],
     order_cols: Sequence[str],
     target_rows: int = 1 << 20,
-    width_ms: int = 1000,
-    keep: bool = True,
+    width_ms: int = HOUR_MS,
 ) -> DataFrame:
     """Add ``rn`` (1-based rank in group by ``order_cols``) and ``group_rows``.
 
     ``order_cols`` must be a total order within a group, led by a time in ms (bigint); group columns hold no nulls.
-    ``keep=False`` leaves the input unpersisted.
+    ``df`` is computed twice: its group and order columns for the counts, and whole. Cut its lineage first if that is dear.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    sliced = with_slices(df.persist() if keep else df, order_cols, target_rows, width_ms)
-    counts = sliced.groupBy(*group_cols, *SLICE).agg(F.count(F.lit(1)).alias("_cnt")).withColumn(
-        "_day", F.expr(f"_s0 div {max(1, DAY_MS // width_ms)}"))
-    whole, upto = Window.partitionBy(*group_cols), (Window.unboundedPreceding, -1)
-    days = counts.groupBy(*group_cols, "_day").agg(F.sum("_cnt").alias("_cnt")).select(
-        *group_cols, "_day",
-        F.coalesce(F.sum("_cnt").over(whole.orderBy("_day").rowsBetween(*upto)), F.lit(0)).alias("_before"),
-        F.sum("_cnt").over(whole).cast("bigint").alias("group_rows"),
-    )
-    in_day = Window.partitionBy(*group_cols, "_day").orderBy(*SLICE).rowsBetween(*upto)
-    offsets = counts.withColumn("_sofar", F.coalesce(F.sum("_cnt").over(in_day), F.lit(0))).join(
-        days, [*group_cols, "_day"]).select(
-        *group_cols, *SLICE, (F.col("_before") + F.col("_sofar")).cast("bigint").alias("_off"), "group_rows")
-    ranked = sliced.join(offsets, [*group_cols, *SLICE])
-    w = Window.partitionBy(*group_cols, *SLICE).orderBy(*order_cols)
-    out = ranked.withColumn("rn", F.col("_off") + F.row_number().over(w))
-    return out.select(*df.columns, "rn", "group_rows")
+    sliced, counted = _sliced(df, group_cols, order_cols, target_rows, width_ms)
+    offsets = _offsets(counted, group_cols, max(1, DAY_MS // width_ms))
+    ranked = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy(*group_cols, *SLICE).orderBy(*order_cols)))
+    return ranked.join(offsets, [*group_cols, *SLICE]).select(*df.columns, (F.col("_off") + F.col("_rn")).alias("rn"), "group_rows")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopline.functions.paths import is_json_object, parse_payload, strings_only
+from hopline.functions.paths import json_object, json_values, payload_fields, strings_only
 from hopline.sources.kafka import TS_LOG_APPEND, TS_NONE
 
 # --- fixed values: reject reasons, in evaluation order ---
@@ -42,14 +42,13 @@ def timestamp_type_reason(df: DataFrame) -> DataFrame:
 def validate_payload(df: DataFrame) -> DataFrame:
     """F1 + F2: add ``reject_reason`` and the typed payload fields with endpoints.
 
-    The payload is decoded once. The outcome leaves through a one-row ``inline``
-    so that a later filter on ``reject_reason`` stays above the decode instead
-    of being pushed down with the decode (and everything before it) inlined.
+    The payload is parsed once, to a variant; types, fields and the path are read from that. The outcome leaves
+    through a one-row ``inline`` so that a later filter on ``reject_reason`` stays above the parse instead
+    of being pushed down with the parse (and everything before it) inlined.
     """
     df = timestamp_type_reason(df).withColumnRenamed("reject_reason", "_f1")
-    d = df.withColumn("_p", parse_payload(F.col("value"))).withColumn(
-        "_obj", F.coalesce(is_json_object(F.col("value")), F.lit(False))
-    )
+    d = df.withColumn("_all", json_values(F.col("value"))).withColumn("_v", json_object(F.col("_all"))).withColumn(
+        "_p", payload_fields(F.col("_v")))
     d = d.withColumn("_first", F.split(F.try_element_at(F.col("_p.path"), F.lit(1)), ":", -1)).withColumn(
         "_last", F.split(F.try_element_at(F.col("_p.path"), F.lit(-1)), ":", -1)
     )
@@ -59,12 +58,12 @@ def validate_payload(df: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("_f1").isNotNull(), F.col("_f1"))
         .when(F.col("value").isNull(), F.lit(NULL_VALUE))
-        .when(~F.col("_obj"), F.lit(BAD_JSON))
+        .when(F.col("_v").isNull(), F.lit(BAD_JSON))
         .when(F.col("_p.originTimestamp").isNull(), F.lit(MISSING_ORIGIN))
         .when(F.col("_p.stormMilliLatencyMs").isNull(), F.lit(MISSING_LATENCY))
         .when(path.isNull(), F.lit(MISSING_PATH))
         .when(F.size(path) == 0, F.lit(EMPTY_PATH))
-        .when(~strings_only(F.col("value")) | F.exists(path, lambda x: x.isNull()), F.lit(BAD_ELEMENT))
+        .when(~strings_only(F.col("_v")) | F.exists(path, lambda x: x.isNull()), F.lit(BAD_ELEMENT))
         .when((F.size("_first") != 2) | (F.size("_last") != 2), F.lit(BAD_ENDPOINT))
         .when(spout_task.isNull() | sink_task.isNull(), F.lit(NON_INTEGER_TASK))
     )

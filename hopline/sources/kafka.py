@@ -34,12 +34,27 @@ def ntz_to_instant(ts: Column) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
 
 
-def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
-    """Hash-spread a batch source over ``partitions``; None leaves it as it is.
+#: What one task gets of a source before a 10-20x fan-out: some ten thousand messages, a few hundred thousand copies.
+BYTES_PER_TASK = 1 << 16
+MOST_TASKS = 1 << 15
+UNKNOWN_BYTES = 1 << 60  # plans without a size say so by a huge one
 
-    For sources of a few large row groups before a 10-20x fan-out, which would otherwise run in the scan's few tasks.
+
+def source_tasks(df: DataFrame, bytes_per_task: int = BYTES_PER_TASK) -> int:
+    """Tasks for a batch source by the size that its plan states (files: their bytes), whatever the cluster's cores; 1 if it states none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 if size >= UNKNOWN_BYTES else min(MOST_TASKS, -(-size // bytes_per_task))
+
+
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash-spread a batch source over ``partitions``, by default over ``source_tasks``; a source for one task stays as it is.
+
+    A few large row groups are a few tasks of a scan, and the 10-20x fan-out behind it would run in those alone.
     """
-    return df if partitions is None or df.isStreaming else df.repartition(partitions, key)
+    if df.isStreaming:
+        return df
+    n = source_tasks(df) if partitions is None else partitions
+    return df if n <= 1 else df.repartition(n, key)
 
 
 def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC, partitions: int | None = None) -> DataFrame:

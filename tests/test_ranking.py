@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -28,12 +29,13 @@ SHAPES = {
 
 
 @pytest.mark.parametrize("shape", SHAPES)
-def test_rank_equals_row_number_and_no_slice_is_large(spark, shape):
+def test_rank_equals_row_number_and_no_slice_is_large(spark, shape, monkeypatch):
     df = _frame(spark, time=SHAPES[shape])
     by = Window.partitionBy("g").orderBy("t", "id")
     want = {r.id: (r.rn, r.n) for r in df.withColumn("rn", F.row_number().over(by)).withColumn(
         "n", F.count(F.lit(1)).over(Window.partitionBy("g"))).collect()}
     for target in (64, 700, 1 << 20):
+        monkeypatch.setattr(ranking, "FEW_BYTES", 0 if target == 700 else 64 << 20)  # both ways of summing up
         got = arrival_rank(df, ["g"], ["t", "id", "row_id"], target_rows=target)
         assert got.columns == [*df.columns, "rn", "group_rows"]
         assert {r.id: (r.rn, r.group_rows) for r in got.collect()} == want
@@ -42,11 +44,20 @@ def test_rank_equals_row_number_and_no_slice_is_large(spark, shape):
         assert largest <= 2 * target
 
 
-def test_the_input_is_computed_once(spark):
+def test_rows_are_exchanged_once_and_nothing_is_kept_in_executors(spark):
     df = _frame(spark, 300).withColumn("draw", F.md5("row_id"))
-    plan = arrival_rank(df, ["g"], ["t", "id", "row_id"])._jdf.queryExecution().executedPlan().toString()
-    outside = plan.split("InMemoryRelation")
-    assert len(outside) > 1 and "md5" not in outside[0]
+    for target in (64, 1 << 20):
+        plan = arrival_rank(df, ["g"], ["t", "id", "row_id"], target_rows=target)._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryRelation" not in plan and plan.count("md5") == 1
+        assert len(re.findall(r"Exchange hashpartitioning\(g#\d+L, _s0#", plan)) == 1 and "Sort [g" in plan
+
+
+def test_a_slice_is_cut_where_it_is_crowded_only(spark):
+    """One crowded second of one group: the spans of all others stay whole."""
+    df = _frame(spark, 3000, time=lambda rnd, i: 50_000 if i < 500 else rnd.randrange(0, 40) * 3_600_000)
+    sliced = ranking.with_slices(df, ["t", "id", "row_id"], 64, ranking.HOUR_MS, ["g"])
+    cut = sliced.where("_s3 <> 0 OR _s2 <> 0").agg(F.min("t"), F.max("t"), F.countDistinct("g")).first()
+    assert cut[0] == cut[1] == 50_000 and sliced.where("_s1 <> 0").count() < 800
 
 
 def test_arrival_order_is_total_on_kafka_rows(spark):
