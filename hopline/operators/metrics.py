@@ -98,14 +98,23 @@ def throughput_by_count(acc: DataFrame, n: int = 500, group_col: str = "partitio
     """
     order_cols = list(order_cols)
     r = arrival_rank(cut_lineage(acc.select(group_col, *order_cols)), [group_col], order_cols, **rank_kw)
+    return count_reports(count_marks(r, n, group_col, order_cols[0]), n, group_col)
+
+
+def count_marks(ranked: DataFrame, n: int, group_col: str, time_col: str) -> DataFrame:
+    """(group, report_no, end_ms, start_ms): where reports end and start, from rows ranked ``rn`` in their group."""
     every = n + 1
-    at, last = F.col(order_cols[0]), F.expr(f"rn div {every}")
+    at, last = F.col(time_col), F.expr(f"rn div {every}")
     # message j * (N + 1) ends report j and starts report j + 1; the first message starts report 1
     ends = F.struct(last.alias("report_no"), at.alias("end_ms"), F.lit(None).cast("bigint").alias("start_ms"))
     starts = F.struct((last + 1).alias("report_no"), F.lit(None).cast("bigint").alias("end_ms"), at.alias("start_ms"))
     is_end = F.col("rn") % every == 0
-    marks = r.where((F.col("rn") == 1) | is_end).select(
+    return ranked.where((F.col("rn") == 1) | is_end).select(
         group_col, F.inline(F.when(is_end, F.array(ends, starts)).otherwise(F.array(starts))))
+
+
+def count_reports(marks: DataFrame, n: int, group_col: str) -> DataFrame:
+    """M4 rows of the reports whose end is among ``marks``."""
     rep = marks.groupBy(group_col, "report_no").agg(F.max("end_ms").alias("end_ms"), F.max("start_ms").alias("start_ms"))
     elapsed = F.col("end_ms") - F.col("start_ms")
     return rep.where(F.col("end_ms").isNotNull()).select(

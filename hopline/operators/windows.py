@@ -209,16 +209,49 @@ def join_split(df: DataFrame, comp: Component, n: int, out1: str = "Stream3", ou
     )
 
 
+def by_arrival_time(df: DataFrame, comp: Component, window_ms: int) -> DataFrame:
+    """Rows with their task ``lane``, arrival time ``_arr`` and tumbling window ``win`` at ``comp``."""
+    arrival = comp.clock.hop(F.col("timestamp"), F.col("row_id"), comp.name)
+    return df.withColumn("_lh", lane_hash(comp)).withColumn("lane", F.col("_lh") % comp.lanes).withColumn(
+        "_arr", arrival).withColumn("win", F.expr(f"_arr div {window_ms}"))
+
+
 def join_split_time(df: DataFrame, comp: Component, window_ms: int = 2000, out1: str = "Stream3",
                     out2: str = "Stream4") -> DataFrame:
     """W5 over tumbling processing-time windows of ``window_ms`` at each task.
 
     A row arrives at ``clock.hop(timestamp)``; its window is ``arrival div window_ms``;
-    the window fires at its end, ``(win + 1) * window_ms``. No ranking is needed.
+    the window fires at its end, ``(win + 1) * window_ms``. No ranking is needed. A batch has one wall clock time for all
+    of its rows, so it needs a clock that gives each row its own; the stream form takes any.
     """
-    arrival = comp.clock.hop(F.col("timestamp"), F.col("row_id"), comp.name)
-    w = df.withColumn("_lh", lane_hash(comp)).withColumn("lane", F.col("_lh") % comp.lanes).withColumn(
-        "_arr", arrival).withColumn(
-        "win", F.expr(f"_arr div {window_ms}")
-    )
+    if not comp.clock.knows_append_time:
+        raise ValueError("time windows over a batch need a clock that gives each row its own time, e.g. SyntheticClock()")
+    w = by_arrival_time(df, comp, window_ms)
     return _join_split_core(w, comp, out1, out2, lambda g: (F.col("win") + 1) * F.lit(window_ms))
+
+
+PARTIAL_KEYS = ["lane", "win", "stream", "_ps"]
+
+
+def split_partials(w: DataFrame, comp: Component) -> DataFrame:
+    """W5/W6 as a mergeable state: per window, source stream and path the origin sum, the row count and the least pick with its row."""
+    ps = w.withColumn("_ps", path_string(F.col("path"), " "))
+    row = F.struct(_pick_key(comp, w).alias("pick"), _carried().alias("p"))
+    return merged_partials(ps.select(
+        *PARTIAL_KEYS, F.lit(1).cast("bigint").alias("_cnt"), F.col("originTimestamp").alias("_sum"), row.alias("_best")))
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """Partial results of the same window, stream and path as one; any grouping of them gives the same."""
+    return partials.groupBy(*PARTIAL_KEYS).agg(F.sum("_cnt").alias("_cnt"), F.sum("_sum").alias("_sum"), F.min("_best").alias("_best"))
+
+
+def split_of_partials(partials: DataFrame, comp: Component, window_ms: int, out1: str = "Stream3", out2: str = "Stream4") -> DataFrame:
+    """W6 output of closed windows: per source stream the path of the least hash, its average origin and its least pick, on two streams."""
+    h = hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps"))
+    chosen = partials.groupBy("lane", "win", "stream").agg(F.min(F.struct(
+        h.alias("h"), F.col("_ps").alias("s"), "_cnt", "_sum", "_best")).alias("c")).select(
+        "lane", "win", F.col("stream").alias("source_stream"), F.col("c._best.p").alias("p"), F.expr("c._sum div c._cnt").alias("_avg"))
+    now = (F.col("win") + 1) * F.lit(window_ms)
+    out = chosen.select(*_emit("p", comp, now, out1, entry=F.col("_avg"), origin=F.col("_avg")), "source_stream")
+    return split_streams(out, out1, out2)

@@ -5,6 +5,7 @@
 
     basic | f2f | multi | window | fish | all     sender rows (Kafka-shaped parquet, JSON value)
     receiver                                       metric points of Kafka-shaped input rows
+    throughput                                     the receiver's count report of Kafka-shaped input rows
     round_trip                                     fish, then the receiver's metric points
 
 ``--kafka-servers`` reads the topic named by ``--input`` instead, with bounded micro-batches, and ``--to-kafka`` sends
@@ -23,9 +24,11 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from hopline.functions.clock import SyntheticClock, WallClock
+from hopline.operators import metrics, validate
 from hopline.operators.messages import to_outbound
 from hopline.plans import pipelines as P
 from hopline.plans.topology import Topology
+from hopline.session import cut_lineage
 from hopline.sources.kafka import events_as_inbound, read_kafka_stream
 from hopline.streaming import pipelines as S
 from hopline.streaming.sinks import kafka_sink
@@ -41,22 +44,25 @@ def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bo
         checkpoint: str | None = None, synthetic_clock: bool = False, lanes: int = 16, seed: int = 42,
         quarantine: str | None = None, files_per_trigger: int = 8, spread: int | None = None,
         kafka_servers: str | None = None, kafka_group: str = "hopline", offsets_per_trigger: int = 100_000,
-        to_kafka: bool = False, keep_rejected: bool = True) -> None:
-    if not keep_rejected:
-        quarantine = None
-    elif name == "receiver" and not quarantine:
-        quarantine = output.rstrip("/") + "_rejected"
+        to_kafka: bool = False, keep_rejected: bool = True, time_window_ms: int | None = None) -> None:
+    quarantine = quarantine or output.rstrip("/") + "_rejected"
+    if time_window_ms and (name != "fish" or to_kafka):
+        raise SystemExit("--time-window is for fish, written to a table")
     topo = Topology(lanes=lanes, seed=seed, clock=SyntheticClock() if synthetic_clock else WallClock())
     if not stream:
         src = _inbound(spark.read.parquet(input_path), spread)
         if name == "receiver":
-            if quarantine:
-                P.receiver_quarantine(src).write.mode("overwrite").parquet(quarantine)
-            out = P.receiver_points(src)
+            validated = cut_lineage(P.receiver(src))  # validated once, then split
+            if keep_rejected:
+                validate.quarantined(validated).write.mode("overwrite").parquet(quarantine)
+            out = metrics.metric_points(validate.accepted(validated))
+        elif name == "throughput":
+            out = metrics.throughput_by_count(validate.accepted(P.receiver(src)))
         elif name == "round_trip":
             out = P.round_trip(src, topo)
         else:
-            out = to_outbound(P.PIPELINES[name](src, topo))
+            options = {"time_window_ms": time_window_ms} if time_window_ms else {}
+            out = to_outbound(P.PIPELINES[name](src, topo, **options))
         out.write.mode("overwrite").parquet(output)
         return
     if to_kafka and (not kafka_servers or name == "receiver"):
@@ -70,7 +76,11 @@ def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bo
         src = _inbound(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(input_path))
     trigger = {} if kafka_servers else {"availableNow": True}  # a file stream ends with its input, a Kafka stream goes on
     if name == "receiver":
-        q = S.receiver_to_points(src, output, checkpoint, quarantine, **trigger)
+        q = S.receiver_to_points(src, output, checkpoint, quarantine, keep_rejected, **trigger)
+    elif name == "throughput":
+        q = S.throughput_by_count_to_table(src, output, checkpoint, **trigger)
+    elif time_window_ms:
+        q = S.fish_time_to_table(src, output, checkpoint, topo, time_window_ms, to_rows=to_outbound, **trigger)
     elif name in WINDOWED_STREAMS:
         w, finish = WINDOWED_STREAMS[name](src, topo)
         if to_kafka:
@@ -90,7 +100,7 @@ def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bo
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="hopline.run")
-    ap.add_argument("name", choices=sorted(list(P.PIPELINES) + ["receiver", "round_trip"]))
+    ap.add_argument("name", choices=sorted(list(P.PIPELINES) + ["receiver", "round_trip", "throughput"]))
     ap.add_argument("--input", required=True)
     ap.add_argument("--output", required=True)
     ap.add_argument("--stream", action="store_true")
@@ -104,13 +114,14 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--drop-rejected", action="store_true", help="receiver: store no rejected rows")
     ap.add_argument("--files-per-trigger", type=int, default=8, help="bound of a micro-batch of a file stream")
     ap.add_argument("--spread", type=int, help="spread a batch of few large files over so many partitions")
+    ap.add_argument("--time-window", type=int, help="fish: join-split over time windows of so many ms instead of counts")
     ap.add_argument("--lanes", type=int, default=16)
     ap.add_argument("--seed", type=int, default=42)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"hopline-{a.name}").getOrCreate()
     run(spark, a.name, a.input, a.output, a.stream, a.checkpoint, a.synthetic_clock, a.lanes, a.seed,
         a.quarantine, a.files_per_trigger, a.spread, a.kafka_servers, a.kafka_group, a.offsets_per_trigger, a.to_kafka,
-        not a.drop_rejected)
+        not a.drop_rejected, a.time_window)
 
 
 if __name__ == "__main__":

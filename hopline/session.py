@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,12 +65,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hopline-table-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(remove_written_tables)
-    _written.append((spark, path))
+    getattr(_step, "written", _written).append((spark, path))
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []
+_step = threading.local()
+
+
+@contextlib.contextmanager
+def tables_of_a_step():
+    """Tables that ``cut_lineage`` writes inside go when it ends (a micro-batch): no result may read them afterwards."""
+    outer = getattr(_step, "written", None)
+    _step.written = own = []
+    try:
+        yield
+    finally:
+        if outer is None:
+            del _step.written
+        else:
+            _step.written = outer
+        _remove(own)
 
 
 def remove_written_tables() -> None:
@@ -76,8 +94,12 @@ def remove_written_tables() -> None:
 
     Call it earlier only when no result that reads them is needed any more.
     """
-    while _written:
-        spark, path = _written.pop()
+    _remove(_written)
+
+
+def _remove(written: list[tuple[SparkSession, str]]) -> None:
+    while written:
+        spark, path = written.pop()
         if spark.sparkContext._jsc is None:  # the session has ended: its folder is the deployment's to clean
             continue
         jvm = spark.sparkContext._jvm

@@ -1,93 +1,70 @@
 """Tumbling count windows on a stream (W1, streaming form).
 
-Structured Streaming has event-time windows but no count windows, so this is
-a small stateful operator keyed by ``lane``: the state holds the next window
-number and the rows of the not-yet-full window (fewer than N), so it is
-bounded by ``lanes * N`` rows no matter how long the stream runs. Each
-micro-batch: take the buffered rows plus the new ones, order them by arrival,
-emit every full window, buffer the rest.
+Structured Streaming has event-time windows but no count windows. Each micro-batch is ranked like a batch: the rows left over
+from the batch before and the new ones get their arrival rank by ``arrival_rank``, a prefix sum over slices of the order, so
+a batch of any size is dealt out over tasks, a hot lane too, and no Python worker holds rows. A lane's running offset turns
+the rank into window number and position; full windows leave, and the rest (fewer than N rows a lane) with the offsets is the state.
 
-Rows travel through Python as one JSON text per row (built and parsed by
-Spark, so typed columns, arrays and structs survive unchanged); the Python
-side only sorts and slices. Batch and stream give the same windows when
+State is a table of one batch, committed under the query's checkpoint folder. A batch starts from the state of the batch before it,
+so a replayed batch gives the same windows and replaces its own state. Batch and stream give the same windows when
 micro-batches arrive in arrival order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from hopline.operators.lanes import lane_for
+from hopline.operators.ranking import arrival_rank
+from hopline.operators.windows import lane_hash
 from hopline.plans.topology import Component
 from hopline.schema import ARRIVAL_ORDER
+from hopline.session import cut_lineage
+from hopline.streaming.table import CommittedTable
 
-ORDER_TYPES = {
-    "msg_ts": LongType(), "event_id": LongType(), "stream": StringType(), "copy": LongType(), "row_id": StringType()}
 
-STATE = StructType(
-    [StructField("next_win", LongType()), StructField("next_pos", LongType())]
-    + [StructField(f"buf_{c}", ArrayType(t)) for c, t in ORDER_TYPES.items()]
-    + [StructField("buf_row", ArrayType(StringType()))]
-)
-OUT = StructType(
-    [StructField("lane", LongType()), StructField("win", LongType()), StructField("pos", LongType()),
-     StructField("_row", StringType())]
-)
+@dataclass(frozen=True)
+class CountWindowed:
+    """A stream whose micro-batches are to be cut in count windows of ``n``; ``options`` are those of ``arrival_rank``."""
 
+    rows: DataFrame
+    comp: Component
+    n: int
+    grouping: str
+    options: dict
 
-def _windows_fn(n: int):
-    cols = list(ORDER_TYPES)
-    ints = [c for c, t in ORDER_TYPES.items() if isinstance(t, LongType)]
+    @property
+    def isStreaming(self) -> bool:
+        return self.rows.isStreaming
 
-    def typed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[cols + ["_row"]].copy()
-        for c in ints:
-            frame[c] = frame[c].astype("int64")
-        return frame
+    @property
+    def writeStream(self):
+        return self.rows.writeStream
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        lane = int(key[0])
-        if state.exists:
-            st = state.get
-            next_win, next_pos = int(st[0]), int(st[1])
-            buf = pd.DataFrame({c: list(st[2 + i]) for i, c in enumerate(cols)} | {"_row": list(st[2 + len(cols)])})
-        else:
-            next_win, next_pos, buf = 0, 0, pd.DataFrame({c: [] for c in cols + ["_row"]})
-        allrows = pd.concat([typed(buf)] + [typed(p) for p in pdfs], ignore_index=True)
-        allrows = allrows.sort_values(cols, kind="mergesort", ignore_index=True)
-        full = (len(allrows) // n) * n
-        done, rest = allrows.iloc[:full], allrows.iloc[full:]
-        state.update((
-            next_win + full // n, next_pos + full,
-            *[rest[c].astype("int64").tolist() if c in ints else rest[c].tolist() for c in cols],
-            rest["_row"].tolist(),
-        ))
-        if full:
-            idx = pd.RangeIndex(full)
-            yield pd.DataFrame({
-                "lane": lane,
-                "win": next_win + idx // n,
-                "pos": next_pos + idx + 1,
-                "_row": done["_row"].to_numpy(),
-            })
+    def step(self, batch: DataFrame, batch_id: int, state_dir: str) -> DataFrame:
+        """The rows of the windows that this batch fills, with ``lane``, ``win`` and ``pos`` (as the batch ``count_window``); commits the state."""
+        spark, n = batch.sparkSession, self.n
+        rows, ends = CommittedTable(spark, f"{state_dir}/rows"), CommittedTable(spark, f"{state_dir}/ends")
+        new = batch.withColumn("lane", lane_for(self.comp, self.grouping)).withColumn("_lh", lane_hash(self.comp))
+        held, done = rows.read_before(batch_id), ends.read_before(batch_id)
+        every = cut_lineage(new if held is None else new.unionByName(held))
+        if done is None:
+            done = spark.createDataFrame([], "lane bigint, done bigint")
+        ranked = arrival_rank(every, ["lane"], ARRIVAL_ORDER, **self.options).join(
+            done.withColumnRenamed("done", "_done"), "lane", "left").withColumn("_done", F.coalesce("_done", F.lit(0).cast("bigint")))
+        ranked = cut_lineage(ranked.withColumn("_full", F.expr(f"(group_rows div {n}) * {n}")))
+        now_done = ranked.groupBy("lane").agg(F.max(F.col("_done") + F.col("_full")).alias("done"))
+        rows.write(ranked.where("rn > _full").select(*every.columns), batch_id)
+        ends.write(done.join(now_done, "lane", "left_anti").unionByName(now_done), batch_id)
+        for table in (rows, ends):
+            table.forget_before(batch_id - 1)  # the state before this batch stays until the next one
+        return ranked.where("rn <= _full").select(
+            *every.columns, F.expr(f"_done div {n} + (rn - 1) div {n}").alias("win"), (F.col("_done") + F.col("rn")).alias("pos"))
 
-    return fn
 
-
-def stream_count_window(df: DataFrame, comp: Component, n: int, grouping: str = "shuffle") -> DataFrame:
-    """Streaming W1: rows of full windows with ``lane``, ``win`` and ``pos`` (as the batch ``count_window``)."""
-    d = df.withColumn("lane", lane_for(comp, grouping))
-    payload_cols = [c for c in d.columns if c != "lane"]
-    row_schema = d.select(*payload_cols).schema
-    packed = d.select("lane", *ARRIVAL_ORDER, F.to_json(F.struct(*payload_cols)).alias("_row"))
-    out = packed.groupBy("lane").applyInPandasWithState(
-        _windows_fn(n), OUT, STATE, "append", "NoTimeout"
-    )
-    return out.select("lane", "win", "pos", F.from_json("_row", row_schema).alias("r")).select(
-        *[F.col(f"r.{c}").alias(c) for c in payload_cols], "lane", "win", "pos"
-    )
+def stream_count_window(df: DataFrame, comp: Component, n: int, grouping: str = "shuffle", **rank_kw) -> CountWindowed:
+    """Streaming W1 for ``run_to_table`` and ``run_to_kafka``."""
+    return CountWindowed(df, comp, n, grouping, rank_kw)

@@ -1,8 +1,7 @@
 """Sinks (O1-O3) for streaming queries.
 
-O2 writes each micro-batch's metric points as parquet partitioned by
-measurement under ``<out>/batch_id=<id>``, overwriting that folder, so a
-replayed batch after a failure rewrites the same files (idempotent).
+O2 writes each micro-batch's metric points as parquet partitioned by measurement to a ``CommittedTable``: a batch is
+visible whole or not at all, and a replayed batch replaces its first attempt. ``read_points`` reads what is committed.
 """
 
 from __future__ import annotations
@@ -11,11 +10,17 @@ from pyspark.sql import DataFrame
 
 from hopline.operators.messages import kafka_sink_frame, kafka_sink_options
 from hopline.sources.kafka import OUTBOUND_TOPIC
+from hopline.streaming.table import CommittedTable
 
 
 def write_points(points: DataFrame, out_dir: str, batch_id: int) -> None:
     """O2 for one micro-batch."""
-    points.write.mode("overwrite").partitionBy("measurement").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+    CommittedTable(points.sparkSession, out_dir).write(points, batch_id, "measurement")
+
+
+def read_points(spark, out_dir: str) -> DataFrame | None:
+    """The committed metric points; None before the first commit."""
+    return CommittedTable(spark, out_dir).read()
 
 
 def metric_sink(points_stream: DataFrame, out_dir: str, checkpoint: str, **trigger):
