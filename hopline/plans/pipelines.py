@@ -27,9 +27,9 @@ def _tap(taps: list | None, rows: DataFrame, comp, grouping: str = "shuffle") ->
         taps.append(transfers(rows, comp, grouping))
 
 
-def _windows(rows: DataFrame, comp: Component, n: int, taps: list | None, **rank_kw) -> DataFrame:
-    """The count window of a windowed stage; all tuples of its full windows are received."""
-    w = windows.count_window(rows, comp, n, **rank_kw)
+def _windows(rows: DataFrame, comp: Component, n: int, taps: list | None, windowing=windows.count_window, **rank_kw) -> DataFrame:
+    """The count window of a windowed stage; all tuples of its full windows are received. Streams give a ``windowing`` of their own."""
+    w = windowing(rows, comp, n, **rank_kw)
     if taps is not None:
         taps.append(windows.window_transfers(w, comp))
     return w

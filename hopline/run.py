@@ -44,8 +44,11 @@ def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bo
         checkpoint: str | None = None, synthetic_clock: bool = False, lanes: int = 16, seed: int = 42,
         quarantine: str | None = None, files_per_trigger: int = 8, spread: int | None = None,
         kafka_servers: str | None = None, kafka_group: str = "hopline", offsets_per_trigger: int = 100_000,
-        to_kafka: bool = False, keep_rejected: bool = True, time_window_ms: int | None = None) -> None:
+        to_kafka: bool = False, keep_rejected: bool = True, time_window_ms: int | None = None,
+        latency: str | None = None) -> None:
     quarantine = quarantine or output.rstrip("/") + "_rejected"
+    if latency and (not stream or to_kafka or time_window_ms or name not in P.PIPELINES):
+        raise SystemExit("--latency is for a stream of a pipeline with a sender, written to a table")
     if time_window_ms and (name != "fish" or to_kafka):
         raise SystemExit("--time-window is for fish, written to a table")
     topo = Topology(lanes=lanes, seed=seed, clock=SyntheticClock() if synthetic_clock else WallClock())
@@ -77,6 +80,8 @@ def run(spark: SparkSession, name: str, input_path: str, output: str, stream: bo
     trigger = {} if kafka_servers else {"availableNow": True}  # a file stream ends with its input, a Kafka stream goes on
     if name == "receiver":
         q = S.receiver_to_points(src, output, checkpoint, quarantine, keep_rejected, **trigger)
+    elif latency:
+        q = S.pipeline_to_tables(name, src, output, latency, checkpoint, topo, to_rows=to_outbound, trigger=trigger)
     elif name == "throughput":
         q = S.throughput_by_count_to_table(src, output, checkpoint, **trigger)
     elif time_window_ms:
@@ -115,13 +120,14 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--files-per-trigger", type=int, default=8, help="bound of a micro-batch of a file stream")
     ap.add_argument("--spread", type=int, help="spread a batch of few large files over so many partitions")
     ap.add_argument("--time-window", type=int, help="fish: join-split over time windows of so many ms instead of counts")
+    ap.add_argument("--latency", help="stream: folder for the hop latencies of every stage, per task and two seconds")
     ap.add_argument("--lanes", type=int, default=16)
     ap.add_argument("--seed", type=int, default=42)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"hopline-{a.name}").getOrCreate()
     run(spark, a.name, a.input, a.output, a.stream, a.checkpoint, a.synthetic_clock, a.lanes, a.seed,
         a.quarantine, a.files_per_trigger, a.spread, a.kafka_servers, a.kafka_group, a.offsets_per_trigger, a.to_kafka,
-        not a.drop_rejected, a.time_window)
+        not a.drop_rejected, a.time_window, a.latency)
 
 
 if __name__ == "__main__":

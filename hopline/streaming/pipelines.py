@@ -9,6 +9,7 @@ one batch, committed under the checkpoint folder, from which the next batch star
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from hopline.streaming.event_time import close_windows
 from hopline.streaming.sinks import write_points
 from hopline.streaming.table import CommittedTable
 
+WINDOWED = ("window", "fish", "all")  # pipelines with a count window
 
 def window_stream(inbound: DataFrame, topo: Topology | None = None, n: int = 10, group_by: str = "tuple"):
     """T4 on a stream: returns (windowed rows stream, finish) where ``finish(batch_df)``
@@ -157,6 +159,44 @@ def fish_time_to_table(inbound: DataFrame, out_dir: str, checkpoint: str, topo:
     return _start(front, checkpoint, each, trigger)
 
 
+def pipeline_to_tables(name: str, inbound: DataFrame, out_dir: str, latency_dir: str, checkpoint: str, topo: Topology | None = None,
+                       bucket_ms: int = 2000, delay_ms: int = 10_000, to_rows: Callable[[DataFrame], DataFrame] | None = None,
+                       rank_options: dict | None = None, trigger: dict | None = None, **options):
+    """Any of T1-T6 on a stream with its hop latencies (M6): two outputs of one pass over each micro-batch.
+
+    Sender rows go to ``out_dir``. Every stage's transfer rows are reduced to (component, task, bucket) counts, sums and maxima, which
+    merge over batches; buckets close ``delay_ms`` behind the latest receive time of earlier batches and go to ``latency_dir``. Transfers of a
+    closed bucket are stored in ``<latency_dir>_late`` with a reason.
+    """
+    topo_of = (lambda: Topology(topo.lanes, topo.seed, topo.clock)) if topo else Topology
+    keys = ["component", "task", "bucket_start_ms", "_end"]
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy(*keys).agg(F.sum("transfers").alias("transfers"), F.sum("sum_ms").alias("sum_ms"), F.max("max_ms").alias("max_ms"))
+
+    def partial(rows: DataFrame) -> DataFrame:
+        return merge(rows.select(*keys, F.lit(1).cast("bigint").alias("transfers"), F.col("transfer_ms").alias("sum_ms"), F.col("transfer_ms").alias("max_ms")))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark, taps = batch.sparkSession, []
+
+        def windowing(rows: DataFrame, comp, n: int, **rank_kw) -> DataFrame:
+            windowed = CountWindowed(rows, comp, n, "shuffle", rank_kw)
+            return cut_lineage(windowed.step(rows, batch_id, f"{_state_dir(checkpoint)}/{comp.name}"))
+
+        own = options | (rank_options or {}) | ({"windowing": windowing} if name in WINDOWED else {})
+        sent = P.PIPELINES[name](cut_lineage(batch), topo_of(), taps=taps, **own)
+        CommittedTable(spark, out_dir).write(to_rows(sent) if to_rows else sent, batch_id)
+        start = F.expr(f"recv_ms div {bucket_ms} * {bucket_ms}")
+        rows = reduce(DataFrame.unionByName, taps).withColumn("bucket_start_ms", start).withColumn("_end", start + bucket_ms)
+        closed = close_windows(rows, batch_id, f"{_state_dir(checkpoint)}/latency", latency_dir.rstrip("/") + "_late",
+                               "recv_ms", "_end", delay_ms, partial, merge)
+        CommittedTable(spark, latency_dir).write(closed.drop("_end").withColumn(
+            "mean_ms", F.col("sum_ms").cast("double") / F.col("transfers").cast("double")), batch_id)
+
+    return _start(inbound, checkpoint, each, trigger or {})
+
+
 def receiver_stream(kafka_rows: DataFrame) -> DataFrame:
     """T7 on a stream: metric points of accepted messages (stateless)."""
     return P.receiver_points(kafka_rows)

@@ -196,3 +196,27 @@ def test_the_receiver_keeps_rejects_by_default(spark, tmp_path):
     _run(S.receiver_to_points(_stream(spark, str(tmp_path / "in")), str(tmp_path / "p"), str(tmp_path / "ck"), availableNow=True))
     assert read_points(spark, str(tmp_path / "p")).count() == 80
     assert CommittedTable(spark, str(tmp_path / "p_rejected")).read().count() == 7
+
+
+@pytest.mark.parametrize("name", ["f2f", "fish"])
+def test_hop_latencies_beside_the_output_of_a_stream(spark, tmp_path, name):
+    """Chunks in order with a restart: the sender rows are the batch's, and so is every hop latency, closed or still open."""
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").withColumn("_t", F.unix_millis(F.col("ts").cast("timestamp")))
+    src, out, lat, ckpt = (str(tmp_path / n) for n in ("in", "out", "lat", "ck"))
+    for i, c in enumerate(_chunks(ev, "_t", 3)):
+        _put(c.drop("_t"), src)
+        if i != 1:
+            _run(S.pipeline_to_tables(name, events_as_inbound(_stream(spark, src)), out, lat, ckpt, synthetic(), trigger={"availableNow": True}))
+    batch = events_as_inbound(ev)
+    cols = ["row_id", "lane", "timestamp", "key", "originTimestamp", "stormMilliLatencyMs", "sink", "append_ms"]
+    assert _told(CommittedTable(spark, out).read(), *cols) == _told(P.PIPELINES[name](batch, synthetic()), *cols)
+    want = metrics.transfer_latency(P.transfer_rows(name, batch, synthetic()))
+    closed = CommittedTable(spark, lat).read()
+    cols = ["component", "task", "bucket_start_ms", "transfers", "sum_ms", "max_ms"]
+    still = CommittedTable(spark, f"{ckpt}/hopline-state/latency/open").read_before(1 << 40)
+    late = CommittedTable(spark, lat + "_late").read()
+    merged = closed.select(*cols).unionByName(still.select(*cols))
+    if late.count():  # a window that fills in a later batch is received at its last tuple's time, never before the watermark
+        raise AssertionError(late.count())
+    assert _told(merged, *cols) == _told(want, *cols) and closed.count() > 10 * still.count()
+    assert _told(closed, "component", "mean_ms") - _told(want, "component", "mean_ms") == Counter()
