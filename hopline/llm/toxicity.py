@@ -324,8 +324,15 @@ def training_pieces(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_class: int = 600,
         pieces_per_doc: int = 40, parts: int = 3, which: int = 1) -> Machine | None:
+    """Learns in one task, on the bounded sample; only the folded weights (one number a subsequence) come to the driver."""
+    def learned(pieces: pd.DataFrame) -> pd.DataFrame:
+        machine = train(pieces)
+        return pd.DataFrame([] if machine is None else [(machine.weight.tobytes(), float(machine.slope), float(machine.offset))],
+                            columns=["weight", "slope", "offset"])
+
     rows = training_pieces(docs, labels, id_col, text_col, docs_per_class, pieces_per_doc, parts, which)
-    return train(rows.toPandas())
+    found = rows.withColumn("sample", F.lit(0)).groupBy("sample").applyInPandas(learned, "weight binary, slope double, offset double").first()
+    return None if found is None else Machine(np.frombuffer(found["weight"], np.float32), found["slope"], found["offset"])
 
 
 def score_udf(docs: DataFrame, machine: Machine):
@@ -347,12 +354,13 @@ def scored(docs: DataFrame, machine: Machine | None, text_col: str = "text") ->
 
 
 def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7,
-            **options) -> DataFrame:
-    """Learns from labelled rows that are not held out and scores all documents: id, held_out, score, predicted."""
-    machine = fit(docs, labels, id_col, text_col, **options)
+            parts: int = 3, which: int = 1, **options) -> DataFrame:
+    """Learns from labelled rows that are not held out (crc32 of the id mod ``parts`` is ``which``) and scores all documents: id, held_out,
+    score, predicted. Ties of score do not matter: each document is judged by its own."""
+    machine = fit(docs, labels, id_col, text_col, parts=parts, which=which, **options)
     rows = docs.select(F.col(id_col).alias("id"), scored(docs, machine, text_col).alias("score"))
     return rows.select(
-        F.col("id").alias(id_col), held_out("id", 3, 1).alias("held_out"), "score",
+        F.col("id").alias(id_col), held_out("id", parts, which).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

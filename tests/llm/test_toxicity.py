@@ -106,3 +106,22 @@ def test_odd_documents_and_nothing_to_learn(spark, odd_docs):
     assert T.predict(odd_docs.limit(0), labels).count() == 0
     kept = T.keep_clean(odd_docs, labels.limit(0))
     assert kept.schema == odd_docs.schema and kept.count() == odd_docs.count()
+
+
+def test_held_out_documents(spark):
+    """Held out rows of the given tables: most toxic documents are found, few clean ones flagged."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    found = T.predict(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("held_out").join(labels, "doc_id")
+    rates = {r["toxic"]: r["rate"] for r in found.groupBy("toxic").agg(F.avg("predicted").alias("rate")).collect()}
+    assert rates[1] > 0.6 and rates[0] < 0.02
+
+
+def test_the_task_learns_what_the_driver_would(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    pieces = T.training_pieces(docs, labels, "doc_id", "text", 600, 40, 3, 1).toPandas()
+    here, there = T.train(pieces), T.fit(docs, labels)
+    assert (here is None) == (there is None)
+    if here is not None:  # sums in another order: the driver's linear algebra has more threads
+        assert np.allclose(here.weight, there.weight, rtol=1e-3, atol=1e-4) and np.allclose(
+            (here.slope, here.offset), (there.slope, there.offset), rtol=1e-3)
