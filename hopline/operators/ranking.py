@@ -100,8 +100,10 @@ def arrival_rank(
     order_cols: Sequence[str],
     target_rows: int = 1 << 20,
     width_ms: int = HOUR_MS,
+    keep_slices: bool = False,
 ) -> DataFrame:
-    """Add ``rn`` (1-based rank in group by ``order_cols``) and ``group_rows``.
+    """Add ``rn`` (1-based rank in group by ``order_cols``) and ``group_rows``; with ``keep_slices`` the ``SLICE`` columns
+    too, by which (and the group) the rows are dealt to tasks, so that later steps can start inside a slice without an exchange.
 
     ``order_cols`` must be a total order within a group, led by a time in ms (bigint); group columns hold no nulls.
     ``df`` is computed twice: its group and order columns for the counts, and whole. Cut its lineage first if that is dear.
@@ -110,4 +112,5 @@ def arrival_rank(
     sliced, counted = _sliced(df, group_cols, order_cols, target_rows, width_ms)
     offsets = _offsets(counted, group_cols, max(1, DAY_MS // width_ms))
     ranked = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy(*group_cols, *SLICE).orderBy(*order_cols)))
-    return ranked.join(offsets, [*group_cols, *SLICE]).select(*df.columns, (F.col("_off") + F.col("_rn")).alias("rn"), "group_rows")
+    return ranked.join(offsets, [*group_cols, *SLICE]).select(
+        *df.columns, (F.col("_off") + F.col("_rn")).alias("rn"), "group_rows", *(SLICE if keep_slices else ()))

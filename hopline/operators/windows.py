@@ -8,8 +8,12 @@ arrives in order.
 
 Picks ("one random tuple", "a random path") take the least salted hash (the
 window component's lane hash for rows, a path hash for paths), so each is
-uniform and reproducible. Every pick is made by window functions over one (lane, win)
-exchange and a filter.
+uniform and reproducible.
+
+Picks, sums and maxima merge, so they are made in two steps: first inside each slice of the
+ranking, where a window's rows already lie together in one task, then over the (at most few)
+rows that a slice left of each window. Only these go through the exchange on (lane, win): of
+a window of N tuples about one or two rows, not N. Both steps are window functions and a filter.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from hopline.functions.paths import append_element, path_string, spout_task
 from hopline.operators.fanout import split_streams
 from hopline.operators.lanes import lane_for
 from hopline.operators.messages import draw_key, transfer_row, with_created_message
-from hopline.operators.ranking import arrival_rank
+from hopline.operators.ranking import SLICE, arrival_rank
 from hopline.plans.topology import Component
 from hopline.schema import ARRIVAL_ORDER
 
@@ -39,12 +43,12 @@ def lane_hash(comp: Component) -> Column:
 
 
 def count_window(df: DataFrame, comp: Component, n: int, grouping: str = "shuffle", **rank_kw) -> DataFrame:
-    """Assign each row of a full window its ``lane``, ``win`` and arrival position ``pos``."""
+    """Assign each row of a full window its ``lane``, ``win`` and arrival position ``pos`` (and the slice that ranked it)."""
     if grouping == "shuffle":
         d = df.withColumn("_lh", lane_hash(comp)).withColumn("lane", F.col("_lh") % comp.lanes)
     else:
         d = df.withColumn("lane", lane_for(comp, grouping)).withColumn("_lh", lane_hash(comp))
-    d = arrival_rank(d, ["lane"], ARRIVAL_ORDER, **rank_kw)
+    d = arrival_rank(d, ["lane"], ARRIVAL_ORDER, keep_slices=True, **rank_kw)
     d = d.where(F.col("rn") <= F.expr(f"(group_rows div {n}) * {n}"))
     return d.withColumn("win", F.expr(f"(rn - 1) div {n}")).withColumnRenamed("rn", "pos").drop("group_rows")
 
@@ -54,6 +58,36 @@ def _pick_key(comp: Component, df: DataFrame | None = None) -> Column:
     return F.struct(h.alias("h"), F.col("row_id").alias("r"))
 
 
+def _one_row(comp: Component, w: DataFrame) -> Column:
+    """The pick key, total also where a row comes twice: its position decides."""
+    return F.struct(_pick_key(comp, w).alias("k"), F.col("pos").alias("at")) if "pos" in w.columns else _pick_key(comp, w)
+
+
+def _picked(w: DataFrame, pick: Column, group: tuple = (), sum_of: str | None = None, choice: Column | None = None,
+            among: tuple = ()) -> DataFrame:
+    """The row of the least ``pick`` of each (window, ``group``), with the group's ``_sum`` and ``_cnt`` and the window's ``_mx``.
+
+    With ``choice`` (equal in a group) only the group of the least one of each (window, ``among``) stays. Sums, counts and least
+    values of parts merge to those of the whole, and a group or row that is not the least of its part is not the least
+    of all, so the same step runs inside each slice of the ranking first, if ``w`` has slices.
+    """
+    inside = [s for s in SLICE if s in w.columns]
+    d = w.withColumns({"_pick": pick, "_mx": F.col("timestamp")})
+    if sum_of:
+        d = d.withColumns({"_cnt": F.lit(1).cast("bigint"), "_sum": F.col(sum_of)})
+    kept = group if choice is None else among  # one row of each stays, so a slice's ``_mx`` may be theirs
+    for keys, mx_of in ([(["lane", *inside, "win"], kept)] if inside else []) + [(["lane", "win"], ())]:
+        by_group = Window.partitionBy(*keys, *group)
+        d = d.withColumns({"_first": F.min("_pick").over(by_group),
+                           **{c: F.sum(c).over(by_group) for c in ("_cnt", "_sum") if sum_of}})
+        least = F.col("_pick") == F.col("_first")
+        if choice is not None:
+            d = d.withColumn("_chosen", F.min(choice).over(Window.partitionBy(*keys, *among)))
+            least = least & (choice == F.col("_chosen"))
+        d = d.withColumn("_mx", F.max("_mx").over(Window.partitionBy(*keys, *mx_of))).where(least)
+    return d
+
+
 def _carried(cols=CARRIED) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
@@ -102,21 +136,9 @@ def emit_all(df: DataFrame, comp: Component, n: int, out_stream: str = "pathMess
 
 
 def emit_by_spout(df: DataFrame, comp: Component, n: int, out_stream: str = "pathMessages", **rank_kw) -> DataFrame:
-    """Per spout task in a window, average entry time (integer division) and one random message.
-
-    One exchange on (lane, win); the per-spout-task steps are window functions over it.
-    """
+    """Per spout task in a window, average entry time (integer division) and one random message."""
     w = _windowed(df, comp, n, False, **rank_kw).withColumn("spout_task", spout_task(F.col("path")))
-    by_win = Window.partitionBy("lane", "win")
-    by_task = Window.partitionBy("lane", "win", "spout_task")
-    d = (
-        w.withColumn("_pick", _pick_key(comp, w))
-        .withColumn("_mx", F.max("timestamp").over(by_win))
-        .withColumn("_cnt", F.count(F.lit(1)).over(by_task))
-        .withColumn("_sum", F.sum("entryMilliTimestamp").over(by_task))
-        .withColumn("_first", F.min("_pick").over(by_task))
-        .where(F.col("_pick") == F.col("_first"))
-    )
+    d = _picked(w, _one_row(comp, w), group=("spout_task",), sum_of="entryMilliTimestamp")
     now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
     avg = F.expr("_sum div _cnt")
     return d.withColumn("_now", now).withColumn("p", _carried()).select(
@@ -137,32 +159,17 @@ def emit_one(df: DataFrame, comp: Component, n: int, create_path_msg: bool = Fal
     """
     w = _windowed(df, comp, n, create_path_msg, **rank_kw)
     if group_by == "tuple":
-        by_win = Window.partitionBy("lane", "win")
-        d = (
-            w.withColumn("_pick", _pick_key(comp, w))
-            .withColumn("_mx", F.max("timestamp").over(by_win))
-            .withColumn("_first", F.min("_pick").over(by_win))
-            .where(F.col("_pick") == F.col("_first"))
-        )
+        d = _picked(w, _one_row(comp, w))
         now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
         entry = F.col("p.entryMilliTimestamp")
         return d.withColumn("_now", now).withColumn("p", _carried()).select(
             *_emit("p", comp, F.col("_now"), out_stream, entry=entry, origin=entry))
     if group_by != "path":
         raise ValueError(f"unknown group_by {group_by!r}")
-    by_win = Window.partitionBy("lane", "win")
-    by_path = Window.partitionBy("lane", "win", "_ps")
+    w = w.withColumn("_ps", path_string(F.col("path"), " ")).withColumn(
+        "_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("_ps")))
     choice = F.struct(F.col("_hp").alias("h"), F.col("_ps").alias("s"))
-    d = (
-        w.withColumn("_ps", path_string(F.col("path"), " "))
-        .withColumn("_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("_ps")))
-        .withColumn("_mx", F.max("timestamp").over(by_win))
-        .withColumn("_cnt", F.count(F.lit(1)).over(by_path))
-        .withColumn("_sum", F.sum("entryMilliTimestamp").over(by_path))
-        .withColumn("_first", F.min("pos").over(by_path))
-        .withColumn("_chosen", F.min(choice).over(by_win))
-        .where((F.col("pos") == F.col("_first")) & (choice == F.col("_chosen")))
-    )
+    d = _picked(w, F.col("pos"), group=("_ps",), sum_of="entryMilliTimestamp", choice=choice)
     now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
     avg = F.expr("_sum div _cnt")
     return d.withColumn("_now", now).withColumn("p", _carried()).select(
@@ -171,24 +178,11 @@ def emit_one(df: DataFrame, comp: Component, n: int, create_path_msg: bool = Fal
 
 
 def _join_split_core(w: DataFrame, comp: Component, out1: str, out2: str, now_of) -> DataFrame:
-    """Per (lane, win, source stream): a random distinct path, origin averaged over it, a
-    random message of it. One exchange on (lane, win); every later step is a window
-    function over that same partitioning (paths and streams nest inside a window)."""
-    by_win = Window.partitionBy("lane", "win")
-    by_stream = Window.partitionBy("lane", "win", "stream")
-    by_path = Window.partitionBy("lane", "win", "stream", "_ps")
+    """Per (lane, win, source stream): a random distinct path, origin averaged over it, a random message of it."""
+    w = w.withColumn("_ps", path_string(F.col("path"), " ")).withColumn(
+        "_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps")))
     choice = F.struct(F.col("_hp").alias("h"), F.col("_ps").alias("s"))
-    d = (
-        w.withColumn("_ps", path_string(F.col("path"), " "))
-        .withColumn("_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps")))
-        .withColumn("_pick", _pick_key(comp, w))
-        .withColumn("_mx", F.max("timestamp").over(by_win))
-        .withColumn("_cnt", F.count(F.lit(1)).over(by_path))
-        .withColumn("_sum", F.sum("originTimestamp").over(by_path))
-        .withColumn("_first", F.min("_pick").over(by_path))
-        .withColumn("_chosen", F.min(choice).over(by_stream))
-    )
-    d = d.where((F.col("_pick") == F.col("_first")) & (choice == F.col("_chosen")))
+    d = _picked(w, _one_row(comp, w), group=("stream", "_ps"), sum_of="originTimestamp", choice=choice, among=("stream",))
     avg = F.expr("_sum div _cnt")
     out = d.withColumn("_now", now_of(d)).withColumn("p", _carried()).select(
         *_emit("p", comp, F.col("_now"), out1, entry=avg, origin=avg), F.col("stream").alias("source_stream")
