@@ -1,6 +1,7 @@
 r"""Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text is read as units: its words, a longer word cut in pieces of ``UNIT`` code points from its start. Hashes of ``S``
+A text is read as units: words of up to ``UNIT`` code points whole, and of a longer run without white space the ``UNIT`` code points
+at each of its places, so inside it windows slide over code points and an insertion changes only those that hold it. Hashes of ``S``
 consecutive units are the inner strings; a window of ``K`` units is a *closed syncmer* if the least of its inner
 hashes stands at the window's first or last place. Whether a window is chosen depends on the window alone, so an edit
 elsewhere leaves the anchors of untouched passages as they are. An anchor is (place, hash of the window); a fingerprint is
@@ -30,12 +31,15 @@ from hopline.llm.common import hex64, two_hashes
 
 K, S = 5, 2  # units in a window, in an inner string
 UNIT = 8
+VISIBLE = r"[^\x20\x09-\x0D]"
 ROWS = 1024  # rows aimed at for each range
 RANGES = 1 << 16
 
 
 def units(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % UNIT), F.lit(0))
+    """A match of no length at each place where a unit starts; the engine steps by UTF-16 units, and no unit starts inside a pair."""
+    short, of_long = r"(?<!{0}){0}{{1,{1}}}(?!{0})".format(VISIBLE, UNIT), r"%s{%d}" % (VISIBLE, UNIT)
+    return F.regexp_extract_all(text, F.lit(rf"(?!\p{{Cs}})(?=({short}|{of_long}))"), F.lit(1))
 
 
 def with_anchors(df: DataFrame, text_col: str, out: str) -> DataFrame:

@@ -14,8 +14,14 @@ def chain(*values):
     return int(np.uint64(seed).view(np.int64))
 
 
+def cut(text):
+    """Words of up to 8 code points, and the 8 at each place of longer runs."""
+    runs = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return [run[i:i + 8] for run in runs for i in range(max(1, len(run) - 7))]
+
+
 def anchors(text):
-    units = [chain(u) for u in re.findall(r"[^\x20\x09-\x0D]{1,8}", text)]
+    units = [chain(u) for u in cut(text)]
     inner = [chain(a, b) for a, b in zip(units, units[1:])]
     out = []
     for i in range(len(units) - S.K + 1):
@@ -27,6 +33,17 @@ def anchors(text):
     return out
 
 
+def printed(found):
+    """128 bits over places (4 bytes) and hashes (8 bytes), each value seeded with the hash of those before it."""
+    out = ""
+    for seed in (42, xxhash.xxh64_intdigest((7919).to_bytes(4, "little"), 42)):
+        for at, value in found:
+            seed = xxhash.xxh64_intdigest(at.to_bytes(4, "little"), seed)
+            seed = xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), seed)
+        out += f"{seed:016x}"
+    return out
+
+
 def jaccard(a, b):
     a, b = {h for _, h in a}, {h for _, h in b}
     return len(a & b) / len(a | b)
@@ -47,6 +64,7 @@ def check(docs, monkeypatch, rows=7):
             edited = text[:len(text) - third] + after[:third]
             g = by_id[r["doc_id"]]
             assert (g["n_chars"], g["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+            assert (g["fingerprint"], g["edited_fingerprint"]) == (printed(anchors(text)), printed(anchors(edited)))
             assert g["near_edited"] == jaccard(anchors(text), anchors(edited))
             assert g["near_next"] == jaccard(anchors(text), anchors(after))
     prints = {}
@@ -94,3 +112,16 @@ def test_anchors_do_not_depend_on_distant_text(spark):
     frame = spark.createDataFrame([(" ".join(words),), (" ".join(["other"] * 7 + words),)], "text string")
     a, b = (r["a"] for r in S.with_anchors(frame, "text", "a").collect())
     assert {(x["at"] + 7, x["hash"]) for x in a} <= {(x["at"], x["hash"]) for x in b}
+
+
+def test_runs_without_spaces(spark):
+    """An inserted character changes the anchors around it only, also outside the basic plane; units never split a pair."""
+    rng = np.random.default_rng(5)
+    for low, high in ((0x4E00, 0x9F00), (0x20000, 0x2A000), (0x61, 0x7B)):
+        run = "".join(map(chr, rng.integers(low, high, 600)))
+        texts = [run, chr(low) + run, run[:300] + chr(low + 1) + run[300:], "x " + run, run[:7], run[:8], run[:9], run[:12] + " " + run[:3]]
+        frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+        found = {r["i"]: [tuple(x) for x in r["a"]] for r in S.with_anchors(frame, "text", "a").collect()}
+        for i, text in enumerate(texts):
+            assert found[i] == anchors(text), (low, i)
+        assert all(jaccard(found[0], found[i]) > 0.9 for i in (1, 2, 3))
