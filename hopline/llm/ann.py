@@ -20,7 +20,7 @@ with several vectors has the least of them; vectors of different lengths are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 from math import erf, sqrt
 
@@ -33,6 +33,7 @@ from hopline.llm.common import ship, two_hashes
 from hopline.session import cut_lineage
 
 SAMPLE_QUERIES, SAMPLE_VECTORS = 200, 4000
+HELD_LENGTHS = 64
 
 
 def vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -124,33 +125,40 @@ def search_part(ids: np.ndarray, x: np.ndarray, buckets: np.ndarray, q: np.ndarr
     return i, order[found], exact
 
 
-def hash_rows(batches: Iterator[pd.DataFrame], hashings: dict[int, Hashing]) -> Iterator[pd.DataFrame]:
-    """Index rows: a vector in each table's bucket."""
+def by_length(batches: Iterator[pd.DataFrame], make: Callable[..., Hashing]) -> Iterator[tuple[Hashing, pd.DataFrame]]:
+    """The rows of each vector length with its hashing; few hashings are held at a time."""
+    made: dict[tuple, Hashing] = {}
     for batch in batches:
-        for dim, own in batch.groupby("dim"):
-            h = hashings[int(dim)]
-            x = np.array(own["v"].tolist())
-            cells = np.floor(h.places(x, False))
-            packed = pack(cells)
-            for t in range(h.tables):
-                yield pd.DataFrame({
-                    "dim": own["dim"].to_numpy(), "table": t, "cell": cells[:, t, 0].astype(int), "id": own["id"].to_numpy(),
-                    "v": own["v"].to_numpy(), "bucket": packed[:, t]})
-
-
-def probe_rows(batches: Iterator[pd.DataFrame], hashings: dict[int, Hashing]) -> Iterator[pd.DataFrame]:
+        for key, own in batch.groupby(["dim", "scale", "radius"]):
+            if key not in made:
+                if len(made) >= HELD_LENGTHS:
+                    made.clear()
+                made[key] = make(int(key[0]), float(key[1]), float(key[2]))
+            yield made[key], own
+
+
+def hash_rows(batches: Iterator[pd.DataFrame], make: Callable[..., Hashing]) -> Iterator[pd.DataFrame]:
+    """Index rows: a vector in each table's bucket."""
+    for h, own in by_length(batches, make):
+        cells = np.floor(h.places(np.array(own["v"].tolist()), False))
+        packed = pack(cells)
+        for t in range(h.tables):
+            yield pd.DataFrame({
+                "dim": own["dim"].to_numpy(), "table": t, "cell": cells[:, t, 0].astype(int), "id": own["id"].to_numpy(),
+                "v": own["v"].to_numpy(), "bucket": packed[:, t]})
+
+
+def probe_rows(batches: Iterator[pd.DataFrame], make: Callable[..., Hashing]) -> Iterator[pd.DataFrame]:
     """Query rows: a query once for each table and first cell, with the buckets that it visits there."""
-    for batch in batches:
-        for dim, own in batch.groupby("dim"):
-            h = hashings[int(dim)]
-            p = h.places(np.array(own["v"].tolist()), True)
-            for t in range(h.tables):
-                out = []
-                for q, v, cells in zip(own["id"], own["v"], h.probes(p[:, t]), strict=True):
-                    packed = pack(cells)
-                    for c in np.unique(cells[:, 0]):
-                        out.append((dim, t, int(c), q, v, packed[cells[:, 0] == c]))
-                yield pd.DataFrame(out, columns=["dim", "table", "cell", "id", "v", "visits"])
+    for h, own in by_length(batches, make):
+        p = h.places(np.array(own["v"].tolist()), True)
+        for t in range(h.tables):
+            out = []
+            for dim, q, v, cells in zip(own["dim"], own["id"], own["v"], h.probes(p[:, t]), strict=True):
+                packed = pack(cells)
+                for c in np.unique(cells[:, 0]):
+                    out.append((dim, t, int(c), q, v, packed[cells[:, 0] == c]))
+            yield pd.DataFrame(out, columns=["dim", "table", "cell", "id", "v", "visits"])
 
 
 def meet(batches: Iterator[pd.DataFrame], k: int, chunk: int = 512) -> Iterator[pd.DataFrame]:
@@ -185,20 +193,27 @@ def meet(batches: Iterator[pd.DataFrame], k: int, chunk: int = 512) -> Iterator[
         yield answer()
 
 
-def fit(classes: DataFrame, k: int, tables: int, hashes: int, width: float, success: float) -> dict[int, Hashing]:
-    """The hashing of each vector length: greatest norm of all vectors, radius from a sample (by hash of the id)."""
+def fit(classes: DataFrame, k: int) -> DataFrame:
+    """(dim, scale, radius) of each vector length: the greatest norm of all vectors, and how far the k-th neighbours of a
+    bounded sample (the least hashes of the id) lie. Lengths are worked on by tasks, however many there are."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    stats = {r["dim"]: r for r in classes.groupBy("dim").agg(F.max(norm).alias("scale"), F.count(F.lit(1)).alias("n")).collect()}
-    out = {}
-    for dim, r in stats.items():
-        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).select("v").collect()
-        x = np.array([row["v"] for row in sample]) / r["scale"]
+    stats = cut_lineage(classes.groupBy("dim").agg(F.max(norm).alias("scale"), F.count(F.lit(1)).alias("n")))
+    place = (F.xxhash64("id").cast("double") + float(1 << 63)) / float(1 << 64)  # in the order of the hash: few rows are left to sort
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))
+    sample = classes.join(stats, "dim").where(place < F.lit(4.0 * SAMPLE_VECTORS) / F.col("n")).withColumn("nth", nth).where(
+        F.col("nth") <= SAMPLE_VECTORS).select("dim", "scale", "n", "nth", "v")
+
+    def measured(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("nth")
+        scale, n = float(own["scale"].iloc[0]), int(own["n"].iloc[0])
+        x = np.array(own["v"].tolist()) / scale
         q = x[:SAMPLE_QUERIES] / np.sqrt((x[:SAMPLE_QUERIES] ** 2).sum(axis=1, keepdims=True))
         near = -np.sort(-(q @ x.T), axis=1)
-        rank = min(len(x) - 1, max(1, round(k * len(x) / r["n"])))
+        rank = min(len(x) - 1, max(1, round(k * len(x) / n)))
         radius = float(np.sqrt(np.maximum(0.05, 2 - 2 * np.quantile(near[:, rank], 0.25))))
-        out[dim] = Hashing(dim, float(r["scale"]), radius, tables, hashes, width * radius, success)
-    return out
+        return pd.DataFrame({"dim": own["dim"].iloc[:1], "scale": scale, "radius": radius})
+
+    return cut_lineage(sample.groupBy("dim").applyInPandas(measured, "dim int, scale double, radius double"))
 
 
 def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 4,
@@ -210,12 +225,18 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     classes = cut_lineage(own.groupBy("_h1", "_h2").agg(F.min("id").alias("id"), F.min("v").alias("v"), F.min("dim").alias("dim")))
     asked = own.where(is_query).select("_h1", "_h2").distinct()
     queries = cut_lineage(classes.join(asked, ["_h1", "_h2"], "left_semi").select("id", "v", "dim"))
-    hashings = fit(classes, k, tables, hashes, width, success)
+    lengths = fit(classes, k)
+
+    def make(dim: int, scale: float, radius: float) -> Hashing:
+        return Hashing(dim, scale, radius, tables, hashes, width * radius, success)
 
     key = "dim int, table int, cell int, id bigint, v array<double>"
-    index = classes.select("dim", "id", "v").mapInPandas(lambda it: hash_rows(it, hashings), f"{key}, bucket bigint")
+    measured = ["dim", "scale", "radius", "id", "v"]
+    index = classes.join(lengths, "dim").select(*measured).mapInPandas(lambda it: hash_rows(it, make), f"{key}, bucket bigint")
     index = cut_lineage(index)
-    salts = index.groupBy("dim", "table", "cell").agg(F.ceil(F.count(F.lit(1)) * 8 * F.col("dim") / part_bytes).cast("int").alias("salts"))
+    # written, so its size is known: Spark broadcasts it if it is small, and queries are not dealt by the few first cells
+    salts = cut_lineage(index.groupBy("dim", "table", "cell").agg(
+        F.ceil(F.count(F.lit(1)) * 8 * F.col("dim") / part_bytes).cast("int").alias("salts")))
     salted = index.join(salts, ["dim", "table", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
 
     def ask(probes: DataFrame, index_rows: DataFrame) -> DataFrame:
@@ -228,7 +249,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
         dealt = both.repartition(*sort[:4]).sortWithinPartitions(*sort)
         return dealt.mapInPandas(lambda it: meet(it, k + 1), "query bigint, id bigint, score double")
 
-    probes = queries.select("dim", "id", "v").mapInPandas(lambda it: probe_rows(it, hashings), f"{key}, visits array<bigint>")
+    probes = queries.join(lengths, "dim").select(*measured).mapInPandas(lambda it: probe_rows(it, make), f"{key}, visits array<bigint>")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
 
     def nearest(found: DataFrame) -> DataFrame:

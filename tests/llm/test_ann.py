@@ -77,3 +77,36 @@ def test_probes_come_in_order_of_success():
         share = [(draws == c).all(axis=1).mean() for c in cells]
         assert (np.floor(place) == cells[0]).all() or share[0] >= share[1] - 0.02
         assert all(a >= b - 0.02 for a, b in zip(share, share[1:])) and abs(sum(share) - 0.82) < 0.05
+
+
+def recall(spark, x, **options):
+    """Share of the true 20 nearest that is found, over all queries, with ties by score."""
+    got = search(frame(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)]), **options)
+    x = x.astype(np.float32).astype(float)
+    shares = []
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        least = np.sort(scores)[-20]
+        assert len(got[q]) == 20
+        shares.append(np.mean([s >= least - 1e-12 for _, s in got[q]]))
+    return np.mean(shares)
+
+
+@pytest.mark.parametrize("n", [1500, 6000])
+@pytest.mark.parametrize("shape", ["clusters", "uniform"])
+def test_recall_holds_at_sizes_and_shapes(spark, n, shape):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, 32))
+    if shape == "clusters":  # one holds a third of all vectors; norms differ
+        centres = 3 * rng.standard_normal((25, 32))
+        which = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 25, n))
+        x = (centres[which] + x) * rng.uniform(0.5, 2, (n, 1))
+    assert recall(spark, x) >= 0.9
+
+
+def test_many_lengths_are_measured_by_tasks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(1 + i % 90)]) for i in range(720)]
+    want, got = brute(rows), search(frame(spark, rows), tables=2, success=0.999)
+    assert {q: [c for c, _ in n] for q, n in got.items()} == {q: [c for c, _ in n] for q, n in want.items() if n}
