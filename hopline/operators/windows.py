@@ -177,19 +177,6 @@ def emit_one(df: DataFrame, comp: Component, n: int, create_path_msg: bool = Fal
     )
 
 
-def _join_split_core(w: DataFrame, comp: Component, out1: str, out2: str, now_of) -> DataFrame:
-    """Per (lane, win, source stream): a random distinct path, origin averaged over it, a random message of it."""
-    w = w.withColumn("_ps", path_string(F.col("path"), " ")).withColumn(
-        "_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps")))
-    choice = F.struct(F.col("_hp").alias("h"), F.col("_ps").alias("s"))
-    d = _picked(w, _one_row(comp, w), group=("stream", "_ps"), sum_of="originTimestamp", choice=choice, among=("stream",))
-    avg = F.expr("_sum div _cnt")
-    out = d.withColumn("_now", now_of(d)).withColumn("p", _carried()).select(
-        *_emit("p", comp, F.col("_now"), out1, entry=avg, origin=avg), F.col("stream").alias("source_stream")
-    )
-    return split_streams(out, out1, out2)
-
-
 def join_split(df: DataFrame, comp: Component, n: int, out1: str = "Stream3", out2: str = "Stream4",
                windowed: bool = False, **rank_kw) -> DataFrame:
     """One count window over the union of input streams; per source stream a
@@ -198,9 +185,16 @@ def join_split(df: DataFrame, comp: Component, n: int, out1: str = "Stream3", ou
     No key is compared: it is a windowed union, not a relational join.
     """
     w = df if windowed else count_window(df, comp, n, **rank_kw)
-    return _join_split_core(
-        w, comp, out1, out2, lambda g: comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
+    w = w.withColumn("_ps", path_string(F.col("path"), " ")).withColumn(
+        "_hp", hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps")))
+    choice = F.struct(F.col("_hp").alias("h"), F.col("_ps").alias("s"))
+    d = _picked(w, _one_row(comp, w), group=("stream", "_ps"), sum_of="originTimestamp", choice=choice, among=("stream",))
+    avg = F.expr("_sum div _cnt")
+    now = comp.clock.window(F.col("_mx"), F.col("lane"), F.col("win"), comp.name)
+    out = d.withColumn("_now", now).withColumn("p", _carried()).select(
+        *_emit("p", comp, F.col("_now"), out1, entry=avg, origin=avg), F.col("stream").alias("source_stream")
     )
+    return split_streams(out, out1, out2)
 
 
 def by_arrival_time(df: DataFrame, comp: Component, window_ms: int) -> DataFrame:
@@ -215,13 +209,13 @@ def join_split_time(df: DataFrame, comp: Component, window_ms: int = 2000, out1:
     """W5 over tumbling processing-time windows of ``window_ms`` at each task.
 
     A row arrives at ``clock.hop(timestamp)``; its window is ``arrival div window_ms``;
-    the window fires at its end, ``(win + 1) * window_ms``. No ranking is needed. A batch has one wall clock time for all
-    of its rows, so it needs a clock that gives each row its own; the stream form takes any.
+    the window fires at its end, ``(win + 1) * window_ms``. No ranking is needed. Rows merge to one partial result a window,
+    stream and path before they are exchanged, so a window may hold any number of rows; a row that comes twice gives one pick.
+    A batch has one wall clock time for all of its rows, so it needs a clock that gives each row its own; the stream form takes any.
     """
     if not comp.clock.knows_append_time:
         raise ValueError("time windows over a batch need a clock that gives each row its own time, e.g. SyntheticClock()")
-    w = by_arrival_time(df, comp, window_ms)
-    return _join_split_core(w, comp, out1, out2, lambda g: (F.col("win") + 1) * F.lit(window_ms))
+    return split_of_partials(split_partials(by_arrival_time(df, comp, window_ms), comp), comp, window_ms, out1, out2)
 
 
 PARTIAL_KEYS = ["lane", "win", "stream", "_ps"]

@@ -130,3 +130,36 @@ def test_only_picks_cross_the_exchange_by_window(front):
         inside = below[:below.index("Exchange")]
         assert inside.count("Sort") == 2  # the rank's, and one for all windows inside a slice
         assert names[:at].count("Exchange") == 0
+
+
+@pytest.mark.parametrize("times", ["spread", "one window"])
+def test_time_join_split(front, times):
+    """Every row twice, the second time with a later entry; in one case all arrive in one window."""
+    rows, comp = front
+    if times == "one window":
+        rows = rows.withColumn("timestamp", F.lit(8_000_000).cast("bigint"))
+    rows = rows.unionByName(rows)
+    window_ms = 4000
+    inside = {}
+    for r in windows.by_arrival_time(rows, comp, window_ms).collect():
+        inside.setdefault((r.lane, r.win, r.stream), []).append(r)
+    want = []
+    for (lane, win, stream), mine in inside.items():
+        paths = by(mine, path)
+        chosen = paths[min(paths, key=lambda p: (h(comp.seed, comp.name, "path", lane, win, stream, p), p))]
+        one = min(chosen, key=lambda r: (h(comp.seed, comp.name, "lane", r.row_id), r.row_id))
+        avg = sum(r.originTimestamp for r in chosen) // len(chosen)
+        want.append((lane, win, one.row_id, (win + 1) * window_ms, avg, avg, stream))
+    if times == "one window":
+        assert len({k[:2] for k in inside}) <= comp.lanes and max(map(len, inside.values())) > 50
+    got = windows.join_split_time(rows, comp, window_ms)
+    assert told(got.where("stream = 'Stream3'"), "source_stream") == told(got.where("stream = 'Stream4'"), "source_stream") == sorted(want)
+
+
+def test_time_windows_exchange_partial_results_only(front):
+    rows, comp = front
+    plan = windows.join_split_time(rows, comp)._jdf.queryExecution().executedPlan().toString().split("\n")
+    names = [line.lstrip(" :+-*()0123456789").split("(")[0].split(" ")[0] for line in plan]
+    at = [i for i, name in enumerate(names) if name == "Exchange"]
+    assert len(at) == 2 and all(names[i + 1].endswith("Aggregate") and "partial_" in plan[i + 1] for i in at)
+    assert "Window" not in names
