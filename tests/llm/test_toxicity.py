@@ -108,6 +108,45 @@ def test_odd_documents_and_nothing_to_learn(spark, odd_docs):
     assert kept.schema == odd_docs.schema and kept.count() == odd_docs.count()
 
 
+def test_the_machine_is_the_exact_kernel_svm():
+    """With every window a landmark, the folded Nystroem machine gives the decisions of an SVM on the whole kernel matrix."""
+    rng = random.Random(8)
+    table = T.symbol_table()
+    texts = [prose(rng, 3) for _ in range(30)] + [f"you {w} {prose(rng, 1)}" for w in INSULTS for _ in range(4)]
+    line, starts, _ = T.join_lines([T.symbols(t, table) for t in texts])
+    good, bad, rarity = starts[:30], starts[30:], T.rarities(line)
+    rank = np.zeros(len(line))
+    every = np.concatenate([bad, good])
+    # features one by one: the kernel matrix of all windows, landmarks on unit length as the operator has them
+    codes, values = T.window_codes(line, every, rarity)
+    rows = [{} for _ in every]
+    for row, cs, vs in zip(rows, codes, values, strict=True):
+        for c, v in zip(cs.tolist(), vs.tolist(), strict=True):
+            row[c] = row.get(c, 0.0) + v
+    kernel = np.array([[sum(v * b.get(c, 0.0) for c, v in a.items()) for b in rows] for a in rows])
+    y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
+    cost = np.where(y > 0, 1 / len(bad), 1 / len(good)) * len(y) / 2
+    # squared hinge in the dual variables: w = sum of alpha * phi, the bias with its own small ridge
+    alpha, bias, ridge = np.zeros(len(y)), 0.0, 1e-3
+    for _ in range(60):
+        active = y * (kernel @ alpha + bias) < 1
+        n = int(active.sum())
+        # on the active rows alpha = cost * (y - decision); elsewhere 0; ridge * bias = sum of alpha
+        left = np.zeros((n + 1, n + 1))
+        left[:n, :n] = kernel[np.ix_(active, active)] + np.diag(1 / cost[active])
+        left[:n, n], left[n, :n], left[n, n] = 1, 1, -ridge
+        found = np.linalg.solve(left, np.append(y[active], 0))
+        new = np.zeros(len(y))
+        new[active] = found[:n]
+        if np.allclose(new, alpha, atol=1e-10) and np.isclose(bias, found[n]):
+            break
+        alpha, bias = new, found[n]
+    want = kernel @ alpha + bias
+    weight = T.fold(line, bad, good, rank, rarity, 4 * len(every))
+    got = T.window_scores(line, weight[:-1].astype(np.float32))[every] + weight[-1]
+    assert np.allclose(got, want, atol=5e-3) and (np.sign(got) == y).all()
+
+
 def test_held_out_documents(spark):
     """Held out rows of the given tables: most toxic documents are found, few clean ones flagged."""
     sf = "/root/testdata/sf0.1"
