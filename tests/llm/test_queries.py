@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_urls": ["page_id", "host", "path", "rule", "verdict"],
     "op9_syncmers": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op10_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op11_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_divergence": ["lang", "source", "part", "item", "value", "rank"],
+    "op13_clusters": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 
 
@@ -28,7 +31,7 @@ def test_against_sql(spark, name):
 
 def test_one_query_for_each_operator():
     assert set(Q.queries()) == set(COLUMNS)
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
@@ -36,7 +39,8 @@ def test_columns_and_whole_tables(spark, name):
     df = Q.queries()[name](spark, SF)
     assert df.columns[:len(COLUMNS[name])] == COLUMNS[name]
     table, key = {"op2_chat": ("conversations", "conv_id"), "op5_neighbours": ("embeddings", "vec_id"),
-                  "op8_urls": ("pages", "page_id")}.get(name, ("documents", "doc_id"))
+                  "op8_urls": ("pages", "page_id"), "op12_divergence": ("documents", "lang"),
+                  "op13_clusters": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
     ids = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
     want = {i for i in ids if i % 20 == 0} if name == "op5_neighbours" else ids | {-7} if name == "op2_chat" else ids
     assert {r[0] for r in df.select(df.columns[0]).collect()} == want
