@@ -11,8 +11,8 @@ and a term that occurs in both groups corrects by g(p, q) - g(p, q0) - g(p0, q)
 Pair corrections come from a *frequent-pattern tree of term rows*: a term's nonzero counts in source order are a row, equal rows
 are counted first (multiplicity), and rows are inserted in sorted order, so rows that begin alike share nodes. A
 node holds the multiplicity of all rows through it, and each combination of a node and one of its ancestors adds
-multiplicity times correction, once. Rows are dealt to tasks by ranges of their order; a tree takes a few
-million items of them, and a node cut in two trees counts with the multiplicity that it has in each.
+multiplicity times correction, once. Rows are dealt to tasks by ranges of their order; a tree takes a bounded number of
+items of them (however many a batch holds), and a node cut in two trees counts with the multiplicity that it has in each.
 
 Counting: a task counts terms in a table of bounded size, then counts are summed by (language, term, source), so no group of rows
 is collected; a term's row is as long as the language has sources, at most. Sums by one source run over its
@@ -37,8 +37,8 @@ from hopline.session import cut_lineage
 
 SCALE = 1_000_000_000
 COUNTED = 500_000  # entries of a task's table of counts
-TREE_ITEMS = 1 << 21  # items of the rows of one tree, about
-COMBINATIONS = 1 << 20  # of nodes and ancestors looked at together
+TREE_ITEMS = 1 << 18  # items of the rows of one tree, at about 200 bytes each; one row more may fit
+COMBINATIONS = 1 << 17  # of nodes and ancestors looked at together, at about 250 bytes each
 SALTS = 32
 # bytes that occur in terms: letters A-Z (lower-cased), a-z and those of all other code points
 KEPT = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -167,33 +167,45 @@ class PatternTree:
 
 def tree_corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, group, item, high, low) of rows (lang, row, times) in the order of (lang, row)."""
-    held: list[pa.RecordBatch] = []
-    items = 0
+    held: list[tuple[np.ndarray, ...]] = []  # size and multiplicity of the rows, fields of their items
+    items, lang = 0, None
 
     def told() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        langs = table.column("lang").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)]
-        for a, b in zip(cuts, cuts[1:]):
-            part = table.slice(a, b - a)
-            column = part.column("row").combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            offsets = column.offsets.to_numpy().astype(np.int64)
-            flat = column.flatten()
-            fields = [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("code", "count", "p", "p0")]
-            tree = PatternTree(offsets - offsets[0], *fields, part.column("times").to_numpy())
-            for group, item, high, low in tree.corrections():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[a]] * len(group), pa.string()), *(pa.array(c, pa.int64()) for c in (group, item, high, low))],
-                    ["lang", "group", "item", "high", "low"])
+        nonlocal items
+        sizes, times, *fields = (np.concatenate(c) for c in zip(*held))
+        held.clear()  # the tree has copies
+        items = 0
+        tree = PatternTree(np.concatenate(([0], np.cumsum(sizes))), *fields, times)
+        for group, item, high, low in tree.corrections():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(group), pa.string()), *(pa.array(c, pa.int64()) for c in (group, item, high, low))],
+                ["lang", "group", "item", "high", "low"])
 
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            items += len(batch.column(batch.schema.get_field_index("row")).flatten())
-            if items >= TREE_ITEMS:
+        if not batch.num_rows:
+            continue
+        langs = batch.column(batch.schema.get_field_index("lang")).to_numpy(zero_copy_only=False)
+        column = batch.column(batch.schema.get_field_index("row"))
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        flat = column.flatten()
+        fields = [flat.field(f).to_numpy(zero_copy_only=False) for f in ("code", "count", "p", "p0")]
+        times = batch.column(batch.schema.get_field_index("times")).to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)]
+        a = 0
+        for end in ends:
+            if held and langs[a] != lang:
                 yield from told()
-                held, items = [], 0
+            lang = langs[a]
+            while a < end:  # as many rows as the tree has place for, one at least
+                b = int(np.searchsorted(offsets, offsets[a] + TREE_ITEMS - items, "right")) - 1
+                b = min(end, max(b, a + 1))
+                held.append((np.diff(offsets[a:b + 1]), times[a:b].astype(np.int64),
+                             *(f[offsets[a]:offsets[b]].astype(np.int64) for f in fields)))
+                items += int(offsets[b] - offsets[a])
+                a = b
+                if items >= TREE_ITEMS or a < end:
+                    yield from told()
     if held:
         yield from told()
 
