@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hopline.functions.draws import normal_multiplier, unit
 from hopline.operators.messages import BOOK_COLS, draw_key, receive, with_created_message
 from hopline.plans.topology import Component
+from hopline.schema import slice_of
 
 
 def with_copies(df: DataFrame, count: Column) -> DataFrame:
@@ -35,7 +36,7 @@ def _emit_copies(df: DataFrame, comp: Component, count: Column, out_stream: str)
         *BOOK_COLS[:3], F.lit(out_stream).alias("stream"), "copy", "lane",
         F.col("_now").alias("timestamp"),
         draw_key(comp, F.col("row_id")).alias("key"),
-        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path",
+        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path", *slice_of(df),
     )
 
 

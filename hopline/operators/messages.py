@@ -16,6 +16,7 @@ from hopline.functions.draws import hash32, unit, weighted_key
 from hopline.functions.paths import append_element, to_payload
 from hopline.operators.lanes import lane_for
 from hopline.plans.topology import Component, Routed, name_col
+from hopline.schema import slice_of
 from hopline.sources.kafka import OUTBOUND_TOPIC, TS_LOG_APPEND
 
 # --- fixed values: the modelled sender waits for no acknowledgement and never retries ---
@@ -71,7 +72,7 @@ def path_bolt(spout_rows: DataFrame, comp: Component, grouping: str = "shuffle",
         *BOOK_COLS[:3], F.lit(out_stream).alias("stream"), "copy", "lane",
         F.col("_now").alias("timestamp"),
         draw_key(comp, F.col("row_id")).alias("key"),
-        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path",
+        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path", *slice_of(df),
     )
 
 
@@ -84,7 +85,7 @@ def path_adder(rows: DataFrame, comp: Component, grouping: str = "fields",
         F.col("_now").alias("timestamp"),
         draw_key(comp, F.col("row_id")).alias("key"),
         "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs",
-        append_element(F.col("path"), comp.element(F.col("lane"))).alias("path"),
+        append_element(F.col("path"), comp.element(F.col("lane"))).alias("path"), *slice_of(df),
     )
 
 

@@ -28,7 +28,7 @@ from hopline.operators.lanes import lane_for
 from hopline.operators.messages import draw_key, transfer_row, with_created_message
 from hopline.operators.ranking import SLICE, arrival_rank
 from hopline.plans.topology import Component
-from hopline.schema import ARRIVAL_ORDER
+from hopline.schema import ARRIVAL_ORDER, SLICED, slice_of
 
 CARRIED = [
     "row_id", "event_id", "msg_ts", "stream", "copy", "timestamp", "entryMilliTimestamp",
@@ -71,7 +71,7 @@ def _picked(w: DataFrame, pick: Column, group: tuple = (), sum_of: str | None =
     values of parts merge to those of the whole, and a group or row that is not the least of its part is not the least
     of all, so the same step runs inside each slice of the ranking first, if ``w`` has slices.
     """
-    inside = [s for s in SLICE if s in w.columns]
+    inside = [s for s in (*SLICE, SLICED) if s in w.columns]
     d = w.withColumns({"_pick": pick, "_mx": F.col("timestamp")})
     if sum_of:
         d = d.withColumns({"_cnt": F.lit(1).cast("bigint"), "_sum": F.col(sum_of)})

@@ -26,6 +26,7 @@ MSG_OUT = [
     "row_id", "stream", "lane", "timestamp", "key", "entryMilliTimestamp",
     "messageID", "originTimestamp", "stormMilliLatencyMs",
 ]
+WINDOWED = ("window", "fish", "all")  # pipelines whose source is dealt by slices of the arrival order
 SENT_OUT = MSG_OUT + ["sink", "append_ms"]
 MSG_SQL = ", ".join(MSG_OUT) + ", array_to_string(path, '>') AS path_str"
 SENT_SQL = ", ".join(SENT_OUT) + ", array_to_string(path, '>') AS path_str"
@@ -125,7 +126,8 @@ def s_path_append(s):
 
 
 def _clean_receiver(spark, sf, pipeline=P.basic):
-    return P.receiver(messages.to_outbound(pipeline(inbound_from(spark, sf), synthetic())))
+    inbound = inbound_from(spark, sf, by_time=pipeline is P.fish)
+    return P.receiver(messages.to_outbound(pipeline(inbound, synthetic())))
 
 
 def _clean_receiver_sql(s, pipeline=O.p_basic):
@@ -408,7 +410,7 @@ def s_lane_load(s):
 
 def q_count_window(spark, sf):
     _, (sp, wc) = _topo_of("TimerSpout", "WindowedPathBolt")
-    return windows.count_window(spout(inbound_from(spark, sf), sp), wc, 10).select("row_id", "lane", "win", "pos")
+    return windows.count_window(spout(inbound_from(spark, sf, by_time=True), sp), wc, 10).select("row_id", "lane", "win", "pos")
 
 
 def s_count_window(s):
@@ -419,7 +421,7 @@ def s_count_window(s):
 
 def _pathbolt_then(spark, sf, name):
     _, (sp, pb, wc) = _topo_of("TimerSpout", "PathBolt", name)
-    return messages.path_bolt(spout(inbound_from(spark, sf), sp), pb), wc
+    return messages.path_bolt(spout(inbound_from(spark, sf, by_time=True), sp), pb), wc
 
 
 def _pathbolt_then_sql(s, name):
@@ -449,7 +451,7 @@ def s_window_emit_by_spout(s):
 
 def _window_stage(spark, sf, group_by):
     _, (sp, wc) = _topo_of("TimerSpout", "WindowedPathBolt")
-    return windows.emit_one(spout(inbound_from(spark, sf), sp), wc, 10, create_path_msg=True, group_by=group_by)
+    return windows.emit_one(spout(inbound_from(spark, sf, by_time=True), sp), wc, 10, create_path_msg=True, group_by=group_by)
 
 
 def q_window_emit_one(spark, sf):
@@ -472,7 +474,7 @@ def _fish_front(spark, sf):
     t = synthetic()
     sp = t.component("TimerSpout")
     pb, pm = t.component("PathBolt"), t.component("PathMultiplier")
-    s = spout(inbound_from(spark, sf), sp, num_streams=2)
+    s = spout(inbound_from(spark, sf, by_time=True), sp, num_streams=2)
     return P.fork_path_and_multiplier(s, Routed({"kafkaMessages0": pb, "kafkaMessages1": pm}), pm), t
 
 
@@ -578,7 +580,7 @@ def s_throughput_by_time(s):
 
 def _transfers_q(name):
     def run(spark, sf):
-        return metrics.transfer_latency(P.transfer_rows(name, inbound_from(spark, sf), synthetic()), 2000)
+        return metrics.transfer_latency(P.transfer_rows(name, inbound_from(spark, sf, by_time=name in WINDOWED), synthetic()), 2000)
     return run
 
 
@@ -606,9 +608,9 @@ def s_quarantine_rows(s):
 # ---------------------------------------------------------------- pipelines
 
 
-def _pipeline_q(fn):
+def _pipeline_q(fn, by_time=False):
     def run(spark, sf):
-        return sent_out(fn(inbound_from(spark, sf), synthetic()), _value().alias("value"))
+        return sent_out(fn(inbound_from(spark, sf, by_time), synthetic()), _value().alias("value"))
     return run
 
 
@@ -627,7 +629,7 @@ def s_pipeline_receiver(s):
 
 
 def q_pipeline_round_trip(spark, sf):
-    return P.round_trip(inbound_from(spark, sf), synthetic())
+    return P.round_trip(inbound_from(spark, sf, by_time=True), synthetic())
 
 
 def s_pipeline_round_trip(s):
@@ -682,9 +684,9 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], Callable[[O.
     "pipeline_basic": (_pipeline_q(P.basic), _pipeline_s(O.p_basic)),
     "pipeline_f2f": (_pipeline_q(P.f2f), _pipeline_s(O.p_f2f)),
     "pipeline_multi": (_pipeline_q(P.multi), _pipeline_s(O.p_multi)),
-    "pipeline_window": (_pipeline_q(P.window), _pipeline_s(O.p_window)),
-    "pipeline_fish": (_pipeline_q(P.fish), _pipeline_s(O.p_fish)),
-    "pipeline_all": (_pipeline_q(P.all_in_one), _pipeline_s(O.p_all)),
+    "pipeline_window": (_pipeline_q(P.window, by_time=True), _pipeline_s(O.p_window)),
+    "pipeline_fish": (_pipeline_q(P.fish, by_time=True), _pipeline_s(O.p_fish)),
+    "pipeline_all": (_pipeline_q(P.all_in_one, by_time=True), _pipeline_s(O.p_all)),
     "pipeline_receiver": (q_pipeline_receiver, s_pipeline_receiver),
     "pipeline_round_trip": (q_pipeline_round_trip, s_pipeline_round_trip),
 }

@@ -19,6 +19,7 @@ from hopline.functions.draws import normal_multiplier, unit
 from hopline.operators import fanout, messages, metrics, validate, windows
 from hopline.operators.messages import BOOK_COLS, draw_key, receive, transfers, with_created_message
 from hopline.plans.topology import Component, Routed, Topology
+from hopline.schema import slice_of
 from hopline.sources.kafka import results_rows, spout
 
 
@@ -96,7 +97,7 @@ def fork_path_and_multiplier(s: DataFrame, routed: Routed, mult_comp, vmin=1, vm
         *BOOK_COLS[:3], F.when(is_path, F.lit(outs[0])).otherwise(F.lit(outs[1])).alias("stream"), "copy", "lane",
         F.col("_now").alias("timestamp"),
         draw_key(routed, F.col("row_id")).alias("key"),
-        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path",
+        "entryMilliTimestamp", "messageID", "originTimestamp", "stormMilliLatencyMs", "path", *slice_of(d),
     )
 
 

@@ -37,6 +37,13 @@ PATH_MESSAGE = StructType(
 
 # internal bookkeeping columns carried by every message row
 ROW_ID, EVENT_ID, MSG_TS, STREAM, COPY, LANE = "row_id", "event_id", "msg_ts", "stream", "copy", "lane"
+# the slice of the arrival order by which a source was dealt to tasks, where it was (``ranking.dealt_by_slice``); stages hand it on
+SLICED = "_slice"
 # arrival order at any task: message time, event, stream and copy; the row id makes it total, since offsets
 # (the event ids of Kafka rows) repeat between partitions
 ARRIVAL_ORDER = [MSG_TS, EVENT_ID, STREAM, COPY, ROW_ID]
+
+
+def slice_of(df) -> list[str]:
+    """The slice column of rows whose source was dealt by slices."""
+    return [SLICED] if SLICED in df.columns else []

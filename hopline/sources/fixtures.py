@@ -20,8 +20,8 @@ def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def inbound_from(spark, sf_dir: str) -> DataFrame:
-    return events_as_inbound(read_table(spark, sf_dir, "events"))
+def inbound_from(spark, sf_dir: str, by_time: bool = False) -> DataFrame:
+    return events_as_inbound(read_table(spark, sf_dir, "events"), by_time=by_time)
 
 
 def _path_with(path: Column, first: Column | None = None, last: Column | None = None) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopline.functions.draws import hash32, uuid_from
+from hopline.operators.ranking import dealt_by_slice
 from hopline.plans.topology import Component
+from hopline.schema import slice_of
 
 # --- fixed values: topic and stream names used by the modelled topologies ---
 INBOUND_TOPIC = "beforeStorm"
@@ -37,6 +39,7 @@ def ntz_to_instant(ts: Column) -> Column:
 #: What one task gets of a source before a 10-20x fan-out: some ten thousand messages, a few hundred thousand copies.
 BYTES_PER_TASK = 1 << 16
 MOST_TASKS = 1 << 15
+SLICE_MESSAGES = 1 << 13  # of a source that is dealt by slices of its order
 UNKNOWN_BYTES = 1 << 60  # plans without a size say so by a huge one
 
 
@@ -57,12 +60,23 @@ def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     return df if n <= 1 else df.repartition(n, key)
 
 
-def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC, partitions: int | None = None) -> DataFrame:
+def spread_by_time(events: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``spread`` for windows: the messages of a slice of the arrival order go to one task, so that what windows keep together lies together
+    before it is fanned out."""
+    n = 1 if events.isStreaming else source_tasks(events) if partitions is None else partitions
+    if n <= 1:
+        return events
+    timed = events.withColumns({"msg_ts": F.unix_millis(ntz_to_instant(F.col("ts"))), "event_id": F.col("event_id").cast("bigint")})
+    return dealt_by_slice(timed, ["msg_ts", "event_id"], n, SLICE_MESSAGES)
+
+
+def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC, partitions: int | None = None, by_time: bool = False) -> DataFrame:
     """Kafka-shaped inbound rows from the ``events`` table (one message per event).
 
-    ``row_id`` and ``event_id`` ride along as the stable identity of each message.
+    ``row_id`` and ``event_id`` ride along as the stable identity of each message, with ``by_time`` (for windows) also its slice.
     """
-    events = spread(events.select("event_id", "ts"), "event_id", partitions)
+    events = events.select("event_id", "ts")
+    events = spread_by_time(events, partitions) if by_time else spread(events, "event_id", partitions)
     return events.select(
         F.lit(None).cast("binary").alias("key"),
         mint_message_id(F.col("event_id")).cast("binary").alias("value"),
@@ -73,6 +87,7 @@ def events_as_inbound(events: DataFrame, topic: str = INBOUND_TOPIC, partitions:
         F.lit(TS_CREATE).alias("timestampType"),
         F.col("event_id").cast("string").alias("row_id"),
         F.col("event_id").cast("bigint").alias("event_id"),
+        *slice_of(events),
     )
 
 
@@ -93,6 +108,7 @@ def spout(inbound: DataFrame, comp: Component, out_stream: str = SPOUT_STREAM_PR
         event_id.cast("bigint").alias("event_id"),
         F.col("value").cast("string").alias("uuid"),
         F.unix_millis(F.col("timestamp")).alias("messageTimestamp"),
+        *slice_of(inbound),
     )
     lane = hash32(comp.seed, comp.name, "lane", F.col("row_id")) % comp.lanes
     entry = comp.clock.entry(F.col("row_id"), F.col("messageTimestamp"))
@@ -110,6 +126,7 @@ def spout(inbound: DataFrame, comp: Component, out_stream: str = SPOUT_STREAM_PR
         entry.alias("entryMilliTimestamp"),
         "messageTimestamp",
         comp.element(lane).alias("path"),
+        *slice_of(df),
     )
 
 
