@@ -211,34 +211,55 @@ def join_split_time(df: DataFrame, comp: Component, window_ms: int = 2000, out1:
     A row arrives at ``clock.hop(timestamp)``; its window is ``arrival div window_ms``;
     the window fires at its end, ``(win + 1) * window_ms``. No ranking is needed. Rows merge to one partial result a window,
     stream and path before they are exchanged, so a window may hold any number of rows; a row that comes twice gives one pick.
+    Where the source was dealt by slices, each slice leaves one partial result of a window and stream, and these are exchanged once.
     A batch has one wall clock time for all of its rows, so it needs a clock that gives each row its own; the stream form takes any.
     """
     if not comp.clock.knows_append_time:
         raise ValueError("time windows over a batch need a clock that gives each row its own time, e.g. SyntheticClock()")
-    return split_of_partials(split_partials(by_arrival_time(df, comp, window_ms), comp), comp, window_ms, out1, out2)
+    partials = split_partials(by_arrival_time(df, comp, window_ms), comp, EMITTED)
+    if slice_of(partials):
+        partials = partials_of_slices(partials, comp)
+    return split_of_partials(partials, comp, window_ms, out1, out2)
 
 
 PARTIAL_KEYS = ["lane", "win", "stream", "_ps"]
+EMITTED = ["row_id", "event_id", "msg_ts", "copy", "messageID", "stormMilliLatencyMs", "path"]  # of a pick, what W6 emits
 
 
-def split_partials(w: DataFrame, comp: Component) -> DataFrame:
-    """W5/W6 as a mergeable state: per window, source stream and path the origin sum, the row count and the least pick with its row."""
+def split_partials(w: DataFrame, comp: Component, cols: list[str] = CARRIED) -> DataFrame:
+    """W5/W6 as a mergeable state: per window, source stream and path (and slice) the origin sum, the row count and the least pick with its row."""
     ps = w.withColumn("_ps", path_string(F.col("path"), " "))
-    row = F.struct(_pick_key(comp, w).alias("pick"), _carried().alias("p"))
+    # a pick is ordered by hash and row id, and the row's columns begin with its id
+    pick = _pick_key(comp, w) if cols is CARRIED else _pick_key(comp, w).getField("h")
+    row = F.struct(pick.alias("pick"), _carried(cols).alias("p"))
     return merged_partials(ps.select(
-        *PARTIAL_KEYS, F.lit(1).cast("bigint").alias("_cnt"), F.col("originTimestamp").alias("_sum"), row.alias("_best")))
+        *slice_of(w), *PARTIAL_KEYS, F.lit(1).cast("bigint").alias("_cnt"), F.col("originTimestamp").alias("_sum"), row.alias("_best")))
 
 
 def merged_partials(partials: DataFrame) -> DataFrame:
-    """Partial results of the same window, stream and path as one; any grouping of them gives the same."""
-    return partials.groupBy(*PARTIAL_KEYS).agg(F.sum("_cnt").alias("_cnt"), F.sum("_sum").alias("_sum"), F.min("_best").alias("_best"))
+    """Partial results of the same window, stream and path (and slice) as one; any grouping of them gives the same."""
+    return partials.groupBy(*slice_of(partials), *PARTIAL_KEYS).agg(
+        F.sum("_cnt").alias("_cnt"), F.sum("_sum").alias("_sum"), F.min("_best").alias("_best"))
+
+
+def _chosen(partials: DataFrame, comp: Component) -> DataFrame:
+    """Per window and source stream (and slice) ``c``: the partial result of the path of the least hash."""
+    h = hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps"))
+    return partials.groupBy(*slice_of(partials), "lane", "win", "stream").agg(F.min(F.struct(
+        h.alias("h"), F.col("_ps").alias("s"), "_cnt", "_sum", "_best")).alias("c"))
+
+
+def partials_of_slices(partials: DataFrame, comp: Component) -> DataFrame:
+    """Partial results by slice as those of the whole. A path that is not the least of its slice is not the least of the window, so each slice
+    hands on one of a window and stream, and its path comes with its row; one exchange by window and stream serves here and for the choice."""
+    few = _chosen(partials, comp).select("lane", "win", "stream", "c._cnt", "c._sum", "c._best")
+    together = few.repartition("lane", "win", "stream")
+    return merged_partials(together.withColumn("_ps", path_string(F.col("_best.p.path"), " ")))
 
 
 def split_of_partials(partials: DataFrame, comp: Component, window_ms: int, out1: str = "Stream3", out2: str = "Stream4") -> DataFrame:
     """W6 output of closed windows: per source stream the path of the least hash, its average origin and its least pick, on two streams."""
-    h = hash32(comp.seed, comp.name, "path", F.col("lane"), F.col("win"), F.col("stream"), F.col("_ps"))
-    chosen = partials.groupBy("lane", "win", "stream").agg(F.min(F.struct(
-        h.alias("h"), F.col("_ps").alias("s"), "_cnt", "_sum", "_best")).alias("c")).select(
+    chosen = _chosen(partials, comp).select(
         "lane", "win", F.col("stream").alias("source_stream"), F.col("c._best.p").alias("p"), F.expr("c._sum div c._cnt").alias("_avg"))
     now = (F.col("win") + 1) * F.lit(window_ms)
     out = chosen.select(*_emit("p", comp, now, out1, entry=F.col("_avg"), origin=F.col("_avg")), "source_stream")

@@ -91,3 +91,23 @@ def test_no_fanned_out_row_is_exchanged_for_its_rank(spark, events, monkeypatch,
     assert ops.count("Generate") == 1 and "Exchange" in ops[ops.index("Generate"):]
     above = [x for x in own.split("\n")[:ops.index("Generate")] if x.lstrip(" :+-").startswith("Exchange")]
     assert len(above) == 1 and re.search(r"hashpartitioning\(lane#\d+L, win#\d+L", above[0])
+
+
+def test_time_windows_of_slices_are_exchanged_once(events, monkeypatch):
+    """Each slice hands on one partial result of a window and source stream, with what is emitted of its pick only."""
+    inbound = dealt(events.where("ts IS NOT NULL"), 64, monkeypatch)
+    lines = P.fish(inbound, synthetic(), time_window_ms=2000)._jdf.queryExecution().executedPlan().toString().split("\n")
+    ops = [re.sub(r"^[ :+\-*()0-9]*", "", x) for x in lines]
+    source = next(i for i, x in enumerate(ops) if x.startswith("Generate explode(CASE"))
+    above = [i for i, x in enumerate(ops[:source]) if x.startswith("Exchange")]
+    assert len(above) == 1 and re.search(r"hashpartitioning\(lane#\d+L, win#\d+L, stream#\d+, \d+\)", ops[above[0]])
+    below = next(x for x in ops[above[0] + 1:] if not x.startswith("Project"))
+    assert "Aggregate" in below and re.search(r"key=\[_slice#\d+, lane#\d+L, win#\d+L, stream#\d+\]", below)
+
+    t = synthetic()
+    routed = P.Routed({"kafkaMessages0": t.component("P"), "kafkaMessages1": (pm := t.component("M"))})
+    front = P.fork_path_and_multiplier(spout(inbound, t.component("S"), num_streams=2), routed, pm)
+    js = t.component("J")
+    partials = windows.split_partials(windows.by_arrival_time(front, js, 2000), js, windows.EMITTED)
+    by_window = front.transform(lambda d: windows.by_arrival_time(d, js, 2000)).select(SLICED, "lane", "win", "stream").distinct().count()
+    assert windows.partials_of_slices(partials, js).count() <= by_window < partials.count() < front.count()
